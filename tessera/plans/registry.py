@@ -1,18 +1,47 @@
-"""The registered queries of the engine and their oracle SQL."""
+"""The registered queries of the engine and their oracle SQL. Modules of this package add theirs with `query`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame, with DuckDB SQL for the same rows where there is some."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    """Rounded to six digits the same way in both dialects."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+def q6(c: str) -> str:
+    return f"floor(({c}) * 1e6 + 0.5) / 1e6"
+
+
+def _load() -> None:
+    from . import fitting, geometry, ordered, relations  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
