@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: set[str] = set()
+from ..shipping import ship
+
+__all__ = ["connected_components", "held_out", "partitions", "shared_dir", "ship", "stage", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,22 +30,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the Python workers, once for each Spark application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, f"{PACKAGE.name}/{p.relative_to(PACKAGE)}")
-    folder = tempfile.mkdtemp(prefix="tessera-ship-")
-    target = os.path.join(folder, f"{PACKAGE.name}_src.zip")
-    Path(target).write_bytes(buffer.getvalue())
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
