@@ -137,3 +137,24 @@ def lammps_lines(table: DataFrame, by: list[str], kind: str) -> DataFrame:
     head = table.groupBy(*by).agg(F.count("*").alias("n"), F.min("axis").alias("lo"), F.max("axis").alias("hi"), F.min_by("axis", F.struct("u", "axis")).alias("eq"))
     says = {"nonbonded": F.format_string("N %d R %.6f %.6f", "n", "lo", "hi"), "bond": F.format_string("N %d FP 0.0 0.0 EQ %.6f", "n", "eq"), "angle": F.format_string("N %d FP 0.0 0.0 EQ %.6f", "n", "eq"), "dihedral": F.format_string("N %d DEGREES", "n")}[kind]
     return head.select(*by, F.lit(2).alias("line_no"), says.alias("line")).union(body)
+
+
+def finish(table: DataFrame, by: list[str], kind: str, width: float, cutoff: float) -> DataFrame:
+    """A force table as a simulation reads it, with its potential u: repaired and padded by class, integrated, put in standard form.
+
+    nonbonded: front repaired, from `width` to the cutoff, the last value being 0; bond: both ends continued to the
+    cutoff; angle: 0 to 180; dihedral: wrapped and trimmed to -180 .. 180. Bonded potentials have minimum 0.
+    """
+    if kind == "nonbonded":
+        t = pad(repair_front(table, by), by, width, width, None, linear=True)
+        t = pad(t, by, width, None, cutoff).withColumn("value", F.when(F.col("axis") > cutoff - AXIS_EPS, 0.0).otherwise(F.col("value")))
+        return integrate(t, by)
+    if kind == "bond":
+        t = pad(repair_back(repair_front(table, by), by), by, width, 0.0, cutoff, linear=True)
+    elif kind == "angle":
+        t = pad(repair_back(repair_front(table, by), by), by, width, 0.0, 180.0, linear=True)
+    elif kind == "dihedral":
+        t = trim(wrap_axis(table, by), -180.0, 180.0).select(*by, "axis", "value")
+    else:
+        raise ValueError(f"no table form for {kind!r}")
+    return standardize(integrate(t, by), by)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import basis
-from ..operators import neighbors, normal, parameters, solve
+from ..operators import neighbors, normal, parameters, solve, threebody
 from ..sources import views as v
 from .geometry import FRAC, HAT, HI, LO, WIDTH, box, pairs_sql
 from .registry import q6, query, r6
@@ -202,3 +202,28 @@ def l13(spark, sf_dir):
 def w12(spark, sf_dir):
     kinds = v.sites(spark, sf_dir, TYPES).agg(F.collect_set("type_id").alias("t")).select("t", F.explode("t").alias("t1")).select("t1", F.explode(F.filter("t", lambda b: b >= F.col("t1"))).alias("t2"))
     return parameters.column_offsets(kinds.withColumn("n_basis", 3 + F.col("t1") + F.col("t2")), ["t1", "t2"])
+
+
+_SW = f"""WITH {v.sites_sql()}, {pairs_sql(0.12)}, near AS (SELECT frame_id, i AS c, j AS o, dx, dy, dz, sqrt(r2) AS r FROM pairs UNION ALL SELECT frame_id, j, i, -dx, -dy, -dz, sqrt(r2) FROM pairs),
+tri AS (SELECT a.frame_id, a.c AS centre, a.o AS k, b.o AS l, a.dx AS ux, a.dy AS uy, a.dz AS uz, b.dx AS vx, b.dy AS vy, b.dz AS vz, a.r AS r1, b.r AS r2 FROM near a JOIN near b ON a.frame_id = b.frame_id AND a.c = b.c AND a.o < b.o),
+f AS (SELECT *, greatest(least((ux * vx + uy * vy + uz * vz) / (r1 * r2), 0.999999::DOUBLE), -0.999999::DOUBLE) AS c, CASE WHEN r1 < 0.12::DOUBLE THEN exp(0.05::DOUBLE / (r1 - 0.12::DOUBLE)) ELSE 0 END AS w1, CASE WHEN r2 < 0.12::DOUBLE THEN exp(0.05::DOUBLE / (r2 - 0.12::DOUBLE)) ELSE 0 END AS w2,
+  CASE WHEN r1 < 0.12::DOUBLE THEN -0.05::DOUBLE / pow(r1 - 0.12::DOUBLE, 2) * exp(0.05::DOUBLE / (r1 - 0.12::DOUBLE)) ELSE 0 END AS s1, CASE WHEN r2 < 0.12::DOUBLE THEN -0.05::DOUBLE / pow(r2 - 0.12::DOUBLE, 2) * exp(0.05::DOUBLE / (r2 - 0.12::DOUBLE)) ELSE 0 END AS s2 FROM tri WHERE r1 > 0 AND r2 > 0),
+parts AS (""" + " UNION ALL ".join(
+    f"SELECT frame_id, k, l, centre, {n} AS dim, 2 * 4.184::DOUBLE * (c + 0.1::DOUBLE) * w1 * w2 * (c * u{a} / r1 - v{a} / r2) / r1 - 4.184::DOUBLE * (c + 0.1::DOUBLE) * (c + 0.1::DOUBLE) * s1 * w2 * u{a} / r1 AS fk, 2 * 4.184::DOUBLE * (c + 0.1::DOUBLE) * w1 * w2 * (c * v{a} / r2 - u{a} / r1) / r2 - 4.184::DOUBLE * (c + 0.1::DOUBLE) * (c + 0.1::DOUBLE) * s2 * w1 * v{a} / r2 AS fl FROM f"
+    for n, a in enumerate("xyz")
+) + f""") SELECT frame_id, site_id, dim, {q6("sum(v)")} AS v FROM (SELECT frame_id, k AS site_id, dim, fk AS v FROM parts UNION ALL SELECT frame_id, l, dim, fl FROM parts UNION ALL SELECT frame_id, centre, dim, -(fk + fl) FROM parts) GROUP BY 1, 2, 3"""
+
+
+@query("a11_threebody_fixed", _SW)
+def a11(spark, sf_dir):
+    t = neighbors.triples(v.sites(spark, sf_dir), 0.12, box()).where("ux * ux + uy * uy + uz * uz > 0 and vx * vx + vy * vy + vz * vz > 0")
+    return threebody.fixed_entries(t, 0.12, 0.05, -0.1).select("frame_id", "site_id", "dim", r6("v").alias("v"))
+
+
+@query("a11_threebody_fitted")
+def a11_fitted(spark, sf_dir):
+    t = neighbors.triples(v.sites(spark, sf_dir), 0.12, box()).where("ux * ux + uy * uy + uz * uz > 0 and vx * vx + vy * vy + vz * vz > 0")
+    from ..functions import geometry as g
+
+    theta = g.angle(g.cols("ux uy uz"), g.cols("vx vy vz"))
+    return threebody.fitted_entries(t, basis.bspline(0.0, 180.0, 8, 4)(theta), basis.bspline(0.0, 180.0, 8, 4, slope=True)(theta), 0.12, 0.05)

@@ -29,7 +29,7 @@ def read_dump(spark: SparkSession, path: str, dim: int = 3, no_forces: bool = Fa
     wrapped into the box; site_id is the atom's place in the frame, from 0. A line with too few fields, or a number of
     atom lines other than stated, gives the row `problem`. Memory: one file for a task; write long runs as many files.
     """
-    files = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     frames = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "ITEM: TIMESTEP\n")).alias("k", "body")).where("k > 0")
     part = lambda name: F.regexp_extract("body", rf"ITEM: {name}[^\n]*\n([^I]*)", 1)
     bounds = F.transform(F.slice(F.split(F.trim(F.regexp_extract("body", r"ITEM: BOX BOUNDS[^\n]*\n([^I]*)", 1)), "\n"), 1, dim), lambda b: F.transform(F.slice(F.split(F.trim(b), r"\s+"), 1, 2), lambda x: x.cast("double")))
@@ -70,5 +70,5 @@ def check_sites(sites: DataFrame) -> DataFrame:
 
 def read_frame_values(spark: SparkSession, path: str, name: str, start: int = 1) -> DataFrame:
     """(frame_id, <name>): one number a line (frame weights, virial targets); frame ids start at `start`."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
     return lines.where(F.col("k") >= start - 1).select((F.col("k") + 1).cast("int").alias("frame_id"), F.trim("line").try_cast("double").alias(name))
