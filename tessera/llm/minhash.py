@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import connected_components, ship, stage
+from .workspace import connected_components, ids_side, ship, stage
 
 #: 30 bands of 4 samples: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^30, about 1 in 100,000.
 BANDS, ROWS = 30, 4
@@ -24,7 +24,7 @@ BANDS, ROWS = 30, 4
 #: 9.5), that is in about 53 bits (about 8); FAR is seven deviations above, so it clears no such pair in practice.
 SKETCH_BITS, FAR = 512, 112
 #: Bytes of text that one pass of the vectorised hashing takes at most (a longer text is a pass by itself).
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Above this many candidate pairs between components, another round with hubs comes first.
 MOST_PAIRS = 2_000_000
 
@@ -161,7 +161,7 @@ def sketch_distance(a: Column, b: Column) -> Column:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets are similar enough, compared set by set."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = ids_side(stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -202,12 +202,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     signed = stage(signatures(docs), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes, "set_key").where("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep"])
+    members = stage(full.select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep"), "members")
+    copies = ids_side(stage(members.groupBy("doc_id").agg(F.min(F.col("rep") == F.col("doc_id")).alias("first")).where("not first").select("doc_id"), "copies"))
+    reps = full.select("doc_id", "bands", "sketch").join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
     exploded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "n")
     buckets = stage(exploded.join(shared, "band"), "buckets")  # one row for each member of a bucket of two or more
     popular = buckets.groupBy("rep").agg(F.sum("n").alias("pop"))
-    sketches = stage(reps.join(popular, "rep").select("rep", "sketch", "pop"), "sketches")
+    sketches = reps.select("rep", "sketch").dropDuplicates(["rep"]).join(popular, "rep")
     places = stage(buckets.join(sketches, "rep").select("band", "rep", "pop", "sketch"), "places")
     links, seen, comps = None, None, None
     for turn in range(8):
@@ -241,7 +243,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         comps = stage(connected_components(links), "components")
         if last:
             break
-    members = full.select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep")
     if comps is not None:
         members = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     else:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import stage
+from .workspace import MOST_IDS, ids_side, stage
 
 #: Java's pattern for the white space between words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -79,7 +79,7 @@ def bucket_weights(rows: DataFrame, buckets: int, smooth: float) -> DataFrame:
     return counts.select(F.transform("c", lambda x: F.when(F.col("nt") > 0, odds(x)).otherwise(0.0)).alias("weights"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smooth: float = 1.0, quantile: float = 0.001, slack: float = 0.03, broadcast_ids: int = 4_000_000, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smooth: float = 1.0, quantile: float = 0.001, slack: float = 0.03, broadcast_ids: int = MOST_IDS, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """One row for each row of `docs` (doc_id, text and, as asked by `keep`, further columns), without its text.
 
     Columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score double (null
@@ -91,8 +91,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, sm
     """
     keep = [c for c in keep or [] if c not in ("doc_id", "text")]
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    ids = F.broadcast(ids) if ids.limit(broadcast_ids + 1).count() <= broadcast_ids else ids
-    rows = docs.select("doc_id", *keep, "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id")
+    rows = docs.select("doc_id", *keep, "text").join(ids_side(ids, broadcast_ids), F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id")
     hashed = _hashed_words(rows)
     weights = bucket_weights(hashed, buckets, smooth)
     total = F.aggregate(_buckets(buckets), F.lit(0.0), lambda s, b: s + F.element_at(F.col("weights"), b + 1))

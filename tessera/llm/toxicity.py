@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7)
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     shares = {k: min(1.0, most / 2 / max(1, n.get(k, 0))) for k in (0, 1)}
     marked = marked.where(uniform(F.lit(seed), F.col("labelled")) < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
-    sample = stage(docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("labelled")), "labelled")
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("labelled")), "labelled")  # about `most` ids
     total = sample.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("p"), F.count(F.when(F.col("toxic") != 1, 1)).alias("q")).first()
     if not total["p"] or not total["q"]:
         return lexicon, fixed

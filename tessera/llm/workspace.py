@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["connected_components", "held_out", "partitions", "shared_dir", "ship", "stage", "table"]
+__all__ = ["connected_components", "held_out", "ids_side", "partitions", "shared_dir", "ship", "stage", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +30,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which a set of ids is broadcast: 16 bytes each, 32 MB in all.
+MOST_IDS = 2_000_000
+
+
+def ids_side(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """A one-column table of long ids as the small side of a join: broadcast if counted to be at most `most`, else shuffled."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
