@@ -14,7 +14,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.queries import tokenizer_path, trusted_ids
 from tessera.llm.toxicity import toxicity
-from tessera.llm.workspace import held_out, stage, table
+from tessera.llm.workspace import held_out, ids_side, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,8 +33,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    return docs.select(*COLUMNS).join(ids_side(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
