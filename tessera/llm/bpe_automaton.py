@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .presplit import PreSplitter
-from .workspace import ship
+from .workspace import ship, small_batches
 
 END = "</w>"
 #: Transitions and recent words that a worker keeps; beyond it, older ones are forgotten, which costs time and changes nothing.
-TABLE_LIMIT, WORD_LIMIT = 1_000_000, 250_000
-#: Rows that are encoded and sent back at a time.
-PART_ROWS = 256
+TABLE_LIMIT, WORD_LIMIT = 300_000, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -208,7 +206,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         import numpy as np
 
         codec = codec_of(spec.value)
-        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
+        for batch in small_batches(batches):
             n_tokens, sha_ids, sha_text, all_ids, texts = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 out = codec.encode(text)

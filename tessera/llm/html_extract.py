@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .workspace import ship
+from .workspace import ship, small_batches
 
 # Fixed values of HTML.
 #: Elements whose content is never text of the page.
@@ -217,7 +217,7 @@ def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url
     names = [*keep, "text", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [extract(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 

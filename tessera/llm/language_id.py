@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import uniform
-from .workspace import ship
+from .workspace import ship, small_batches
 
 #: Code points after which a batch of texts is cut; presence matrices hold at most this many cells.
 CUT_CHARS, CUT_CELLS = 1_500_000, 16_000_000
@@ -179,7 +179,7 @@ def fit(rows: DataFrame, per_language: int = 1500, landmarks: int = 128, most_la
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum, scaled = sent.value
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for rows_, part in spectrum.batches(texts):
                 f, _ = spectrum.presence(part)
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
         import numpy as np
 
         model = sent.value
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if model is not None:

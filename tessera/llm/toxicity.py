@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import uniform
-from .workspace import ship, stage
+from .workspace import ship, small_batches, stage
 
 #: Seed words of each class, in the four languages of the documents. Learned insults join "insult".
 SEEDS = {
@@ -211,7 +211,7 @@ def _featured(rows: DataFrame, lexicon: dict[str, tuple[str, float]], keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Grammar(lexicon).features
-        for batch in batches:
+        for batch in small_batches(batches):
             got = pa.array([read(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names)
 

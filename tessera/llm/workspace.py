@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["connected_components", "held_out", "ids_side", "partitions", "shared_dir", "ship", "stage", "table"]
+__all__ = ["connected_components", "held_out", "ids_side", "partitions", "shared_dir", "ship", "small_batches", "stage", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,13 @@ def ids_side(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most `rows` rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
