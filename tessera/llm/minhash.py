@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import connected_components, ids_side, ship, stage
+from .workspace import connected_components, ids_side, ship, small_batches, stage
 
 #: 30 bands of 4 samples: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^30, about 1 in 100,000.
 BANDS, ROWS = 30, 4
 #: Bits of an odd sketch. A pair of similarity 0.75 differs in about 60 of 240 folded samples (standard deviation about
-#: 9.5), that is in about 53 bits (about 8); FAR is seven deviations above, so it clears no such pair in practice.
-SKETCH_BITS, FAR = 512, 112
+#: 9.5), that is in about 53 bits (about 8); FAR is five deviations above, so it clears hardly ever such a pair.
+SKETCH_BITS, FAR = 512, 92
 #: Bytes of text that one pass of the vectorised hashing takes at most (a longer text is a pass by itself).
 CHUNK = 1_000_000
 #: Above this many candidate pairs between components, another round with hubs comes first.
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         seeds = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         weigh = _mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
         salt = _mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
-        for batch in batches:
+        for batch in small_batches(batches):
             n, keys, bands, sketches = [], [], [], []
             for s in shingler.sets(batch.column(1).to_pylist()):
                 n.append(len(s))
@@ -159,20 +159,28 @@ def sketch_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def met_before(at: Column, a: Column, b: Column) -> Column:
+    """Whether two documents share a band before number `at`, by 32 bits of each band's key."""
+    met = F.lit(False)
+    for t in range(BANDS):
+        met = met | ((at > t) & (a[t] == b[t]))
+    return met
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets are similar enough, compared set by set."""
     ids = ids_side(stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in small_batches(batches):
             data = [s.tobytes() for s in shingler.sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.large_binary())], ["doc_id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in small_batches(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -205,12 +213,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = stage(full.select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep"), "members")
     copies = ids_side(stage(members.groupBy("doc_id").agg(F.min(F.col("rep") == F.col("doc_id")).alias("first")).where("not first").select("doc_id"), "copies"))
     reps = full.select("doc_id", "bands", "sketch").join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
-    exploded = reps.select("rep", F.explode("bands").alias("band"))
+    exploded = reps.select("rep", F.posexplode("bands").alias("at", "band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "n")
     buckets = stage(exploded.join(shared, "band"), "buckets")  # one row for each member of a bucket of two or more
     popular = buckets.groupBy("rep").agg(F.sum("n").alias("pop"))
-    sketches = reps.select("rep", "sketch").dropDuplicates(["rep"]).join(popular, "rep")
-    places = stage(buckets.join(sketches, "rep").select("band", "rep", "pop", "sketch"), "places")
+    short = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("short")
+    sketches = reps.select("rep", "sketch", short).dropDuplicates(["rep"]).join(popular, "rep")
+    places = stage(buckets.join(sketches, "rep").select("band", "at", "rep", "pop", "sketch", "short"), "places")
     links, seen, comps = None, None, None
     for turn in range(8):
         now = places if comps is None else places.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
@@ -225,8 +234,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             now = now.join(open_.select("band"), "band")
         last = turn > 0 and (left <= MOST_PAIRS or turn == 7)
         if last:
-            x, y = now.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("ka")), now.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("kb"))
-            pairs = x.join(y, (x["band"] == y["band"]) & (x["ca"] < y["cb"]) & (sketch_distance(x["ka"], y["kb"]) <= FAR)).select("a", "b")
+            x = now.select("band", "at", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("ka"), F.col("short").alias("sa"))
+            y = now.select(F.col("band").alias("band_b"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("kb"), F.col("short").alias("sb"))
+            first = ~met_before(F.col("at"), F.col("sa"), F.col("sb"))  # a pair comes from the first band that it shares
+            pairs = x.join(y, (F.col("band") == F.col("band_b")) & (F.col("ca") < F.col("cb")) & (sketch_distance(F.col("ka"), F.col("kb")) <= FAR) & first).select("a", "b")
         else:
             order = F.struct("pop" if not turn else F.xxhash64(F.lit(turn), "rep").alias("pop"), (-F.col("rep")).alias("low"), "comp", "sketch")
             hubs = now.groupBy("band").agg(F.max(order).alias("hub")).select("band", (-F.col("hub.low")).alias("b"), F.col("hub.comp").alias("cb"), F.col("hub.sketch").alias("kb"))
