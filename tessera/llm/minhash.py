@@ -25,8 +25,8 @@ BANDS, ROWS = 30, 4
 SKETCH_BITS, FAR = 512, 92
 #: Bytes of text that one pass of the vectorised hashing takes at most (a longer text is a pass by itself).
 CHUNK = 1_000_000
-#: Above this many candidate pairs between components, another round with hubs comes first.
-MOST_PAIRS = 2_000_000
+#: Above this many sketch comparisons between components (counted by band), another round with hubs comes first.
+MOST_PAIRS = 20_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
