@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import small_batches
+
 #: Characters after which a block is closed (a single longer text is a block by itself).
 BLOCK_CHARS = 12_000_000
 
@@ -50,7 +52,7 @@ def unpack_words(data: bytes) -> list[str]:
     return pa.decompress(data[16:], size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else []
 
 
-BLOCKS = "block long, docs array<struct<doc_id:long,lang:string,size:long>>, n_words binary, word_ids binary, counts binary, shards array<struct<shard:int,words:binary>>"
+BLOCKS = "block long, docs array<struct<doc_id:long,lang:string,mark:boolean,size:long>>, n_words binary, word_ids binary, counts binary, shards array<struct<shard:int,words:binary>>"
 
 
 def utf8_size(text: str | None, words: list[str]) -> int:
@@ -58,12 +60,12 @@ def utf8_size(text: str | None, words: list[str]) -> int:
 
 
 def index_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str | None], list[str]]], shards: int, sizer: Callable[[str | None, list[str]], int] = utf8_size) -> DataFrame:
-    """BLOCKS of documents (doc_id, lang, text). `splitter()` makes, once for each task, the function from text to words.
+    """BLOCKS of documents (doc_id, lang, mark, text). `splitter()` makes, once for each task, the function from text to words.
 
     Word numbers of a block run over its words sorted by (shard, word). Words hold no line break.
     """
-    rows = docs.select("doc_id", "lang", "text")
-    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("size", pa.int64())]))), ("n_words", pa.binary()), ("word_ids", pa.binary()), ("counts", pa.binary()), ("shards", pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary())])))])
+    rows = docs.select("doc_id", "lang", "mark", "text")
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.bool_()), ("size", pa.int64())]))), ("n_words", pa.binary()), ("word_ids", pa.binary()), ("counts", pa.binary()), ("shards", pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -88,15 +90,15 @@ def index_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str | None],
                 n = int(np.count_nonzero(kinds == s))
                 packed.append({"shard": int(s), "words": pack_words(words[at : at + n])})
                 at += n
-            row = {"block": (part << 33) + next(made), "docs": [dict(zip(("doc_id", "lang", "size"), h, strict=True)) for h in heads], "n_words": pack(np.bincount(of, minlength=len(lists)), "<u4"), "word_ids": pack(steps, "<u4"), "counts": pack(counts, "<u4"), "shards": packed}
+            row = {"block": (part << 33) + next(made), "docs": [dict(zip(("doc_id", "lang", "mark", "size"), h, strict=True)) for h in heads], "n_words": pack(np.bincount(of, minlength=len(lists)), "<u4"), "word_ids": pack(steps, "<u4"), "counts": pack(counts, "<u4"), "shards": packed}
             return pa.RecordBatch.from_pylist([row], schema)
 
         heads, lists, chars = [], [], 0
         vocab: dict[str, int] = defaultdict(count().__next__)
-        for batch in batches:
-            for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in small_batches(batches):
+            for doc_id, lang, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = split(text)
-                heads.append((doc_id, lang, sizer(text, words)))
+                heads.append((doc_id, lang, mark, sizer(text, words)))
                 lists.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
                 chars += len(text or "") + 200
                 if chars >= BLOCK_CHARS:
@@ -147,7 +149,7 @@ def postings(row: dict):
 
 
 def sum_by_document(blocks: DataFrame, values: DataFrame, kind: str, out: str, as_type: str = "long") -> DataFrame:
-    """(doc_id, lang, size, n_words, <out>): for each document, the sum over its words of frequency times value."""
+    """(doc_id, lang, mark, size, n_words, <out>): for each document, the sum over its words of frequency times value."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
@@ -166,7 +168,7 @@ def sum_by_document(blocks: DataFrame, values: DataFrame, kind: str, out: str, a
                 sums.append(total[ends] - total[ends - n])
             totals.append(np.bincount(of, weights=counts, minlength=len(n)).astype(np.int64))
             heads += row["docs"]
-        return pa.table({"doc_id": pa.array([h["doc_id"] for h in heads], pa.int64()), "lang": pa.array([h["lang"] for h in heads], pa.string()), "size": pa.array([h["size"] for h in heads], pa.int64()), "n_words": pa.array(np.concatenate(totals) if totals else [], pa.int64()), out: pa.array(np.concatenate(sums) if sums else [], pa.float64() if as_type == "double" else pa.int64())})
+        return pa.table({"doc_id": pa.array([h["doc_id"] for h in heads], pa.int64()), "lang": pa.array([h["lang"] for h in heads], pa.string()), "mark": pa.array([h["mark"] for h in heads], pa.bool_()), "size": pa.array([h["size"] for h in heads], pa.int64()), "n_words": pa.array(np.concatenate(totals) if totals else [], pa.int64()), out: pa.array(np.concatenate(sums) if sums else [], pa.float64() if as_type == "double" else pa.int64())})
 
     left = blocks.select("block", "docs", "n_words", "word_ids", "counts").groupBy("block")
-    return left.cogroup(values.groupBy("block")).applyInArrow(run, f"doc_id long, lang string, size long, n_words long, {out} {as_type}")
+    return left.cogroup(values.groupBy("block")).applyInArrow(run, f"doc_id long, lang string, mark boolean, size long, n_words long, {out} {as_type}")

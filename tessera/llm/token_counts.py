@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     with open(tokenizer_path, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())  # one tokenizer file, about 2 MB
     shards = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("boolean").alias("mark"), F.col(text_col).alias("text"))
     blocks = stage(index_blocks(rows, lambda: PreSplitter(spec.value).split, shards), "pretokens")
     values = value_words(shard_words(blocks, shards), lambda: piece_counter(spec.value), "<u4")
     return sum_by_document(blocks, values, "<u4", "n_tokens").select("doc_id", F.col("size").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
