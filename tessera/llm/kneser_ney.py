@@ -1,8 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of the trusted documents' text.
 
-The model is of characters within words (orders 1 to 4, a word's start and end being symbols), so a text's likelihood is
-the product of its words' and each distinct word is valued once. Counts, contexts and probabilities are tables keyed by
-the n-gram; they meet the n-grams of the corpus's words in joins that are sharded by key.
+`sequence_filter` models characters running across word boundaries (orders 1 to 5, a space between words, a text's start
+and end being symbols), so word order and repetition count. `perplexity_filter` models characters within words (orders 1
+to 4, a word's start and end being symbols): a text's likelihood is the product of its words' and each distinct word is
+valued once. Counts, contexts and probabilities are tables keyed by the n-gram; they meet the n-grams of the corpus in
+joins that are sharded by key.
 """
 
 from __future__ import annotations
@@ -10,17 +12,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count as counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frequency_join import index_blocks, pack, postings, shard_words, sum_by_document, unpack_words
+from .frequency_join import BLOCK_CHARS, index_blocks, pack, pack_words, postings, shard_of, shard_words, sum_by_document, unpack, unpack_words
 from .workspace import ids_side, partitions, ship, small_batches, stage
 
 ORDER = 4
-#: Symbols before and after a word; words are runs of other characters than white space, so that they cannot hold these.
-START, STOP = "\t", "\n"
+#: Order of the model across word boundaries.
+SEQUENCE_ORDER = 5
+#: Symbols before and after a word or text; words are runs of other characters than white space, so that they cannot hold these.
+START, STOP = "\t", "\r"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -64,13 +70,13 @@ def _discounts(grams: DataFrame) -> list[float]:
     return out
 
 
-def model_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], float]:
+def model_tables(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame], float]:
     """(probabilities, contexts, floor): for each order (gram, p) and (context, back-off weight); p of an unseen character.
 
     Lower orders count the different symbols before an n-gram, not its occurrences.
     """
     levels = [counts]
-    for n in range(ORDER - 1, 0, -1):
+    for n in range(order - 1, 0, -1):
         levels.append(stage(levels[-1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), "kn-counts"))
     levels = levels[::-1]  # order 1 first
     probs, contexts, floor = [], [], 1.0
@@ -94,41 +100,66 @@ def model_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], f
     return probs, contexts, floor
 
 
-def gram_scores(grams: DataFrame, model: tuple[list[DataFrame], list[DataFrame], float]) -> DataFrame:
-    """(gram, logp) of distinct ORDER-grams: count joins from the highest order down, backing off where an n-gram is new."""
+def gram_scores(grams: DataFrame, model: tuple[list[DataFrame], list[DataFrame], float], order: int = ORDER) -> DataFrame:
+    """(gram, logp) of distinct `order`-grams: count joins from the highest order down, backing off where an n-gram is new."""
     probs, contexts, floor = model
     out = grams
-    for n in range(1, ORDER + 1):
-        out = out.withColumn("tail", F.substring("gram", ORDER - n + 1, n)).join(probs[n - 1].select(F.col("gram").alias("tail"), F.col("p").alias(f"p{n}")), "tail", "left").drop("tail")
+    for n in range(1, order + 1):
+        out = out.withColumn("tail", F.substring("gram", order - n + 1, n)).join(probs[n - 1].select(F.col("gram").alias("tail"), F.col("p").alias(f"p{n}")), "tail", "left").drop("tail")
         if n > 1:
-            out = out.withColumn("context", F.substring("gram", ORDER - n + 1, n - 1)).join(contexts[n - 1].select("context", F.col("back").alias(f"b{n}")), "context", "left").drop("context")
+            out = out.withColumn("context", F.substring("gram", order - n + 1, n - 1)).join(contexts[n - 1].select("context", F.col("back").alias(f"b{n}")), "context", "left").drop("context")
     p: Column = F.coalesce("p1", F.lit(floor))
-    for n in range(2, ORDER + 1):
+    for n in range(2, order + 1):
         p = F.coalesce(F.col(f"p{n}"), F.coalesce(F.col(f"b{n}"), F.lit(1.0)) * p)
     return out.select("gram", F.log(p).alias("logp"))
 
 
-def word_values(words: DataFrame, model: tuple[list[DataFrame], list[DataFrame], float], broadcast_grams: int) -> DataFrame:
-    """(block, shard, vals): log probabilities of the packed words of `words`, each distinct word of a shard valued once."""
+def distinct_words(words: DataFrame) -> DataFrame:
+    """(shard, word): each distinct packed word of a shard once."""
 
     def unique(t: pa.Table) -> pa.Table:
         seen = sorted({w for packed in t.column("words").to_pylist() for w in unpack_words(packed)})
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()] * len(seen), pa.int32()), "word": pa.array(seen, pa.string())})
 
-    distinct = stage(words.groupBy("shard").applyInArrow(unique, "shard int, word string"), "kn-words")
-    padded = F.concat(F.lit(START * (ORDER - 1)), "word", F.lit(STOP))
-    pieces = distinct.select("shard", "word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
-    scores = stage(gram_scores(pieces.select("gram").distinct(), model), "kn-scores")
-    if scores.limit(broadcast_grams + 1).count() <= broadcast_grams:
-        scores = F.broadcast(scores)
-    valued = pieces.join(scores, "gram").groupBy("shard", "word").agg(F.sum("logp").alias("logp"))
+    return stage(words.groupBy("shard").applyInArrow(unique, "shard int, word string"), "kn-words")
+
+
+def give_values(words: DataFrame, valued: DataFrame) -> DataFrame:
+    """(block, shard, vals): log probabilities of the packed words of `words` from `valued` (shard, word, logp)."""
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         known = dict(zip(right.column("word").to_pylist(), right.column("logp").to_pylist(), strict=True))
         out = [pack([known[w] for w in unpack_words(packed)], "<f8") for packed in left.column("words").to_pylist()]
         return pa.table({"block": left.column("block"), "shard": left.column("shard"), "vals": pa.array(out, pa.binary())})
 
-    return words.groupBy("shard").cogroup(valued.groupBy("shard")).applyInArrow(give, "block long, shard int, vals binary")
+    return words.groupBy("shard").cogroup(valued.select("shard", "word", "logp").groupBy("shard")).applyInArrow(give, "block long, shard int, vals binary")
+
+
+def word_values(words: DataFrame, model: tuple[list[DataFrame], list[DataFrame], float], broadcast_grams: int) -> DataFrame:
+    """(block, shard, vals): log probabilities of the packed words of `words`, each distinct word of a shard valued once."""
+    padded = F.concat(F.lit(START * (ORDER - 1)), "word", F.lit(STOP))
+    pieces = distinct_words(words).select("shard", "word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
+    scores = stage(gram_scores(pieces.select("gram").distinct(), model), "kn-scores")
+    if scores.limit(broadcast_grams + 1).count() <= broadcast_grams:
+        scores = F.broadcast(scores)
+    return give_values(words, pieces.join(scores, "gram").groupBy("shard", "word").agg(F.sum("logp").alias("logp")))
+
+
+def judge(scored: DataFrame, quantile: float, slack: float, enough: int) -> DataFrame:
+    """doc_id, n_words, perplexity, threshold, kept from doc_id, lang, mark, size, n_words, nll by the rule of `perplexity_filter`."""
+    known = scored.where("mark and nll is not null")
+    by_lang = known.groupBy("lang").agg(F.percentile(F.round("nll", 3), F.lit(quantile)).alias("most"), F.count("*").alias("n")).where(F.col("n") >= enough)
+    whole = known.agg(F.percentile(F.round("nll", 3), F.lit(quantile)).alias("most")).first()["most"]
+    most = F.coalesce(F.col("most"), F.lit(whole).cast("double")) + slack + 2 / F.sqrt(F.col("size"))
+    out = scored.join(by_lang.select(F.col("lang").alias("their"), "most"), F.col("lang") == F.col("their"), "left").withColumn("limit", F.when(F.col("size") > 0, most))
+    kept = F.col("nll").isNotNull() & (F.col("limit").isNull() | (F.col("nll") <= F.col("limit")))
+    return out.select("doc_id", "n_words", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+
+
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, text, mark: true for trusted ids, else null."""
+    ids = stage(trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(ids_side(ids.withColumn("mark", F.lit(True))), "doc_id", "left")
 
 
 def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, slack: float = 0.15, enough: int = 200, broadcast_grams: int = 1_500_000) -> DataFrame:
@@ -145,17 +176,103 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.9
     spark = docs.sparkSession
     ship(spark)
     shards = partitions(spark)
-    ids = stage(trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(ids_side(ids.withColumn("mark", F.lit(True))), "doc_id", "left")
-    blocks = stage(index_blocks(rows, lambda: lambda text: WORDS.findall(text) if text else [], shards, symbols), "words")
+    blocks = stage(index_blocks(marked(docs, trusted), lambda: lambda text: WORDS.findall(text) if text else [], shards, symbols), "words")
     model = model_tables(stage(trusted_counts(blocks), "kn-counts"))
     values = word_values(shard_words(blocks, shards), model, broadcast_grams)
     sums = sum_by_document(blocks, values, "<f8", "logp", "double").withColumn("nll", F.when(F.col("size") > 0, -F.col("logp") / F.col("size")))
-    scored = stage(sums, "perplexities")
-    known = scored.where("mark and nll is not null")
-    by_lang = known.groupBy("lang").agg(F.percentile(F.round("nll", 3), F.lit(quantile)).alias("most"), F.count("*").alias("n")).where(F.col("n") >= enough)
-    whole = known.agg(F.percentile(F.round("nll", 3), F.lit(quantile)).alias("most")).first()["most"]
-    most = F.coalesce(F.col("most"), F.lit(whole).cast("double")) + slack + 2 / F.sqrt(F.col("size"))
-    out = scored.join(by_lang.select(F.col("lang").alias("their"), "most"), F.col("lang") == F.col("their"), "left").withColumn("limit", F.when(F.col("size") > 0, most))
-    kept = F.col("nll").isNotNull() & (F.col("limit").isNull() | (F.col("nll") <= F.col("limit")))
-    return out.select("doc_id", "n_words", F.exp("nll").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+    return judge(stage(sums, "perplexities"), quantile, slack, enough)
+
+
+def windows(text: str, order: int) -> Iterator[list[str]]:
+    """The `order`-grams of a text without line breaks, one for each of its characters and its end, in lists of bounded length."""
+    padded, n = START * (order - 1) + text + STOP, len(text) + 1
+    for at in range(0, n if text else 0, 1 << 16):
+        yield [padded[j : j + order] for j in range(at, min(n, at + (1 << 16)))]
+
+
+def index_texts(docs: DataFrame, order: int, shards: int, most_grams: int = 1_000_000) -> DataFrame:
+    """Blocks of documents (doc_id, lang, mark, text): their words in order, and their distinct n-grams by shard with the counts in marked text.
+
+    A block ends after BLOCK_CHARS characters or `most_grams` distinct n-grams. In `texts` a line is a document.
+    """
+    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.bool_()), ("n_words", pa.int64())]))), ("texts", pa.binary()), ("shards", pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), counter()
+
+        def closed(heads: list[dict], lines: list[str], seen: set[str], known: Counter[str]) -> pa.RecordBatch:
+            dealt: dict[int, list[str]] = {}
+            for g in sorted(seen):
+                dealt.setdefault(shard_of(g, shards), []).append(g)
+            packed = [{"shard": s, "words": pack_words(grams), "counts": pack([known.get(g, 0) for g in grams], "<i8") if known else None} for s, grams in sorted(dealt.items())]
+            return pa.RecordBatch.from_pylist([{"block": (part << 33) + next(made), "docs": heads, "texts": pack_words(lines), "shards": packed}], schema)
+
+        heads, lines, chars, seen, known = [], [], 0, set(), Counter()
+        for batch in small_batches(batches):
+            for doc_id, lang, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = WORDS.findall(text) if text else []
+                heads.append({"doc_id": doc_id, "lang": lang, "mark": mark, "n_words": len(words)})
+                lines.append(" ".join(words))
+                for grams in windows(lines[-1], order):
+                    seen.update(grams)
+                    if mark:
+                        known.update(grams)
+                chars += len(lines[-1]) + 200
+                if chars >= BLOCK_CHARS or len(seen) >= most_grams:
+                    yield closed(heads, lines, seen, known)
+                    heads, lines, chars, seen, known = [], [], 0, set(), Counter()
+        if heads:
+            yield closed(heads, lines, seen, known)
+
+    return docs.select("doc_id", "lang", "mark", "text").mapInArrow(run, "block long, docs array<struct<doc_id:long,lang:string,mark:boolean,n_words:long>>, texts binary, shards array<struct<shard:int,words:binary,counts:binary>>")
+
+
+def marked_counts(blocks: DataFrame) -> DataFrame:
+    """(gram, c): how often each n-gram is in the marked text of blocks of `index_texts`. All of it counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, counts in (r for batch in small_batches(batches, 1) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            c = unpack(counts, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, k in zip(unpack_words(words), c, strict=True) if k], pa.string()), pa.array(c[c > 0], pa.int64())], ["gram", "c"])
+
+    rows = blocks.select(F.explode("shards").alias("s")).where("s.counts is not null").select("s.words", "s.counts")
+    return rows.mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def score_texts(blocks: DataFrame, values: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, mark, size, n_words, logp): each document of blocks of `index_texts` read through; `size` counts its symbols."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = dict(zip(right.column("shard").to_pylist(), right.column("vals").to_pylist(), strict=True))
+        heads, sizes, sums = [], [], []
+        for row in left.to_pylist():
+            known: dict[str, float] = {}
+            for s in row["shards"]:
+                known.update(zip(unpack_words(s["words"]), unpack(got[s["shard"]], "<f8").tolist(), strict=True))
+            for text in unpack_words(row["texts"]):
+                sizes.append(len(text) + 1 if text else 0)
+                sums.append(sum(sum(map(known.__getitem__, grams)) for grams in windows(text, order)))
+            heads += row["docs"]
+        column = lambda name, kind: pa.array([h[name] for h in heads], kind)
+        return pa.table({"doc_id": column("doc_id", pa.int64()), "lang": column("lang", pa.string()), "mark": column("mark", pa.bool_()), "size": pa.array(sizes, pa.int64()), "n_words": column("n_words", pa.int64()), "logp": pa.array(sums, pa.float64())})
+
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, "doc_id long, lang string, mark boolean, size long, n_words long, logp double")
+
+
+def sequence_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, slack: float = 0.15, enough: int = 200) -> DataFrame:
+    """As `perplexity_filter`, with n-grams of SEQUENCE_ORDER characters that run across word boundaries.
+
+    A text is its words in order with a space between two; its symbols are those characters and an end. Distinct n-grams
+    of blocks are valued in joins with the model's tables that are sharded by n-gram; the texts are then read with their
+    block's values.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shards = partitions(spark)
+    blocks = stage(index_texts(marked(docs, trusted), SEQUENCE_ORDER, shards), "texts")
+    model = model_tables(stage(marked_counts(blocks), "kn-counts"), SEQUENCE_ORDER)
+    words = shard_words(blocks, shards)
+    distinct = distinct_words(words).withColumn("gram", F.col("word"))
+    values = give_values(words, distinct.join(stage(gram_scores(distinct.select("gram"), model, SEQUENCE_ORDER), "kn-scores"), "gram"))
+    sums = score_texts(blocks, values, SEQUENCE_ORDER).withColumn("nll", F.when(F.col("size") > 0, -F.col("logp") / F.col("size")))
+    return judge(stage(sums, "perplexities"), quantile, slack, enough)

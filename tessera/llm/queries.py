@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_automaton import encode_decode
 from .embedding_join import near_vectors
 from .html_extract import extract_main_text
-from .kneser_ney import perplexity_filter
+from .kneser_ney import sequence_filter
 from .language_id import fit, identify
 from .minhash import near_duplicates
 from .mixing import mix
@@ -70,7 +70,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity_filter(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    return sequence_filter(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

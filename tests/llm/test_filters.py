@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.kneser_ney import perplexity_filter
+from tessera.llm.kneser_ney import perplexity_filter, sequence_filter
 from tessera.llm.language_id import fit, identify
 from tessera.llm.mixing import mix
 from tessera.llm.quality_rules import quality_rules
@@ -161,6 +161,34 @@ def test_perplexity_separates(docs, labels, odd_docs, no_docs):
     assert perplexity_filter(no_docs, labels.select("doc_id")).count() == 0
 
 
+def test_sequence_perplexity_like_a_plain_version(docs, labels, odd_docs, no_docs):
+    few = docs.where("doc_id < 60").persist()
+    good = labels.where("quality = 1 and doc_id < 60").select("doc_id")
+    ids = {r["doc_id"] for r in good.collect()}
+    texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"]) for r in few.collect()}
+    value = kneser_ney([" ".join(texts[i]) for i in ids if i in texts], order=5)
+    got = {r["doc_id"]: r for r in sequence_filter(few, good).collect()}
+    for i, ws in texts.items():
+        assert got[i]["perplexity"] == pytest.approx(math.exp(-value(" ".join(ws)) / (len(" ".join(ws)) + 1)), rel=1e-9) and got[i]["n_words"] == len(ws)
+    odd = sequence_filter(odd_docs, labels.where("false")).collect()
+    assert len(odd) == odd_docs.count() and {r["doc_id"] for r in odd if not r["kept"]} == {3, 4, 5}
+    assert sequence_filter(no_docs, labels.select("doc_id")).count() == 0
+
+
+def test_quality_classifier_reads_word_order(spark, tmp_path):
+    """Texts of the trusted words in another order, and one word repeated, are costlier than trusted text."""
+    from tessera.llm.queries import op9_quality_classifier
+
+    words = "when the small harbour town wakes, fishing boats already return with silver herring for Marta's market stalls".split()
+    rows = [(i, " ".join(words * 3), "en") for i in range(20)] + [(100, " ".join(w for w in words for _ in range(3)), "en"), (101, " ".join(words[::-1] * 3), "en"), (102, "Marta's " * 48, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in op9_quality_classifier(spark, str(tmp_path)).collect()}
+    for i in (100, 101, 102):
+        assert got[i]["perplexity"] > got[0]["perplexity"] * 1.2
+    assert all(got[i]["kept"] for i in range(20)) and not any(got[i]["kept"] for i in (100, 101, 102))
+
+
 def test_mixing_rates(spark, docs, odd_docs, no_docs):
     out = mix(docs, {"src0": 1.0, "src1": 3.0, "src2": 0.0}, size=2.0)
     got = {r["source"]: r for r in out.groupBy("source").agg(F.count("*").alias("n"), F.first("mix_rate").alias("rate"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
