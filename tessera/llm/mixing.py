@@ -71,9 +71,10 @@ def mix(docs: DataFrame, target: dict[str | None, float] | None = None, size: fl
     rates = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), pieces.alias("mix_pieces"), poisson_table(F.col("rate") / pieces).alias("mix_table"))
     if rates.limit(broadcast_sources + 1).count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    rows = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
-    draw = lambda i: F.size(F.filter(F.col("mix_table"), lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), F.lit("copies"), i)))
+    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]  # a hash skips nulls
+    rows = docs.select(*kept, F.xxhash64(F.lit(seed), *own, F.lit("copies")).alias("mix_hash"), F.xxhash64(F.lit(seed + 1), *own).alias("mix_deal")).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
+    draw = lambda i: F.size(F.filter(F.col("mix_table"), lambda c: c <= uniform(F.col("mix_hash"), i)))
     copies = F.aggregate(F.sequence(F.lit(1), F.col("mix_pieces")), F.lit(0), lambda s, i: s + draw(i))
     rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    rows = rows.select(*kept, "mix_rate", "mix_copies", "mix_copy", F.xxhash64(F.lit(seed + 1), "doc_id", "mix_copy").alias("mix_key"))
+    rows = rows.select(*kept, "mix_rate", "mix_copies", "mix_copy", F.xxhash64("mix_deal", "mix_copy").alias("mix_key"))
     return rows.repartition(max(partitions(spark), 1), "mix_key").sortWithinPartitions("mix_key").drop("mix_key")

@@ -214,3 +214,14 @@ def test_poisson_draws(spark):
         mean = sum(k * v for k, v in n.items()) / 20000
         square = sum(k * k * v for k, v in n.items()) / 20000
         assert mean == pytest.approx(size, rel=0.03) and square - mean**2 == pytest.approx(size, rel=0.08)
+
+
+def test_mixing_draws_by_text_too(spark):
+    """Rows of a null id, or of one repeated id, with different texts draw and are dealt each by itself."""
+    for doc_id in ("cast(null as bigint)", "cast(7 as bigint)"):
+        rows = spark.range(4000).selectExpr(f"{doc_id} as doc_id", "lpad(cast(id as string), 6, '0') as text", "'s' as source")
+        out = mix(rows, size=0.5)
+        n = out.count()
+        assert abs(n - 2000) < 5 * math.sqrt(2000) and {0, 1} <= {r["mix_copy"] for r in out.select("mix_copy").distinct().collect()}
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) == 4 and max(parts) < 0.4 * n
