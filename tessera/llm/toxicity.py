@@ -135,9 +135,10 @@ class Grammar:
             if spans and first < spans[-1][1] or first and low[first - 1].isalnum() or not stem and after < len(low) and low[after].isalnum():
                 continue
             begin = spans[-1][1] if spans else 0
-            breaks = [m.end() for m in CLAUSE.finditer(low, max(begin, first - 2000), first)]
+            for m in CLAUSE.finditer(low, begin, first):  # forwards from the last clause, so that a text is scanned once
+                begin = m.end()
             end = CLAUSE.search(low, after)
-            spans.append((breaks[-1] if breaks else max(begin, first - 2000), end.start() if end else len(low)))
+            spans.append((begin, end.start() if end else len(low)))
         for start, end in spans:
             tags, weight = self.clause(low[start:end])
             insults, denied = tags.count("i"), tags.count("N")

@@ -94,6 +94,13 @@ def test_grammar_reads_clauses():
     assert grammar().states == 2 * 4 * 3
 
 
+def test_grammar_reads_long_clauses_whole():
+    g = Grammar({"idiot": ("insult", 3.0), "you": ("target", 1.0), "said": ("report", 1.0), "kill": ("threat", 1.0)})
+    far = "word " * 1000
+    assert g.features(f"you are {far} an idiot")[1] > 0 and g.features(f"he said {far} an idiot")[3] > 0
+    assert g.features(f"you wait {far} i kill")[4] == 1 and g.features(f"you wait. {far} i kill")[4] == 0
+
+
 def test_language_held_out(docs, odd_docs, no_docs):
     model = fit(docs.where(~held_out()))
     rows = identify(docs.where(held_out()), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
