@@ -7,6 +7,7 @@ as Parquet and read again as the next one's docs. All but the last return the co
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.bpe_automaton import encode_decode
 from tessera.llm.minhash import near_duplicates
@@ -32,9 +33,17 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    gone = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.select(*COLUMNS).join(ids_side(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates stays. Rows of a null or repeated id are documents of their own, met by numbers past all ids."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    if ids.isEmpty():
+        rows = docs.select(*COLUMNS, F.col("doc_id").alias("row_id"))
+    else:
+        high = docs.agg(F.max("doc_id")).first()[0] or 0
+        again = ids_side(stage(ids.where("doc_id is not null"), "repeated").withColumn("again", F.lit(True)))
+        number = F.when(F.col("again") | F.col("doc_id").isNull(), F.monotonically_increasing_id() + high + 1).otherwise(F.col("doc_id"))
+        rows = stage(docs.select(*COLUMNS).join(again, "doc_id", "left").select(*COLUMNS, number.alias("row_id")), "numbered")
+    gone = stage(near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("row_id")).distinct(), "dropped")
+    return rows.join(ids_side(gone), "row_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

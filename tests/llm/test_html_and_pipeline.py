@@ -81,3 +81,14 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, sf_dir):
         for _, step in c.STAGES:
             at = stage(step(spark, at, sf_dir), "test")
         at.count()
+
+
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark, sf_dir):
+    import corpus_pipeline as c
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (None, text("d")), (None, text("e")), (None, text("a")), (3, text("f")), (4, text("f") + " end"), (5, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    got = c.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(r["text"] or "" for r in got) == sorted(["", "", "", *map(text, "abcdef")])
+    assert {r["doc_id"] for r in got if r["text"] == text("f")} == {3}
