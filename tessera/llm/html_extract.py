@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from .workspace import ship, small_batches
 
 # Fixed values of HTML.
-#: Elements whose content is never text of the page.
-DROPPED = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "select", "object", "canvas", "audio", "video")
+#: Elements whose content is never text of the page. Of these only svg, being foreign to HTML, may close itself.
+DROPPED = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li legend main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of the key ends an open element of the values, up to the nearest of the stops.
@@ -35,7 +35,7 @@ BODY = frozenset("article main".split())
 GOOD = frozenset("article articlebody content entry main post story text".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)/?>|<[!?][^>]*>?|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^<>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)/?>|<[!?][^>]*>?|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 MARKED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

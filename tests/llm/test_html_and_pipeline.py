@@ -20,6 +20,13 @@ def test_extract_by_hand():
     assert extract(None) == extract("") == extract("<script>x</script>") == extract("<!-- only") == ""
 
 
+def test_extract_reads_past_self_closed_tags():
+    first, second = "The first paragraph of this article has words enough.", "The second paragraph of this article has words enough."
+    for tag in ('<svg class="i"/>', "<svg a='/>' href=/b/c />", "<math/>", "<svg><path d='x'/><text>no</text></svg>", '<script src="a"/>var no</script>'):
+        assert extract(f"<article><p>{first}</p>{tag}<p>{second}</p></article>") == f"{first}\n{second}"
+    assert extract(f"<article><p>{first} Here <math><mi>x</mi></math> is one.</p><object data=y><p>{second}</p></object></article>") == f"{first} Here x is one.\n{second}"
+
+
 def test_pages_of_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r for r in extract_main_text(pages).collect()}
