@@ -8,6 +8,7 @@ scored by one product of its presence matrix with an (n-grams x languages) matri
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -139,11 +140,11 @@ class Model:
         self.languages, self.spectrum, self.weights = languages, spectrum, weights
 
 
-def fit(rows: DataFrame, per_language: int = 1500, landmarks: int = 128, most_languages: int = 200, ridge: float = 1e-3, seed: int = 3) -> Model | None:
+def fit(rows: DataFrame, per_language: int = 1500, landmarks: int = 128, ridge: float = 1e-3, seed: int = 3) -> Model | None:
     """A model from (doc_id, text, lang) rows that may be learned from; None if none has a language and a text.
 
-    Bounded: the `most_languages` commonest languages, about `per_language` rows of each by a hash of the id, and
-    `landmarks` texts in all of at most 20,000 characters. Kernel values of the sample come to the driver, no texts but
+    Every language is learned. Bounded: about `per_language` rows of each by a hash of the id, and `landmarks` texts in
+    all (two a language, if that is more) of at most 20,000 characters. Kernel values of the sample come to the driver, no texts but
     the landmarks.
     """
     import numpy as np
@@ -151,15 +152,15 @@ def fit(rows: DataFrame, per_language: int = 1500, landmarks: int = 128, most_la
     spark = rows.sparkSession
     ship(spark)
     rows = rows.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     languages = sorted(counts)
     u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
     def sampled(n: float) -> DataFrame:
-        share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, n / v))])[F.col("lang")]
-        return rows.withColumn("u", u).where(F.col("u") < share)
+        shares = spark.createDataFrame([(k, min(1.0, n / v)) for k, v in counts.items()], "lang string, share double")
+        return rows.withColumn("u", u).join(F.broadcast(shares), "lang").where(F.col("u") < F.col("share"))
 
     each = max(2, landmarks // len(languages))
     near = sampled(3.0 * each).where("length(text) <= 20000").select("lang", "text", "u").orderBy("u").limit(4 * each * len(languages)).collect()
@@ -193,7 +194,8 @@ def fit(rows: DataFrame, per_language: int = 1500, landmarks: int = 128, most_la
     at = {x: i for i, x in enumerate(languages)}
     y = np.full((len(got), len(languages)), -1.0)
     y[np.arange(len(got)), [at[r["lang"]] for r in got]] = 1.0
-    own = np.array([1.0 / max(1, sum(r["lang"] == x for r in got)) for x in languages])[[at[r["lang"]] for r in got]][:, None]  # languages weigh alike
+    n = Counter(r["lang"] for r in got)
+    own = np.array([1.0 / max(1, n[x]) for x in languages])[[at[r["lang"]] for r in got]][:, None]  # languages weigh alike
     own *= len(got) / len(languages)
     among = (scaled @ scaled.T).astype(float)
     beta = np.linalg.solve((k * own).T @ k + ridge * len(got) * (among + 1e-6 * np.eye(len(among))), (k * own).T @ y)

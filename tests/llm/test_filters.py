@@ -112,6 +112,15 @@ def test_language_held_out(docs, odd_docs, no_docs):
     assert identify(no_docs, model).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    """205 languages, each of one letter from its own part of Unicode."""
+    rows = [(2 * k + j, " ".join([chr(0x4E00 + k) * n for n in (2, 3, 4)] * 3), f"x{k:03}") for k in range(205) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    assert len(model.languages) == 205
+    assert all(r["lang_pred"] == r["lang"] for r in identify(docs, model, keep=("doc_id", "lang")).collect())
+
+
 def kneser_ney(words, order=4):
     """Plain interpolated modified Kneser-Ney over characters of words: a function from a word to its log probability."""
     pad = lambda w: "\t" * (order - 1) + w + "\n"
