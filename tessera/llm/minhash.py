@@ -3,8 +3,14 @@
 Documents with equal shingle sets form a class and only its smallest id goes on. A document's MinHash samples give band
 keys (candidates) and are folded into an odd sketch, a bitmap of parities: the XOR population count of two sketches
 estimates how many samples differ, most precisely at high similarity, and clears candidates before their full sets are
-compared. Within a band's bucket, members are compared with a hub, not with each other; further hubs and, at last, all
-pairs that are still in different components of a bucket follow, so that no link between components is missed.
+compared. No bucket is ever compared all against all:
+
+1. Each bucket's members meet its hub, the member with the most bucket mates. Buckets that are one component are done.
+2. In open buckets of at most SMALL members, members of different components meet; that is linear in the members.
+3. Larger open buckets are gathered by their hubs' component into groups with one hub each, which all members meet.
+   Documents that are still apart then meet only if they share one of the rarest elements of their *differences to the
+   hub* (`prefix_places`): linked documents must, whatever their number, and near copies that differ each in their own
+   way do not. Large places again meet a hub of theirs before the rest.
 """
 
 from __future__ import annotations
@@ -16,17 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import connected_components, ids_side, ship, small_batches, stage
+from .workspace import connected_components, ids_side, ship, small_batches, stage, unstage
 
 #: 30 bands of 4 samples: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^30, about 1 in 100,000.
 BANDS, ROWS = 30, 4
-#: Bits of an odd sketch. A pair of similarity 0.75 differs in about 60 of 240 folded samples (standard deviation about
-#: 9.5), that is in about 53 bits (about 8); FAR is five deviations above, so it clears hardly ever such a pair.
-SKETCH_BITS, FAR = 512, 92
-#: Bytes of text that one pass of the vectorised hashing takes at most (a longer text is a pass by itself).
+#: Samples folded into an odd sketch (the bands' are the first of them), and its bits. Two sketches of similarity 0.75
+#: differ in about 201 bits (standard deviation 14.5 at most, simulated); FAR is five deviations above. Of pairs of
+#: similarity 0.6 it clears 70 %, of those of 0.55 all but a few.
+SAMPLES, SKETCH_BITS, FAR = 512, 1024, 274
+#: Sets up to this size are also folded whole, each shingle being a sample: the XOR of two such sketches is the odd sketch
+#: of the sets' symmetric difference, so its count is never above, and for near copies hardly below, that difference.
+WHOLE = 1500
+#: Bytes of text that one pass of the vectorised hashing takes at most.
 CHUNK = 1_000_000
-#: Above this many sketch comparisons between components (counted by band), another round with hubs comes first.
-MOST_PAIRS = 20_000_000
+#: Members up to which a bucket's members are compared with each other.
+SMALL = 48
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -41,7 +51,7 @@ def _mix(x):
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the 5-word shingles of texts, many texts at a time."""
+    """Sorted distinct 64-bit hashes of the 5-word shingles of texts, many texts at a time and long ones in pieces."""
 
     def __init__(self, width: int = 5):
         import numpy as np
@@ -53,6 +63,7 @@ class Shingler:
         self.base = np.uint64(0xD6E8FEB86659FD93)
         self.inverse = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
         self.powers = self.inverses = np.ones(1, np.uint64)
+        self.mult = [np.uint64(pow(0xA0761D6478BD642F, j + 1, 1 << 64)) for j in range(width)]
 
     def _grow(self, n: int) -> None:
         import numpy as np
@@ -61,34 +72,57 @@ class Shingler:
             self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base)]), dtype=np.uint64)
             self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.inverse)]), dtype=np.uint64)
 
-    def _chunk(self, texts: list[bytes]) -> list:
+    def _words(self, data: bytes):
+        """(starts, hashes) of the words of bytes that end with white space."""
         import numpy as np
 
-        joined = b"\n".join(texts) + b"\n"
-        raw = np.frombuffer(joined.translate(_LOWER), np.uint8)
+        raw = np.frombuffer(data.translate(_LOWER), np.uint8)
         self._grow(len(raw) + 1)
-        space = self.space[raw]
-        edge = np.flatnonzero(np.diff(space, prepend=True))  # the chunk ends with white space
+        edge = np.flatnonzero(np.diff(self.space[raw], prepend=True))
         starts, ends = edge[0::2], edge[1::2]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(self.letters[raw] * self.powers[: len(raw)], dtype=np.uint64)])
-        words = _mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        return starts, _mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+    def _roll(self, words):
+        import numpy as np
+
+        n = len(words) - self.width + 1
+        rolled = np.zeros(max(n, 0), np.uint64)
+        for j in range(self.width if n > 0 else 0):
+            rolled += words[j : n + j] * self.mult[j]
+        return _mix(rolled)
+
+    def _one(self, words, rolled):
+        import numpy as np
+
+        if len(words) >= self.width:
+            return np.unique(rolled)
+        if len(words):
+            return _mix(np.array([sum(int(h) * int(m) for h, m in zip(words, self.mult, strict=False)) + len(words) & (1 << 64) - 1], np.uint64))
+        return np.zeros(0, np.uint64)
+
+    def _chunk(self, texts: list[bytes]) -> list:
+        import numpy as np
+
+        starts, words = self._words(b"\n".join(texts) + b"\n")
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        first = np.searchsorted(starts, bounds)  # a document's words are words[first[d] : first[d + 1]]
-        w, n = self.width, len(words)
-        mult = [np.uint64(pow(0xA0761D6478BD642F, j + 1, 1 << 64)) for j in range(w)]
-        rolled = np.zeros(max(n - w + 1, 0), np.uint64)
-        for j in range(w):
-            rolled += words[j : n - w + 1 + j] * mult[j] if n >= w else 0
-        rolled = _mix(rolled)
-        out = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= w:
-                out.append(np.unique(rolled[a : b - w + 1]))
-            elif b > a:
-                out.append(_mix(np.array([sum(int(words[a + j]) * int(mult[j]) for j in range(b - a)) + (b - a) & (1 << 64) - 1], np.uint64)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-        return out
+        first = np.searchsorted(starts, bounds).tolist()  # a document's words are words[first[d] : first[d + 1]]
+        rolled = self._roll(words)
+        return [self._one(words[a:b], rolled[a : max(a, b - self.width + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def _long(self, text: bytes):
+        """A long text's words are hashed piece by piece, cut before white space; a longer word is one piece."""
+        import numpy as np
+
+        at, parts = 0, []
+        while at < len(text):
+            end = at + CHUNK
+            while end < len(text) and not self.space[text[end]]:
+                end += 1
+            parts.append(self._words(text[at:end] + b"\n")[1])
+            at = end
+        words = np.concatenate(parts)
+        return self._one(words, self._roll(words))
 
     def sets(self, texts: list[str | None]) -> Iterator:
         part, size = [], 0
@@ -97,46 +131,57 @@ class Shingler:
             if part and size + len(data) > CHUNK:
                 yield from self._chunk(part)
                 part, size = [], 0
+            if len(data) > CHUNK:
+                yield self._long(data)
+                continue
             part.append(data)
             size += len(data)
         if part:
             yield from self._chunk(part)
 
 
+def sample_seeds():
+    import numpy as np
+
+    return (_mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 def minhash(shingles, seeds):
-    """The samples of a set: for each seed, the smallest 32-bit value of its shingles."""
+    """The MinHash samples of a set: for each odd seed, the smallest 32-bit product with the upper half of a shingle."""
     import numpy as np
 
-    out = np.full(len(seeds), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        out = np.minimum(out, (part[None, :] * seeds[:, None]).min(1))
-    return out >> np.uint64(32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(seeds), np.uint32(0xFFFFFFFF))
+    for at in range(0, len(high), 1024):
+        np.minimum(out, (high[None, at : at + 1024] * seeds[:, None]).min(1), out=out)
+    return out.astype(np.uint64)
 
 
-def odd_sketch(samples):
-    """The parity bitmap of the samples, as SKETCH_BITS / 64 signed 64-bit integers."""
+def odd_sketch(samples, spread: bool = True):
+    """The parity bitmap of the samples, as SKETCH_BITS / 64 signed 64-bit integers; `spread` tells the samples' places apart."""
     import numpy as np
 
-    at = _mix(samples + (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+    if spread:
+        samples = samples + (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))
+    at = _mix(samples) % np.uint64(SKETCH_BITS)
     bits = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sketch) of (doc_id, text); bands and sketch are null without shingles."""
+    """(doc_id, n_shingles, set_key, bands, sketch, whole) of (doc_id, text); the last three are null without shingles, `whole` also for sets over WHOLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        shingler = Shingler()
-        seeds = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        shingler, seeds = Shingler(), sample_seeds()
         weigh = _mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
         salt = _mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
         for batch in small_batches(batches):
-            n, keys, bands, sketches = [], [], [], []
+            n, keys, bands, sketches, wholes = [], [], [], [], []
             for s in shingler.sets(batch.column(1).to_pylist()):
                 n.append(len(s))
+                wholes.append(odd_sketch(s, spread=False).tolist() if 0 < len(s) <= WHOLE else None)
                 if not len(s):
                     keys.append(None)
                     bands.append(None)
@@ -144,11 +189,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 samples = minhash(s, seeds)
-                bands.append(_mix((samples.reshape(BANDS, ROWS) * weigh).sum(1, dtype=np.uint64) ^ salt).view(np.int64).tolist())
+                bands.append(_mix((samples[: BANDS * ROWS].reshape(BANDS, ROWS) * weigh).sum(1, dtype=np.uint64) ^ salt).view(np.int64).tolist())
                 sketches.append(odd_sketch(samples).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands", "sketch", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def sketch_distance(a: Column, b: Column) -> Column:
@@ -159,106 +204,236 @@ def sketch_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def met_before(at: Column, a: Column, b: Column) -> Column:
-    """Whether two documents share a band before number `at`, by 32 bits of each band's key."""
-    met = F.lit(False)
-    for t in range(BANDS):
-        met = met | ((at > t) & (a[t] == b[t]))
-    return met
+class Sets:
+    """Full shingle sets of the documents that a comparison has asked for, each made from its text once and staged."""
+
+    def __init__(self, docs: DataFrame):
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+        self.parts: list[DataFrame] = []
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(rep, shingles) of at least all `ids` (rep)."""
+        for part in self.parts:
+            ids = ids.join(part.select("rep"), "rep", "left_anti")
+        new = stage(ids.select("rep").distinct(), "set-ids")
+
+        def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler()
+            for batch in small_batches(batches):
+                data = [s.tobytes() for s in shingler.sets(batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["rep", "shingles"])
+
+        if not new.isEmpty():
+            rows = self.texts.join(ids_side(new), "rep", "left_semi").dropDuplicates(["rep"])
+            self.parts.append(stage(rows.mapInArrow(shingle, "rep long, shingles binary"), "shingles"))
+        unstage(new)
+        out = self.parts[0] if self.parts else self.texts.where("false").selectExpr("rep", "cast(text as binary) as shingles")
+        for part in self.parts[1:]:
+            out = out.union(part)
+        return out
 
+    def drop(self) -> None:
+        for part in self.parts:
+            unstage(part)
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are similar enough, compared set by set."""
-    ids = ids_side(stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids"))
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in small_batches(batches):
-            data = [s.tobytes() for s in shingler.sets(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.large_binary())], ["doc_id", "shingles"])
+def confirmed(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The staged pairs (a, b) whose full shingle sets are similar enough, compared set by set; staged."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in small_batches(batches):
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = 0
-                if min(len(p), len(q)) * 100 >= percent * max(len(p), len(q)):
-                    both = np.sort(np.concatenate([p, q]), kind="mergesort")
-                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([p, q]), kind="mergesort")
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
                 good.append(100 * same >= percent * (len(p) + len(q) - same))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(texts.mapInArrow(shingle, "doc_id long, shingles binary"), "shingles")
-    wide = pairs.join(sets.withColumnRenamed("doc_id", "a").withColumnRenamed("shingles", "sa"), "a").join(sets.withColumnRenamed("doc_id", "b").withColumnRenamed("shingles", "sb"), "b")
-    return wide.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    full = sets.of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")))
+    wide = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
+    return stage(wide.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+
+
+def most_apart(n: Column, m: Column, percent: int) -> Column:
+    """The largest symmetric difference of two linked sets of these sizes."""
+    return F.floor((n + m) * ((100 - percent) / (100 + percent)) + 1e-6)
+
+
+def alike(p: str, q: str, percent: int) -> Column:
+    """Whether neither the sizes nor the sketches of two heads (aliases `p` and `q`, with n, sketch, whole) rule out a link.
+
+    Sketches of samples may differ in FAR bits; those of whole sets in no more than their difference, nor in more than
+    six deviations above what a difference of that size gives.
+    """
+    n, m = F.col(f"{p}.n"), F.col(f"{q}.n")
+    apart = most_apart(n, m, percent).cast("double")
+    mean = SKETCH_BITS / 2 * (1 - F.exp(apart * (-2 / SKETCH_BITS)))
+    spread = F.sqrt(F.greatest(SKETCH_BITS / 4 * (1 - F.exp(apart * (-4 / SKETCH_BITS))) - apart * F.exp(apart * (-4 / SKETCH_BITS)), F.lit(0.0)))
+    exact = sketch_distance(F.col(f"{p}.whole"), F.col(f"{q}.whole")) <= F.least(apart, mean + 6 * spread + 2)
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes & F.coalesce(exact, F.lit(True)) & (sketch_distance(F.col(f"{p}.sketch"), F.col(f"{q}.sketch")) <= FAR)
+
+
+def cleared(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of heads (rep, n, sketch, whole), a < b, that may be linked (`alike`)."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    wide = pairs.join(heads.alias("p"), F.col("a") == F.col("p.rep")).join(heads.alias("q"), F.col("b") == F.col("q.rep"))
+    return wide.where(alike("p", "q", percent)).select("a", "b")
+
+
+def differences(members: DataFrame, sets: Sets) -> DataFrame:
+    """(g, mode, rep, n, tokens) of `members` (g, rep), where g is a hub; tokens are shingle hashes.
+
+    Mode 0 holds documents of similarity 0.25 or more with the hub; their tokens are the symmetric difference to it, at
+    most 5 n + 1 of them. Mode 1 holds those of 0.5 or less; their tokens are their own shingles. Linked documents are
+    in one mode together: by the triangle inequality of 1 - similarity, theirs with the hub differ by 0.25 at most
+    (`percent` 75 or more).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in small_batches(batches, 64):
+            out: list[tuple] = []
+            for g, rep, hub, own in zip(*(batch.column(i) for i in range(4)), strict=True):
+                h, s = np.frombuffer(hub.as_buffer(), np.uint64), np.frombuffer(own.as_buffer(), np.uint64)
+                both, times = np.unique(np.concatenate([h, s]), return_counts=True)
+                same = int(np.count_nonzero(times == 2))
+                if 4 * same >= len(both):
+                    out.append((g.as_py(), 0, rep.as_py(), len(s), both[times == 1].view(np.int64)))
+                if 2 * same <= len(both):
+                    out.append((g.as_py(), 1, rep.as_py(), len(s), s.view(np.int64)))
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "mode", "rep", "n", "tokens"])
+
+    full = sets.of(members.select("rep"))
+    wide = members.join(full.toDF("g", "hub"), "g").join(full.toDF("rep", "own"), "rep")
+    return wide.select("g", "rep", "hub", "own").mapInArrow(run, "g long, mode int, rep long, n long, tokens array<long>")
+
+
+def prefix_places(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """(g, mode, token, rep, n, x, u, short): places where documents of `members` (g, rep) that may be linked meet.
+
+    Of two documents with token sets X and Y (`differences`), |X| <= |Y|, the sets' symmetric difference is that of the
+    documents' shingles and, if they are linked, at most D = (n + m) (100 - percent) / (100 + percent). So they share at
+    least (|X| + |Y| - D) / 2 tokens, and in any common order of the tokens one among the first D / 2 + 1 of X and D + 1
+    of Y (the prefix filter). The order is by rarity within the group; tokens of one document alone come first and can't
+    be shared, so the u of them only shorten the prefixes, to nothing for most. x is |X|; `short` marks the places in
+    the prefix of a smaller partner. The least number shared is above 0 unless both documents are linked to the hub,
+    which must be known by then.
+    """
+    made = stage(differences(members, sets).withColumn("x", F.size("tokens").cast("long")), "differences")
+    flat = made.select("g", "mode", "rep", F.explode("tokens").alias("token"))
+    shared = flat.groupBy("g", "mode", "token").agg(F.count("*").alias("df")).where("df > 1")
+    order = flat.join(shared, ["g", "mode", "token"]).groupBy("g", "mode", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    most = F.floor(F.col("n") * ((100 + percent) / percent * (100 - percent) / (100 + percent)) + 1e-6)  # D, as m <= 100 n / percent
+    known = order.join(made.select("g", "mode", "rep", "n", "x"), ["g", "mode", "rep"]).withColumn("u", F.col("x") - F.size("s"))
+    long, short = F.greatest(most - F.col("u") + 1, F.lit(0)), F.greatest(F.floor(most / 2) - F.col("u") + 1, F.lit(0))
+    known = known.select("g", "mode", "rep", "n", "x", "u", short.cast("long").alias("k"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("at", "t"))
+    out = stage(known.select("g", "mode", F.col("t.token").alias("token"), "rep", "n", "x", "u", (F.col("at") < F.col("k")).alias("short")), "places")
+    unstage(made)
+    return out
+
+
+def hubs_of(places: DataFrame, keys: list[str], best: Column) -> DataFrame:
+    """(keys, hub): of each place the member with the largest `best`, the smallest id on a tie."""
+    return places.groupBy(*keys).agg(F.max(F.struct(best.alias("best"), (-F.col("rep")).alias("low"))).alias("top")).select(*keys, (-F.col("top.low")).alias("hub"))
+
+
+def gathered(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(g, rep) of `members` (hub, rep): hubs of one component give their members to the one among them that has most."""
+    sizes = members.groupBy("hub").agg(F.count("*").alias("n")).join(comps.toDF("hub", "component"), "hub", "left").withColumn("component", F.coalesce("component", "hub"))
+    lead = sizes.groupBy("component").agg(F.max(F.struct("n", (-F.col("hub")).alias("low"))).alias("top")).select("component", (-F.col("top.low")).alias("g"))
+    return members.join(sizes.join(lead, "component").select("hub", "g"), "hub").select("g", "rep").distinct()
+
+
+def parted(places: DataFrame, comps: DataFrame, keys: list[str]) -> DataFrame:
+    """Places with their members' component `comp`, without those that are one component; `size` is the number of members."""
+    now = places.join(comps.toDF("rep", "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    open_ = now.groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select(*keys, "size")
+    return now.join(open_, keys)
+
+
+class Links:
+    """Links found so far, and the components that they make."""
+
+    def __init__(self, spark, sets: Sets, percent: int):
+        self.sets, self.percent = sets, percent
+        self.comps = spark.createDataFrame([], "id long, component long")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm `pairs` (a, b) and join the components that they link."""
+        pairs = stage(pairs, "pairs")
+        if not pairs.isEmpty():
+            good = confirmed(pairs, self.sets, self.percent)
+            old = self.comps
+            edges = good.union(old.where("id <> component").toDF("a", "b"))
+            self.comps = stage(connected_components(edges), "components")
+            unstage(good)
+            unstage(old)
+        unstage(pairs)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text).
 
     Words are what white space (U+0020, U+0009 to U+000D) parts, A-Z in lower case; two documents are linked if
-    100 * |intersection| >= percent * |union| of their distinct 5-word shingles (a text of fewer words is one shingle).
-    Texts without words, and null ids, are linked with nothing; a null id has a null component and stays. Repeated rows
-    of one id are one document and get the same result each. kept: the id is the smallest of its component. Texts are
-    read whole; rows move as 8-byte keys and small sketches, and full sets only for candidate pairs.
+    100 * |intersection| >= percent * |union| of their distinct 5-word shingles (a text of fewer words is one shingle);
+    `percent` is 75 at least. Texts without words, and null ids, are linked with nothing; a null id has a null component
+    and stays. Repeated rows of one id are one document and get the same result each. kept: the id is the smallest of its
+    component. Texts are read whole; rows move as 8-byte keys and small sketches, and full sets only for candidates.
+    Links are exact; a pair of documents that shares no band (1 in 100,000 at similarity 0.75, fewer above) is not looked at.
     """
-    ship(docs.sparkSession)
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100")
+    spark = docs.sparkSession
+    ship(spark)
     signed = stage(signatures(docs), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     members = stage(full.select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "rep"), "members")
-    copies = ids_side(stage(members.groupBy("doc_id").agg(F.min(F.col("rep") == F.col("doc_id")).alias("first")).where("not first").select("doc_id"), "copies"))
-    reps = full.select("doc_id", "bands", "sketch").join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
-    exploded = reps.select("rep", F.posexplode("bands").alias("at", "band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "n")
-    buckets = stage(exploded.join(shared, "band"), "buckets")  # one row for each member of a bucket of two or more
-    popular = buckets.groupBy("rep").agg(F.sum("n").alias("pop"))
-    short = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("short")
-    sketches = reps.select("rep", "sketch", short).dropDuplicates(["rep"]).join(popular, "rep")
-    places = stage(buckets.join(sketches, "rep").select("band", "at", "rep", "pop", "sketch", "short"), "places")
-    links, seen, comps = None, None, None
-    for turn in range(8):
-        now = places if comps is None else places.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-        now = now.withColumn("comp", F.coalesce("component", "rep") if comps is not None else F.col("rep"))
-        if turn:
-            sizes = now.groupBy("band", "comp").agg(F.count("*").cast("double").alias("k"))
-            open_ = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s")).where(F.col("n") * F.col("n") > F.col("s"))
-            open_ = stage(open_.select("band", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("cross")), "open")
-            left = open_.agg(F.sum("cross")).first()[0] or 0
-            if not left:
-                break
-            now = now.join(open_.select("band"), "band")
-        last = turn > 0 and (left <= MOST_PAIRS or turn == 7)
-        if last:
-            x = now.select("band", "at", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("ka"), F.col("short").alias("sa"))
-            y = now.select(F.col("band").alias("band_b"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("kb"), F.col("short").alias("sb"))
-            first = ~met_before(F.col("at"), F.col("sa"), F.col("sb"))  # a pair comes from the first band that it shares
-            pairs = x.join(y, (F.col("band") == F.col("band_b")) & (F.col("ca") < F.col("cb")) & (sketch_distance(F.col("ka"), F.col("kb")) <= FAR) & first).select("a", "b")
-        else:
-            order = F.struct("pop" if not turn else F.xxhash64(F.lit(turn), "rep").alias("pop"), (-F.col("rep")).alias("low"), "comp", "sketch")
-            hubs = now.groupBy("band").agg(F.max(order).alias("hub")).select("band", (-F.col("hub.low")).alias("b"), F.col("hub.comp").alias("cb"), F.col("hub.sketch").alias("kb"))
-            pairs = now.join(hubs, "band").where((F.col("comp") != F.col("cb")) & (sketch_distance(F.col("sketch"), F.col("kb")) <= FAR)).select(F.col("rep").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        good = stage(_confirmed(pairs, docs, percent), "links")
-        seen = pairs if seen is None else seen.union(pairs)
-        links = good if links is None else links.union(good)
-        comps = stage(connected_components(links), "components")
-        if last:
-            break
-    if comps is not None:
-        members = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    else:
-        members = members.withColumn("component", F.col("rep"))
-    members = members.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(members, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    copies = stage(members.groupBy("doc_id").agg(F.min(F.col("rep") == F.col("doc_id")).alias("first")).where("not first").select("doc_id"), "copies")
+    reps = full.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch", "whole").join(ids_side(copies.withColumnRenamed("doc_id", "rep")), "rep", "left_anti")
+    exploded = reps.select("rep", F.explode("bands").alias("band"))
+    shared = exploded.groupBy("band").agg(F.count("*").alias("mates"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "mates")
+    buckets = stage(exploded.join(shared, "band"), "buckets")  # a row for each member of a bucket of two or more
+    popular = buckets.join(buckets.groupBy("rep").agg(F.sum("mates").alias("pop")), "rep")
+    places = stage(buckets.select("band", "rep").join(hubs_of(popular, ["band"], F.col("pop")), "band"), "bands")
+    heads = reps.select("rep", "n", "sketch", "whole").join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    heads = stage(heads, "heads")
+    unstage(buckets)
+    sets = Sets(docs)
+    links = Links(spark, sets, percent)
+    links.add(cleared(places.select(F.col("rep").alias("a"), F.col("hub").alias("b")), heads, percent))
+    left = stage(parted(places, links.comps, ["band"]), "open")
+    if not left.isEmpty():
+        few = left.where(F.col("size") <= SMALL).join(heads, "rep").select("band", "rep", "comp", "n", "sketch", "whole")
+        two = few.alias("p").join(few.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.comp") < F.col("q.comp")) & alike("p", "q", percent))
+        links.add(two.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct())
+        many = left.where(F.col("size") > SMALL).select("hub", "rep")
+        if not many.isEmpty():
+            many = stage(gathered(many.distinct(), links.comps), "groups")
+            links.add(cleared(many.select(F.col("rep").alias("a"), F.col("g").alias("b")), heads, percent))
+            keys = ["g", "mode", "token"]
+            spots = prefix_places(many, sets, percent)
+            wide = parted(spots, links.comps, keys).where(F.col("size") > SMALL)
+            wide = wide.select(*keys, "rep").join(hubs_of(wide, keys, -F.col("x")), keys)
+            links.add(cleared(wide.select(F.col("rep").alias("a"), F.col("hub").alias("b")), heads, percent))
+            rest = parted(spots, links.comps, keys).drop("size").join(heads.drop("n"), "rep")
+            bound = most_apart(F.col("p.n"), F.col("q.n"), percent)
+            near = (F.col("p.u") + F.col("q.u") <= bound) & (F.col("q.x") - F.col("p.x") <= bound) & (F.col("p.x") + F.col("q.x") - bound <= 2 * F.least(F.col("p.x") - F.col("p.u"), F.col("q.x") - F.col("q.u")))
+            first = F.struct("p.x", "p.rep") < F.struct("q.x", "q.rep")
+            same = (F.col("p.g") == F.col("q.g")) & (F.col("p.mode") == F.col("q.mode")) & (F.col("p.token") == F.col("q.token"))
+            two = rest.where("short").alias("p").join(rest.alias("q"), same & first & (F.col("p.comp") != F.col("q.comp")) & near & alike("p", "q", percent))
+            links.add(two.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct())
+            unstage(spots)
+            unstage(many)
+    for done in (left, places, heads):
+        unstage(done)
+    sets.drop()
+    found = members.join(links.comps.toDF("rep", "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["connected_components", "held_out", "ids_side", "partitions", "shared_dir", "ship", "small_batches", "stage", "table"]
+__all__ = ["connected_components", "held_out", "ids_side", "partitions", "shared_dir", "ship", "small_batches", "stage", "table", "unstage"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; only where that is unset, a temporary one."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Unset, it is a temporary one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -29,7 +32,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove what `stage` wrote for `df` itself, once all that is made from it has been staged in turn. Other DataFrames have nothing to remove."""
+    path = getattr(df, "staged_at", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Ids up to which a set of ids is broadcast: 16 bytes each, 32 MB in all.
@@ -65,7 +79,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """(id, component): the smallest id reachable over undirected `edges`, for every id on an edge.
 
     Alternating large-star and small-star steps; each needs only grouped minima and equi-joins, so a hub with
-    millions of neighbours is summed map-side and its join may be split. Each round is staged. Null ends are dropped.
+    millions of neighbours is summed map-side and its join may be split. Each round is staged, and removed after the next.
+    Null ends are dropped.
     """
     now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     now = stage(now, "cc")
@@ -78,7 +93,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         big = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u")
-        now = stage(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+        old, now = now, stage(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+        unstage(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from tessera.llm.embedding_join import near_vectors
-from tessera.llm.minhash import SKETCH_BITS, Shingler, minhash, near_duplicates, odd_sketch
+from tessera.llm import minhash as near
+from tessera.llm.minhash import CHUNK, FAR, SKETCH_BITS, Shingler, minhash, near_duplicates, odd_sketch, sample_seeds
 from tessera.llm.workspace import connected_components
 
 
@@ -83,12 +84,78 @@ def test_shingler_and_sketch():
     sets = list(s.sets(texts))
     assert [len(x) for x in sets] == [len(shingles(t)) for t in texts]
     assert (sets[0] == sets[1]).all() and sets[2] != sets[3] and sets[6][0] in sets[0]
-    seeds = np.arange(1, 121, dtype=np.uint64) * np.uint64(2654435761) | np.uint64(1)
-    a, b = minhash(sets[0], seeds), minhash(sets[1], seeds)
+    a, b = minhash(sets[0], sample_seeds()), minhash(sets[1], sample_seeds())
     assert (a == b).all()
     assert odd_sketch(a).tolist() == odd_sketch(b).tolist() and len(odd_sketch(a)) * 64 == SKETCH_BITS
 
 
+def test_long_texts_in_pieces_are_the_same_sets():
+    text = " ".join(f"w{i % 7001}{'x' * (i % 13)}" for i in range(300_000)) + " " + "y" * (CHUNK + 5) + " the end"
+    assert len(text) > 3 * CHUNK
+    (one,) = Shingler().sets([text])
+    assert len(one) == len(shingles(text))
+    (start,) = Shingler().sets([" ".join(text.split(" ")[:2000])])
+    assert np.isin(start, one).all()
+
+
+def test_sketches_tell_similarities_apart():
+    rng, seeds = np.random.default_rng(4), sample_seeds()
+    far = {}
+    for percent in (75, 50):
+        far[percent] = []
+        for _ in range(200):
+            base = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            same = round(400 * percent / (100 + percent))
+            a, b = base[:200], np.concatenate([base[:same], base[200 : 400 - same]])
+            far[percent].append(int(np.bitwise_count((odd_sketch(minhash(a, seeds)) ^ odd_sketch(minhash(b, seeds))).view(np.uint64)).sum()))
+    assert max(far[75]) <= FAR < min(far[50])
+
+
+def near_copies(n, words=120, seed=9):
+    """n texts that differ from one text in 2 to 8 words each; the text itself is not among them."""
+    rng = random.Random(seed)
+    out = {}
+    for k in range(n):
+        now = [f"w{i}" for i in range(words)]
+        for i in rng.sample(range(words), rng.randint(2, 8)):
+            now[i] = f"n{k}x{i}"
+        out[k] = " ".join(now)
+    return out
+
+
+def test_pairs_of_near_copies_grow_with_the_rows(spark, monkeypatch):
+    """Most of these pairs have a similarity of 0.4 to 0.75: they share bands and are not links."""
+    looked, compared = 0, near.confirmed
+
+    def counted(pairs, sets, percent):
+        nonlocal looked
+        looked += pairs.count()
+        return compared(pairs, sets, percent)
+
+    monkeypatch.setattr(near, "confirmed", counted)
+    texts = near_copies(1500)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in range(a) if 175 * len(sets[a] & sets[b]) >= 75 * (len(sets[a]) + len(sets[b]))]
+    assert got == {i: (len(sets[i]), c) for i, c in components(sets, links).items()}
+    assert looked <= 10 * len(texts)
+
+
+def test_links_just_above_the_threshold_are_found(spark):
+    """Pairs of similarity 0.75 to 0.85, each by itself."""
+    rng, texts = random.Random(5), {}
+    for k in range(1500):
+        words = [f"p{k}w{i}" for i in range(150)]
+        texts[2 * k] = " ".join(words)
+        for i in rng.sample(range(10, 140, 5), rng.randint(2, 4)):
+            words[i] = "other"
+        texts[2 * k + 1] = " ".join(words)
+    want = brute(texts)
+    assert sum(i != c for i, (_, c) in want.items()) > 1000
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def brute_vectors(rows, cosine):
     fine, links = {}, []
     for i, v, label in rows:
