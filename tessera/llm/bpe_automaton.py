@@ -5,18 +5,22 @@ rule (u, v), in order: the state that u leads to loses its v-arc, and a new arc
 u-arc to a copy of the state that v leads to. States are named by the token last read. A new state *inherits* its
 out-arcs from the state of `v` and its in-arcs from the arcs of `u` as they are at that moment; storing the inheritance
 (copy on write) instead of the copied arcs keeps the automaton linear in the merge list, where explicit copies would
-need tens of thousands squared. `step` resolves an arc through the inheritance and enters it in a transition table.
+need tens of thousands squared.
 
-The automaton accepts just the token sequences that the merges produce, it is deterministic, and every prefix of an
-accepted path is accepted: reading a word left to right, each position is reached by one accepted token at most, so
-encoding is a table-driven walk and no merge is ever searched or replayed. Decoding emits the labels of the arcs taken.
+The compiled form is a handful of integer arrays, made once on the driver and broadcast: the byte transitions that spell
+the arcs' labels, and the gadgets' rank, sources and cuts. It accepts just the token sequences that the merges produce,
+and every prefix of an accepted path is accepted, so exactly one token ends at each byte of a word: encoding goes over
+the bytes once, enters that token in a table, and reads the path off backwards. There is no search, no replay of merges
+and no way around the automaton. Decoding emits the labels of the arcs taken.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +29,8 @@ from .presplit import PreSplitter
 from .workspace import ship, small_batches
 
 END = "</w>"
-#: Transitions and recent words that a worker keeps; beyond it, older ones are forgotten, which costs time and changes nothing.
-TABLE_LIMIT, WORD_LIMIT = 300_000, 100_000
+#: Words whose ids a worker keeps; beyond it, all are forgotten before the next text, which costs time and changes nothing.
+WORD_LIMIT = 60_000
 
 
 def byte_symbols() -> list[str]:
@@ -37,50 +41,69 @@ def byte_symbols() -> list[str]:
 
 
 class MergeAutomaton:
-    """States and arcs are tokens; state -1 is the start, which has an arc for each token."""
+    """States are the tokens last read; state -1 is the start, which has an arc for each token.
+
+    A step from a state reads the bytes of a label: `go` has the byte transitions (node * 256 + byte -> node, from node
+    0), `mid` and `end` the arc that a node completes, inside a word and at its end.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         size = max(vocab.values(), default=-1) + 1
-        self.vocab, self.size = vocab, size
-        self.labels = [""] * size
-        for token, i in vocab.items():
-            self.labels[i] = token
-        self.made = [-1] * size  # the merge that created the state; -1: a base symbol
-        self.out_of, self.into = list(range(size)), list(range(size))  # whose arcs a state copied
-        self.cut: dict[int, int] = {}  # (state, arc) -> the merge that removed it
-        self.table: dict[int, bool] = {}
-        self.trie: dict = {}
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        self.size = size
+        self.made = array("i", [-1]) * size  # the merge that created the state; -1: a base symbol
+        self.out_of, self.into = array("i", range(size)), array("i", range(size))  # whose arcs a state copied
+        self.length = array("i", [0]) * size
+        self.keys, self.nodes, self.mid, self.end = array("q"), array("i"), array("i", [-1]), array("i", [-1])
+        self.cut_keys, self.cut_ranks = array("q"), array("i")
+        go: dict[int, int] = {}
         for token, i in vocab.items():
-            node = self.trie
-            for c in token.removesuffix(END):
-                node = node.setdefault(c, {})
-            node[END if token.endswith(END) else ""] = i
+            spelled = token.removesuffix(END)
+            if not spelled or any(c not in byte_of for c in spelled):
+                continue  # not made of bytes: no word can hold it
+            node = 0
+            for c in spelled:
+                key = node << 8 | byte_of[c]
+                if key not in go:
+                    go[key] = len(self.mid)
+                    self.keys.append(key)
+                    self.nodes.append(go[key])
+                    self.mid.append(-1)
+                    self.end.append(-1)
+                node = go[key]
+            (self.end if token.endswith(END) else self.mid)[node] = i
+            self.length[i] = len(spelled)
+        cut: dict[int, int] = {}
         for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
+            self._gadget(cut, rank, vocab[u], vocab[v], vocab[u + v])
+        self.cut_keys.extend(cut)
+        self.cut_ranks.extend(cut.values())
+        self._open()
 
-    def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
+    def _gadget(self, cut: dict[int, int], rank: int, u: int, v: int, uv: int) -> None:
         if self.made[uv] >= 0:
-            raise ValueError(f"two merges make {self.labels[uv]!r}")
-        self.cut.setdefault(u * self.size + v, rank)
+            raise ValueError(f"two merges make token {uv}")
+        cut.setdefault(u * self.size + v, rank)
         self.made[uv], self.out_of[uv], self.into[uv] = rank, v, u
 
+    def _open(self) -> None:
+        self.go, self.cut = dict(zip(self.keys, self.nodes, strict=True)), dict(zip(self.cut_keys, self.cut_ranks, strict=True))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("go", "cut")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._open()
+
     def step(self, state: int, arc: int) -> bool:
         """Whether `arc` leaves `state` (it then leads to the state named `arc`)."""
         if state < 0:
             return True
-        key = state * self.size + arc
-        if (known := self.table.get(key)) is None:
-            if len(self.table) >= TABLE_LIMIT:
-                self.table.clear()
-            known = self.table[key] = self._resolve(state, arc)
-        return known
-
-    def _resolve(self, state: int, arc: int) -> bool:
-        at = len(self.made) + 1  # the moment, in merges, at which the arc is looked up
+        at = self.size + 1  # the moment, in merges, at which the arc is looked up
         made, cut, size = self.made, self.cut, self.size
         while True:
-            removed = cut.get(state * size + arc)
-            if removed is not None and removed < at:
+            if cut.get(state * size + arc, at) < at:
                 return False
             s, t = made[state], made[arc]
             if s < 0 and t < 0:
@@ -90,103 +113,77 @@ class MergeAutomaton:
             else:  # out-arcs were copied before it
                 state, at = self.out_of[state], s
 
-    def arcs(self, symbols: str, at: int) -> list[tuple[int, int]]:
-        """(token, end) of every token that spells symbols from `at` on, shortest first; the word end closes the last."""
-        found, node, n = [], self.trie, len(symbols)
-        for i in range(at, n):
-            if (node := node.get(symbols[i])) is None:
-                return found
-            if i + 1 < n:
-                if (token := node.get("")) is not None:
-                    found.append((token, i + 1))
-            elif (token := node.get(END)) is not None:
-                found.append((token, n))
-        return found
-
-    def encode(self, symbols: str) -> list[int]:
-        """Ids of one pre-token, given as its byte symbols; the last symbol carries the word end.
-
-        Walks the arcs, longest first. At most one path is accepted, so a dead end is never entered twice and the
-        walk ends after no more steps than there are (position, token) pairs.
-        """
-        n = len(symbols)
+    def encode(self, word: bytes) -> list[int]:
+        """Ids of one pre-token. Time is the bytes times the longest label, memory a number for each byte."""
+        n = len(word)
         if not n:
             return []
-        if (whole := self.vocab.get(symbols + END)) is not None:
-            return [whole]
-        step, table, size = self.step, self.table, self.size
-        path: list[int] = []
-        open_arcs = [self.arcs(symbols, 0)]
-        dead, state = set(), -1
-        while open_arcs:
-            if not open_arcs[-1]:
-                open_arcs.pop()
-                if path:
-                    path.pop()
-                    state = path[-1] if path else -1
+        go, mid, step = self.go, self.mid, self.step
+        last = array("i", [-1]) * (n + 1)  # the one token that ends an accepted path here
+        for start in range(n):
+            state, node = last[start], 0
+            if start and state < 0:
                 continue
-            token, end = open_arcs[-1].pop()
-            known = True if state < 0 else table.get(state * size + token)
-            if (step(state, token) if known is None else known) and (end, token) not in dead:
-                path.append(token)
-                if end == n:
-                    return path
-                dead.add((end, token))
-                state = token
-                open_arcs.append(self.arcs(symbols, end))
-        raise ValueError("a symbol is not in the vocabulary")
-
-
-class WordCodec:
-    """Whole texts to ids and back, with the library's normalizer, splitter and special strings."""
+            for i in range(start, n):
+                node = go.get(node << 8 | word[i])
+                if node is None:
+                    break
+                arc = mid[node] if i + 1 < n else self.end[node]
+                if arc >= 0 and last[i + 1] < 0 and step(state, arc):
+                    last[i + 1] = arc
+        if last[n] < 0:
+            raise ValueError("a byte is not in the vocabulary")
+        path = []
+        while n:
+            path.append(last[n])
+            n -= self.length[last[n]]
+        return path[::-1]
+
+
+class Compiled:
+    """What a tokenizer file is compiled to: the automaton, the labels of its arcs, and the file's splitting rules."""
 
     def __init__(self, spec: bytes):
         made = json.loads(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in made["model"]["merges"]]
-        self.splitter = PreSplitter(spec)
-        self.automaton = MergeAutomaton(made["model"]["vocab"], merges)
-        labels = self.automaton.labels
-        labels += [""] * (max([len(labels) - 1, *self.splitter.specials.values()]) + 1 - len(labels))
-        for text, i in self.splitter.specials.items():
-            labels[i] = text
-        self.labels, self.symbols = labels, byte_symbols()
-        self.words: dict[str, tuple[int, ...]] = {}  # a young and an old generation
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        if (ids := self.words.get(word)) is not None:
-            return ids
-        if (ids := self.older.get(word)) is None:
-            special = self.splitter.specials.get(word)
-            ids = (special,) if special is not None else tuple(self.automaton.encode("".join([self.symbols[b] for b in word.encode("utf-8")])))
+        vocab = made["model"]["vocab"]
+        self.automaton = MergeAutomaton(vocab, merges)
+        self.rules = json.dumps({**made, "model": {**made["model"], "vocab": {}, "merges": []}}).encode("utf-8")
+        named = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in made["added_tokens"]}
+        self.labels = [named.get(i, "") for i in range(max(named, default=-1) + 1)]
+
+
+class _Words(dict):
+    """Ids by pre-token, entered when first asked for. Very long pre-tokens are not kept."""
+
+    def __init__(self, automaton: MergeAutomaton, specials: dict[str, int]):
+        super().__init__()
+        self.automaton, self.specials = automaton, specials
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        special = self.specials.get(word)
+        ids = (special,) if special is not None else tuple(self.automaton.encode(word.encode("utf-8")))
         if len(word) <= 64:
-            if len(self.words) >= WORD_LIMIT:
-                self.words, self.older = {}, self.words
-            self.words[word] = ids
+            self[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        extend, word = out.extend, self.word
-        for w in self.splitter.split(text):
-            extend(self.words.get(w) or word(w))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The library joins the tokens of a file without a decoder by single spaces."""
-        return " ".join([self.labels[i] for i in ids])
 
+class WordCodec:
+    """Whole texts to ids and back, with the library's normalizer, splitter and special strings."""
 
-_codecs: dict[bytes, WordCodec] = {}
+    def __init__(self, compiled: Compiled):
+        self.automaton, self.labels = compiled.automaton, compiled.labels
+        self.splitter = PreSplitter(compiled.rules)
+        self.words = _Words(self.automaton, self.splitter.specials)
 
+    def encode(self, text: str | None) -> list[int]:
+        if len(self.words) > WORD_LIMIT:
+            self.words.clear()
+        return list(chain.from_iterable(map(self.words.__getitem__, self.splitter.split(text))))
 
-def codec_of(spec: bytes) -> WordCodec:
-    """The worker's codec for a tokenizer file; compiled once for each worker process."""
-    key = hashlib.sha1(spec).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = WordCodec(spec)
-    return _codecs[key]
+    def decode(self, ids: list[int]) -> str:
+        """The library joins the tokens of a file without a decoder by single spaces."""
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -198,14 +195,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, "rb") as f:
-        spec = spark.sparkContext.broadcast(f.read())  # one tokenizer file, about 2 MB
+        compiled = spark.sparkContext.broadcast(Compiled(f.read()))  # as large as one tokenizer file, about 4 MB
     keep = [c for c in keep or [] if c not in (id_col, text_col)]
     rows = docs.select(id_col, *keep, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        codec = codec_of(spec.value)
+        codec = WordCodec(compiled.value)  # for this task alone
         for batch in small_batches(batches):
             n_tokens, sha_ids, sha_text, all_ids, texts = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():

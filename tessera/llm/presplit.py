@@ -21,7 +21,7 @@ class PreSplitter:
         from tokenizers import Tokenizer, pre_tokenizers
 
         made = json.loads(spec)
-        library = Tokenizer.from_str(spec.decode("utf-8"))
+        library = Tokenizer.from_str(json.dumps({**made, "added_tokens": [], "model": {**made["model"], "vocab": {}, "merges": []}}))  # its rules alone
         self._normalize = library.normalizer.normalize_str
         split = made["pre_tokenizer"]["pretokenizers"][0]
         from tokenizers import Regex
