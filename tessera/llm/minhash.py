@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import connected_components, ids_side, ship, small_batches, stage, unstage
+from .workspace import connected_components, ids_side, partitions, ship, small_batches, stage, unstage
 
 #: 30 bands of 4 samples: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^30, about 1 in 100,000.
 BANDS, ROWS = 30, 4
@@ -326,7 +326,7 @@ def prefix_places(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
     which must be known by then.
     """
     made = stage(differences(members, sets).withColumn("x", F.size("tokens").cast("long")), "differences")
-    flat = made.select("g", "mode", "rep", F.explode("tokens").alias("token"))
+    flat = made.repartition(partitions(made.sparkSession)).select("g", "mode", "rep", F.explode("tokens").alias("token"))  # a hot group's rows are dealt evenly
     shared = flat.groupBy("g", "mode", "token").agg(F.count("*").alias("df")).where("df > 1")
     order = flat.join(shared, ["g", "mode", "token"]).groupBy("g", "mode", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     most = F.floor(F.col("n") * ((100 + percent) / percent * (100 - percent) / (100 + percent)) + 1e-6)  # D, as m <= 100 n / percent

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from .. import shipping
 
 __all__ = ["connected_components", "held_out", "ids_side", "partitions", "shared_dir", "ship", "small_batches", "stage", "table", "unstage"]
 
@@ -55,11 +58,29 @@ def ids_side(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+#: Bytes and rows of the Arrow batches that go to Python workers, where the session sets none: Spark's own bounds are 256 MB and 10,000 rows.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, and bound the Arrow batches that they are sent by bytes."""
+    shipping.ship(spark)
+    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most `rows` rows, so that a worker holds few texts as Python strings at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    """Arrow batches cut to at most `rows` rows, so that a worker holds few texts as Python strings at a time; memory that a batch leaves goes back to the system."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
 
 def partitions(spark: SparkSession) -> int:
