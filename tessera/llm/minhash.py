@@ -314,21 +314,23 @@ def differences(members: DataFrame, sets: Sets) -> DataFrame:
     return wide.select("g", "rep", "hub", "own").mapInArrow(run, "g long, mode int, rep long, n long, tokens array<long>")
 
 
-def prefix_places(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def prefix_places(members: DataFrame, comps: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(g, mode, token, rep, n, x, u, short): places where documents of `members` (g, rep) that may be linked meet.
 
     Of two documents with token sets X and Y (`differences`), |X| <= |Y|, the sets' symmetric difference is that of the
     documents' shingles and, if they are linked, at most D = (n + m) (100 - percent) / (100 + percent). So they share at
     least (|X| + |Y| - D) / 2 tokens, and in any common order of the tokens one among the first D / 2 + 1 of X and D + 1
-    of Y (the prefix filter). The order is by rarity within the group; tokens of one document alone come first and can't
-    be shared, so the u of them only shorten the prefixes, to nothing for most. x is |X|; `short` marks the places in
-    the prefix of a smaller partner. The least number shared is above 0 unless both documents are linked to the hub,
-    which must be known by then.
+    of Y (the prefix filter). The order is by rarity within the group. Tokens that one component alone has come first:
+    no two documents that are still apart share them, so the u of them only shorten the prefixes, to nothing for most.
+    x is |X|; `short` marks the places in the prefix of a smaller partner. The least number shared is above 0 unless
+    both documents are linked to the hub, which must be known by then.
     """
     made = stage(differences(members, sets).withColumn("x", F.size("tokens").cast("long")), "differences")
-    flat = made.repartition(partitions(made.sparkSession)).select("g", "mode", "rep", F.explode("tokens").alias("token"))  # a hot group's rows are dealt evenly
-    shared = flat.groupBy("g", "mode", "token").agg(F.count("*").alias("df")).where("df > 1")
-    order = flat.join(shared, ["g", "mode", "token"]).groupBy("g", "mode", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    own = made.repartition(partitions(made.sparkSession)).join(comps.toDF("rep", "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    flat = own.select("g", "mode", "rep", "comp", F.explode("tokens").alias("token"))
+    counts = flat.groupBy("g", "mode", "token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    shared = counts.where("low < high").select("g", "mode", "token", "df")
+    order = flat.select("g", "mode", "rep", "token").join(shared, ["g", "mode", "token"]).groupBy("g", "mode", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     most = F.floor(F.col("n") * ((100 + percent) / percent * (100 - percent) / (100 + percent)) + 1e-6)  # D, as m <= 100 n / percent
     known = order.join(made.select("g", "mode", "rep", "n", "x"), ["g", "mode", "rep"]).withColumn("u", F.col("x") - F.size("s"))
     long, short = F.greatest(most - F.col("u") + 1, F.lit(0)), F.greatest(F.floor(most / 2) - F.col("u") + 1, F.lit(0))
@@ -338,9 +340,10 @@ def prefix_places(members: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return out
 
 
-def hubs_of(places: DataFrame, keys: list[str], best: Column) -> DataFrame:
-    """(keys, hub): of each place the member with the largest `best`, the smallest id on a tie."""
-    return places.groupBy(*keys).agg(F.max(F.struct(best.alias("best"), (-F.col("rep")).alias("low"))).alias("top")).select(*keys, (-F.col("top.low")).alias("hub"))
+def hubs_of(places: DataFrame, keys: list[str], best: Column, comp: Column) -> DataFrame:
+    """(keys, hub, hub_comp): of each place the member with the largest `best`, the smallest id on a tie, and its component."""
+    top = places.groupBy(*keys).agg(F.max(F.struct(best.alias("best"), (-F.col("rep")).alias("low"), comp.alias("comp"))).alias("top"))
+    return top.select(*keys, (-F.col("top.low")).alias("hub"), F.col("top.comp").alias("hub_comp"))
 
 
 def gathered(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -401,7 +404,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = exploded.groupBy("band").agg(F.count("*").alias("mates"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "mates")
     buckets = stage(exploded.join(shared, "band"), "buckets")  # a row for each member of a bucket of two or more
     popular = buckets.join(buckets.groupBy("rep").agg(F.sum("mates").alias("pop")), "rep")
-    places = stage(buckets.select("band", "rep").join(hubs_of(popular, ["band"], F.col("pop")), "band"), "bands")
+    places = stage(buckets.select("band", "rep").join(hubs_of(popular, ["band"], F.col("pop"), F.col("rep")).drop("hub_comp"), "band"), "bands")
     heads = reps.select("rep", "n", "sketch", "whole").join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     heads = stage(heads, "heads")
     unstage(buckets)
@@ -418,17 +421,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             many = stage(gathered(many.distinct(), links.comps), "groups")
             links.add(cleared(many.select(F.col("rep").alias("a"), F.col("g").alias("b")), heads, percent))
             keys = ["g", "mode", "token"]
-            spots = prefix_places(many, sets, percent)
+            spots = prefix_places(many, links.comps, sets, percent)
             wide = parted(spots, links.comps, keys).where(F.col("size") > SMALL)
-            wide = wide.select(*keys, "rep").join(hubs_of(wide, keys, -F.col("x")), keys)
+            wide = wide.select(*keys, "rep", "comp").join(hubs_of(wide, keys, -F.col("x"), F.col("comp")), keys).where("comp <> hub_comp")
             links.add(cleared(wide.select(F.col("rep").alias("a"), F.col("hub").alias("b")), heads, percent))
-            rest = parted(spots, links.comps, keys).drop("size").join(heads.drop("n"), "rep")
+            rest = stage(parted(spots, links.comps, keys).drop("size"), "places")
+            main = rest.groupBy(*keys, "comp").agg(F.count("*").alias("many")).groupBy(*keys).agg(F.max(F.struct("many", "comp")).alias("top")).select(*keys, F.col("top.comp").alias("main"))
+            rest = rest.join(main, keys).join(heads.drop("n"), "rep")
             bound = most_apart(F.col("p.n"), F.col("q.n"), percent)
             near = (F.col("p.u") + F.col("q.u") <= bound) & (F.col("q.x") - F.col("p.x") <= bound) & (F.col("p.x") + F.col("q.x") - bound <= 2 * F.least(F.col("p.x") - F.col("p.u"), F.col("q.x") - F.col("q.u")))
             first = F.struct("p.x", "p.rep") < F.struct("q.x", "q.rep")
             same = (F.col("p.g") == F.col("q.g")) & (F.col("p.mode") == F.col("q.mode")) & (F.col("p.token") == F.col("q.token"))
-            two = rest.where("short").alias("p").join(rest.alias("q"), same & first & (F.col("p.comp") != F.col("q.comp")) & near & alike("p", "q", percent))
-            links.add(two.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct())
+            may = same & first & (F.col("p.comp") != F.col("q.comp")) & near & alike("p", "q", percent)
+            # members of a place's largest component do not meet each other
+            two = rest.where("short and comp <> main").alias("p").join(rest.alias("q"), may).select("p.rep", F.col("q.rep").alias("other"))
+            two = two.union(rest.where("short and comp = main").alias("p").join(rest.where("comp <> main").alias("q"), may).select("p.rep", F.col("q.rep").alias("other")))
+            links.add(two.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
             unstage(spots)
             unstage(many)
     for done in (left, places, heads):
