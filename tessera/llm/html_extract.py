@@ -34,8 +34,11 @@ ASIDE = frozenset("aside nav footer form button menu dialog fieldset label input
 BODY = frozenset("article main".split())
 GOOD = frozenset("article articlebody content entry main post story text".split())
 
+#: The inside of a tag: quotes hold a value only after an equals sign, else they are stray characters. Possessive, so that
+#: each tag is scanned once whatever it holds.
+INSIDE = r"(?:[^<>\"'=/]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"']|/(?!>))*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^<>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)/?>|<[!?][^>]*>?|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){INSIDE}/>|<(?P<raw>" + "|".join(DROPPED) + rf")(?=[\s/>]){INSIDE}/?>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{INSIDE})/?>|<[!?][^>]*>?|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 MARKED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -124,7 +127,11 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def costs(block: Block) -> tuple[int, int]:
-    """(cost of content, cost of boilerplate): how much speaks against either label, in small whole numbers."""
+    """(cost of content, cost of boilerplate): how much speaks against either label, in small whole numbers.
+
+    A linear classifier over the block's marks, place, link density, length, ending and element. Its weights are set, not
+    fitted: there are no labelled pages to fit them to.
+    """
     words, links = block.text.count(" ") + 1, block.linked / max(1, block.chars)
     content = boiler = 0
     if block.marked:
@@ -151,43 +158,57 @@ def costs(block: Block) -> tuple[int, int]:
 def min_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
     """True for nodes on the source side. terminals: (capacity to the sink, capacity from the source); edges: (a, b, capacity both ways).
 
-    Shortest augmenting paths over the excess that is left when each node's two terminal capacities have cancelled.
-    On a tie a node stays on the sink side unless the source still reaches it.
+    Max-flow by blocking flows on level graphs, over the excess that is left when each node's two terminal capacities
+    have cancelled. A phase is linear in the graph, and there is one for each length of a shortest path at most; on
+    chains of blocks these are short, as capacities are small. On a tie a node stays on the sink side unless the source
+    still reaches it.
     """
     n = len(terminals)
     excess = [source - sink for sink, source in terminals]
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    joined: list[dict[int, int]] = [{} for _ in range(n)]
     for a, b, c in edges:
         if a != b and c > 0:
-            near[a][b] = near[a].get(b, 0) + c
-            near[b][a] = near[b].get(a, 0) + c
+            joined[a][b] = joined[a].get(b, 0) + c
+            joined[b][a] = joined[b].get(a, 0) + c
+    near = [list(row) for row in joined]
     while True:
-        came = {i: -1 for i in range(n) if excess[i] > 0}
-        queue, end = deque(came), -1
-        while queue and end < 0:
+        level = {i: 0 for i in range(n) if excess[i] > 0}
+        queue, met = deque(level), False
+        while queue:
             i = queue.popleft()
-            for j, c in near[i].items():
-                if c > 0 and j not in came:
-                    came[j] = i
-                    if excess[j] < 0:
-                        end = j
-                        break
+            for j in near[i]:
+                if j not in level and joined[i][j] > 0:
+                    level[j] = level[i] + 1
+                    met |= excess[j] < 0
                     queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        flow, j = -excess[end], end
-        while came[j] >= 0:
-            flow = min(flow, near[came[j]][j])
-            j = came[j]
-        flow = min(flow, excess[j])
-        excess[j] -= flow
-        excess[end] += flow
-        j = end
-        while came[j] >= 0:
-            i = came[j]
-            near[i][j] -= flow
-            near[j][i] += flow
-            j = i
+        if not met:
+            return [i in level for i in range(n)]
+        at = [0] * n  # the next neighbour to try; what has failed in this phase is not tried again
+        for start in [i for i, depth in level.items() if depth == 0]:
+            path = [start]
+            while excess[start] > 0:
+                i = path[-1]
+                if excess[i] < 0:
+                    flow = min([excess[start], -excess[i], *(joined[x][y] for x, y in zip(path, path[1:], strict=False))])
+                    excess[start] -= flow
+                    excess[i] += flow
+                    for x, y in zip(path, path[1:], strict=False):
+                        joined[x][y] -= flow
+                        joined[y][x] += flow
+                    for k in range(len(path) - 1):  # go on from the first edge that is full
+                        if joined[path[k]][path[k + 1]] == 0:
+                            del path[k + 1 :]
+                            break
+                    continue
+                while at[i] < len(near[i]) and not (joined[i][near[i][at[i]]] > 0 and level.get(near[i][at[i]]) == level[i] + 1):
+                    at[i] += 1
+                if at[i] < len(near[i]):
+                    path.append(near[i][at[i]])
+                elif len(path) > 1:
+                    path.pop()
+                    at[path[-1]] += 1
+                else:
+                    break
 
 
 def extract(page: str | None) -> str:

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from itertools import product
 
 from tessera.llm.html_extract import extract, extract_main_text, min_cut
@@ -37,6 +38,21 @@ def test_pages_of_the_table(spark, sf_dir):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def test_extract_reads_past_custom_elements_and_stray_quotes():
+    first, second = "The first paragraph of this article has words enough.", "The second paragraph of this article has words enough."
+    for tag in ("<svg-icon name='a'></svg-icon>", "<video-player src=x>", "<title-card></title-card>", "<script-tag/>", "<p title=\"a>b\"></p>", "<p data-x='>' \"></p>"):
+        assert extract(f"<article><p>{first}</p>{tag}<p>{second}</p></article>") == f"{first}\n{second}"
+
+
+def test_extract_time_is_linear_in_junk():
+    start = time.perf_counter()
+    for junk in ("<a " + '"' * 100_000 + "<b", '<a ="' * 50_000, "<a ='" * 50_000 + '<a ="', "<svg " * 50_000, "<a " * 100_000, "<script " * 50_000):
+        extract(junk)
+    blocks = "".join(f"<div class='{'nav' if i % 7 == 0 else 'x'}'><p>{'word ' * (i % 15)}end.</p></div>" for i in range(50_000))
+    assert extract(blocks)
+    assert time.perf_counter() - start < 60
+
+
 def test_min_cut_like_brute_force():
     random.seed(1)
     for _ in range(200):
