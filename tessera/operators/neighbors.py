@@ -42,27 +42,46 @@ def with_cells(sites: DataFrame, box: tuple[float, ...], counts: list[int]) -> D
     return sites.withColumn("cell", number)
 
 
-def pairs(sites: DataFrame, cutoff: float, box: tuple[float, ...], extra: tuple[str, ...] = ("type_id",), directed: bool = False) -> DataFrame:
+def pairs(sites: DataFrame, cutoff: float, box: tuple[float | str, ...], extra: tuple[str, ...] = ("type_id",), directed: bool = False) -> DataFrame:
     """(frame_id, i, j, <extra>_i, <extra>_j, r2, dx, dy, dz): neighbours with r <= cutoff, d from i to j by nearest image.
 
-    Each unordered pair once, i < j; `directed` gives both orders. Sites must be wrapped into the box. The left side is
-    copied to its half stencil (14 cells of 27), so one equi-join on (frame, cell) finds all candidates; the squared
-    distance is filtered before any root. Skewed cells are split by adaptive execution. Extra columns are carried.
+    `box` has a side for each axis: a number, or the name of a column for boxes that change from frame to frame. Each
+    unordered pair once, i < j; `directed` gives both orders. Sites must be wrapped into the box. The left side is copied
+    to its half stencil (14 cells of 27), so one equi-join on (frame, cell) finds all candidates; the squared distance is
+    filtered before any root. Skewed cells are split by adaptive execution. Extra columns are carried. A cutoff over half
+    a box has no unique nearest image and is an error.
     """
     dim = len(box)
     axes = AXES[:dim]
-    counts = cell_counts(box, cutoff)
-    celled = with_cells(sites.select("frame_id", "site_id", *extra, *axes), box, counts)
+    named = any(isinstance(side, str) for side in box)
+    if named:
+        sides = [F.col(side) if isinstance(side, str) else F.lit(float(side)) for side in box]
+        sites = sites.select("frame_id", "site_id", *extra, *axes, *[side.cast("double").alias(f"side_{a}") for a, side in zip(axes, sides, strict=True)])
+        wide = [f"side_{a}" for a in axes]
+        sides = [F.col(c) for c in wide]
+        fits = (F.least(*sides) if dim > 1 else sides[0]) / 2 >= cutoff
+        counts = [F.when(F.floor(side / cutoff) >= 3, F.floor(side / cutoff)).otherwise(1).cast("int") for side in sides]
+        counts[0] = F.when(fits, counts[0]).otherwise(F.raise_error(F.lit("the cutoff is more than half the box")).cast("int"))
+        every = [o for o in product((-1, 0, 1), repeat=dim) if next((x for x in o if x), 0) >= 0]
+    else:
+        wide, sides = [], list(box)
+        counts = cell_counts(box, cutoff)
+        every = offsets(counts, half=True)
+    celled = with_cells(sites.select("frame_id", "site_id", *extra, *axes, *wide), tuple(sides), counts)
     steps = []
-    for o in offsets(counts, half=True):
+    for o in every:
         number = F.lit(0)
-        for a, side, n, s in zip(axes, box, counts, o, strict=True):
-            number = number * n + F.pmod(cell(F.col(a), side, n) + s, F.lit(n))
-        steps.append(F.struct(number.alias("to"), F.lit(not any(o)).alias("own")))
-    left = celled.select("frame_id", F.col("site_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (*extra, *axes)], F.explode(F.array(*steps)).alias("step"))
+        for a, side, n, s in zip(axes, sides, counts, o, strict=True):
+            number = number * n + F.pmod(cell(F.col(a), side, n) + s, n if named else F.lit(n))
+        used = F.lit(True)
+        for n, s in zip(counts, o, strict=True):
+            used = used & (n >= 3) if named and s else used
+        steps.append(F.struct(number.alias("to"), F.lit(not any(o)).alias("own"), used.alias("used")))
+    stencil = F.filter(F.array(*steps), lambda step: step["used"]) if named else F.array(*steps)
+    left = celled.select("frame_id", F.col("site_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (*extra, *axes)], *wide, F.explode(stencil).alias("step"))
     left = left.select("*", F.col("step.to").alias("cell"), F.col("step.own").alias("own")).drop("step")
     right = celled.select(F.col("frame_id").alias("frame_b"), F.col("cell").alias("cell_b"), F.col("site_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in (*extra, *axes)])
-    d = displacement(tuple(F.col(f"{c}_a") for c in axes), tuple(F.col(f"{c}_b") for c in axes), box)
+    d = displacement(tuple(F.col(f"{c}_a") for c in axes), tuple(F.col(f"{c}_b") for c in axes), tuple(sides))
     met = left.join(right, (F.col("frame_id") == F.col("frame_b")) & (F.col("cell") == F.col("cell_b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
     met = met.withColumn("r2", dot(d, d)).where(F.col("r2") <= cutoff * cutoff)
     flip = F.col("a") > F.col("b")

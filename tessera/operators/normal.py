@@ -88,30 +88,22 @@ def gram(entries: DataFrame, target: DataFrame, n_columns: int, weights: DataFra
     ship(entries.sparkSession)
     n = n_columns
     both = collected(entries).union(target.select(*ROW, F.lit(n).alias("col"), F.col("f").alias("v")))
-    rows = weighted(both, weights).select(F.xxhash64(*ROW).alias("row"), "col", (F.sqrt("weight") * F.col("v")).alias("v"))
-    dealt = rows.repartition("row").sortWithinPartitions("row")
+    rows = weighted(both, weights).select(*ROW, "col", (F.sqrt("weight") * F.col("v")).alias("v"))
+    dealt = rows.repartition(*ROW).sortWithinPartitions(*ROW)
 
     def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n + 1, n + 1))
 
-        def add(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
-            at = np.cumsum(np.diff(r, prepend=r[:1]) != 0) if len(r) else r
+        def add(part: pd.DataFrame) -> None:
+            at, c, v = _numbered(part), part["col"].to_numpy(), part["v"].to_numpy()
             for start in range(0, int(at[-1]) + 1 if len(at) else 0, chunk):
                 lo, hi = np.searchsorted(at, [start, start + chunk])
                 m = np.zeros((min(chunk, int(at[hi - 1]) - start + 1), n + 1))
                 np.add.at(m, (at[lo:hi] - start, c[lo:hi]), v[lo:hi])
                 total[...] += m.T @ m
 
-        held: list[np.ndarray] = []
-        for part in parts:
-            r, c, v = part["row"].to_numpy(), part["col"].to_numpy(), part["v"].to_numpy()
-            if held:
-                r, c, v = (np.concatenate(x) for x in zip(held, (r, c, v), strict=True))
-            whole = int(np.argmax(r == r[-1])) if len(r) else 0
-            add(r[:whole], c[:whole], v[:whole])
-            held = [r[whole:], c[whole:], v[whole:]]
-        if held:
-            add(*held)
+        for part in _whole_rows(parts):
+            add(part)
         i, j = np.nonzero(np.triu(total))
         yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
 
@@ -149,40 +141,54 @@ def residual(triangle: DataFrame, x: DataFrame, n_columns: int) -> DataFrame:
 
 
 def tsqr(entries: DataFrame, target: DataFrame, n_columns: int) -> DataFrame:
-    """(i, j, v): the upper triangle R of a QR factorisation of [A f]: partitions factor their rows, then their factors."""
+    """(i, j, v): the upper triangle R of a QR factorisation of [A f]: partitions factor their rows, then groups of 8 factors are factored, until one is left."""
     ship(entries.sparkSession)
     n = n_columns + 1
-    rows = collected(entries).union(target.select(*ROW, F.lit(n_columns).alias("col"), F.col("f").alias("v"))).select(F.xxhash64(*ROW).alias("row"), "col", "v")
+    rows = collected(entries).union(target.select(*ROW, F.lit(n_columns).alias("col"), F.col("f").alias("v"))).select(*ROW, "col", "v")
 
     def factor(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = np.zeros((0, n))
-        held = None
-        for part in parts:
-            part = part if held is None else pd.concat([held, part])
-            last = part["row"] == part["row"].iloc[-1] if len(part) else None
-            held, part = (part[last], part[~last]) if len(part) else (part, part)
-            r = _stack(r, part, n)
-        r = r if held is None else _stack(r, held, n)
+        for part in _whole_rows(parts):
+            at = _numbered(part)
+            m = np.zeros((int(at[-1]) + 1, n))
+            np.add.at(m, (at, part["col"].to_numpy()), part["v"].to_numpy())
+            r = np.linalg.qr(np.vstack([r, m]), mode="r")
         i, j = np.nonzero(r)
-        yield pd.DataFrame({"row": i, "col": j.astype(np.int32), "v": r[i, j]})
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": r[i, j]})
 
-    def combine(group: pd.DataFrame) -> pd.DataFrame:
-        rows_, at = np.unique(group[["part", "row"]].to_numpy(), axis=0, return_inverse=True)
+    def combine(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows_, at = np.unique(group[["part", "i"]].to_numpy(), axis=0, return_inverse=True)
         m = np.zeros((len(rows_), n))
-        m[at.ravel(), group["col"]] = group["v"]
+        m[at.ravel(), group["j"]] = group["v"]
         r = np.linalg.qr(m, mode="r")
-        r *= np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
-        i, j = np.nonzero(np.abs(r) > 0)
-        return pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": r[i, j]})
-
-    local = rows.repartition("row").sortWithinPartitions("row").mapInPandas(factor, "row long, col int, v double").withColumn("part", F.spark_partition_id())
-    return local.groupBy(F.lit(0).alias("all")).applyInPandas(combine, "i int, j int, v double")  # partitions x (n + 1) rows at most
-
-
-def _stack(r: np.ndarray, part: pd.DataFrame, n: int) -> np.ndarray:
-    if not len(part):
-        return r
-    keys, at = np.unique(part["row"].to_numpy(), return_inverse=True)
-    m = np.zeros((len(keys), n))
-    np.add.at(m, (at, part["col"].to_numpy()), part["v"].to_numpy())
-    return np.linalg.qr(np.vstack([r, m]), mode="r")
+        i, j = np.nonzero(r)
+        return pd.DataFrame({"part": np.full(len(i), key[0], np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "v": r[i, j]})
+
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = rows.repartition(parts, *ROW).sortWithinPartitions(*ROW).mapInPandas(factor, "i int, j int, v double").withColumn("part", F.spark_partition_id())
+    while parts > 1:  # a task factors 8 (n + 1) rows at most
+        now = now.groupBy(F.floor(F.col("part") / 8).cast("int").alias("group")).applyInPandas(combine, "part int, i int, j int, v double")
+        parts = -(-parts // 8)
+    sign = now.where("i = j").select("i", F.signum("v").alias("sign"))
+    return now.join(sign, "i").select("i", "j", (F.col("v") * F.when(F.col("sign") < 0, -1.0).otherwise(1.0)).alias("v"))
+
+
+def _numbered(part: pd.DataFrame) -> np.ndarray:
+    """Numbers from 0 of the matrix rows (equal ROW) in a part sorted by them."""
+    keys = part[ROW]
+    return np.cumsum((keys != keys.shift()).any(axis=1).to_numpy()) - 1
+
+
+def _whole_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The parts of a sorted partition, cut anew so that no matrix row is in two of them."""
+    held = None
+    for part in parts:
+        part = part if held is None else pd.concat([held, part], ignore_index=True)
+        if not len(part):
+            continue
+        last = (part[ROW] == part[ROW].iloc[-1]).all(axis=1)
+        held = part[last]
+        if not last.all():
+            yield part[~last]
+    if held is not None and len(held):
+        yield held

@@ -5,10 +5,10 @@ A table is one interaction's and short (a few thousand rows); windows run by key
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import AXIS_EPS
+from ..config import AXIS_EPS, DEGREES_PER_RADIAN
 
 
 def grid(ranges: DataFrame, by: list[str], width: float) -> DataFrame:
@@ -67,12 +67,12 @@ def repair_front(table: DataFrame, by: list[str]) -> DataFrame:
     """Replaces the rows before the first sound one by the line through it and the next.
 
     Sound: the value is not negative and the next one is not larger; if there is none, the first whose next is not
-    larger; else the table stays. The last two rows are never the start.
+    larger; else the table stays. A sound row needs one after it.
     """
     w = Window.partitionBy(*by)
     up = w.orderBy("axis")
     t = table.withColumn("k", F.row_number().over(up)).withColumn("rows", F.count("*").over(w)).withColumn("next", F.lead("value").over(up))
-    falls = (F.col("next") <= F.col("value")) & (F.col("k") <= F.col("rows") - 2)
+    falls = (F.col("next") <= F.col("value")) & (F.col("k") <= F.col("rows") - 1)
     strict, loose = F.min(F.when(falls & (F.col("value") >= 0), F.col("k"))).over(w), F.min(F.when(falls, F.col("k"))).over(w)
     t = t.withColumn("start", F.coalesce(strict, loose))
     at = lambda c: F.max(F.when(F.col("k") == F.col("start"), F.col(c))).over(w)
@@ -96,15 +96,14 @@ def wrap_axis(table: DataFrame, by: list[str], lo: float = -180.0, hi: float = 1
     return out.select(*by, (F.col("axis") + F.col("shift")).alias("axis"), "value", (F.col("shift") != 0).alias("moved"))
 
 
-def shift_periodic(table: DataFrame, by: list[str], limit: float, lo: float = -180.0, hi: float = 180.0) -> DataFrame:
-    """Lowers u above `limit` by the jump between its last value and what the first row's value predicts across the boundary."""
-    if hi - limit <= AXIS_EPS:
-        return table
+def shift_periodic(table: DataFrame, by: list[str], limit: float | Column, lo: float = -180.0, hi: float = 180.0) -> DataFrame:
+    """Lowers u above `limit` by the jump between its last value and what the first row's value predicts across the boundary; a limit at `hi` changes nothing."""
+    limit = F.lit(limit) if not isinstance(limit, Column) else limit
     w = Window.partitionBy(*by).orderBy("axis").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = (lambda c: F.first(c).over(w)), (lambda c: F.last(c).over(w))
     gap = first("axis") - lo + hi - last("axis")
     jump = last("u") - (first("u") - 0.5 * (first("value") + last("value")) * gap)
-    return table.withColumn("jump", jump).withColumn("u", F.when(F.col("axis") > limit + AXIS_EPS, F.col("u") - F.col("jump")).otherwise(F.col("u"))).drop("jump")
+    return table.withColumn("jump", jump).withColumn("u", F.when((F.col("axis") > limit + AXIS_EPS) & (hi - limit > AXIS_EPS), F.col("u") - F.col("jump")).otherwise(F.col("u"))).drop("jump")
 
 
 def add(left: DataFrame, right: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
@@ -142,19 +141,29 @@ def lammps_lines(table: DataFrame, by: list[str], kind: str) -> DataFrame:
 def finish(table: DataFrame, by: list[str], kind: str, width: float, cutoff: float) -> DataFrame:
     """A force table as a simulation reads it, with its potential u: repaired and padded by class, integrated, put in standard form.
 
-    nonbonded: front repaired, from `width` to the cutoff, the last value being 0; bond: both ends continued to the
-    cutoff; angle: 0 to 180; dihedral: wrapped and trimmed to -180 .. 180. Bonded potentials have minimum 0.
+    nonbonded: front repaired, from `width` to the cutoff, the last value being 0; bond: both ends continued in a line,
+    down to `width` and up to the cutoff; angle: both ends continued in a line, down to `width` and short of 180, and
+    then held to 0 and 180; dihedral: wrapped and trimmed to -180 .. 180, the potential made periodic where rows were
+    moved, forces and potentials given per degree. Bonded potentials have minimum 0.
     """
     if kind == "nonbonded":
         t = pad(repair_front(table, by), by, width, width, None, linear=True)
         t = pad(t, by, width, None, cutoff).withColumn("value", F.when(F.col("axis") > cutoff - AXIS_EPS, 0.0).otherwise(F.col("value")))
         return integrate(t, by)
     if kind == "bond":
-        t = pad(repair_back(repair_front(table, by), by), by, width, 0.0, cutoff, linear=True)
+        t = pad(repair_back(repair_front(table, by), by), by, width, width, cutoff, linear=True)
     elif kind == "angle":
-        t = pad(repair_back(repair_front(table, by), by), by, width, 0.0, 180.0, linear=True)
+        t = pad(repair_back(repair_front(table, by), by), by, width, width, 180.0 - width, linear=True)
+        t = trim(pad(t, by, width, 0.0, 180.0), 0.0, 180.0)
     elif kind == "dihedral":
-        t = trim(wrap_axis(table, by), -180.0, 180.0).select(*by, "axis", "value")
+        w = Window.partitionBy(*by)
+        t = wrap_axis(table, by)
+        stays = F.when(~F.col("moved"), F.col("axis"))  # rows moved down come from above the first of these, rows moved up from below the last
+        low, high, moved = F.min(stays).over(w), F.max(stays).over(w), F.when(F.col("moved"), F.col("axis"))
+        t = t.withColumn("limit", F.when(F.min(moved).over(w) < low, low).when(F.max(moved).over(w) > high, high).otherwise(180.0))
+        t = integrate(trim(t.select(*by, "axis", "value", "limit"), -180.0, 180.0), by)
+        t = shift_periodic(t, by, F.col("limit"))
+        return standardize(t.select(*by, "axis", (F.col("value") / DEGREES_PER_RADIAN).alias("value"), (F.col("u") / DEGREES_PER_RADIAN).alias("u")), by)
     else:
         raise ValueError(f"no table form for {kind!r}")
     return standardize(integrate(t, by), by)

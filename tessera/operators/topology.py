@@ -32,25 +32,29 @@ def reachable(bonds: DataFrame, most_rounds: int = 40, checkpoint: bool = True)
 
     Minimum labels spread over bonds, and each label is then replaced by its own label's label (pointer jumping), so the
     number of rounds grows with the logarithm of a molecule's length. Each round is cut with a reliable checkpoint
-    where the session has a checkpoint folder.
+    where the session has a checkpoint folder. Raises RuntimeError if labels still change after `most_rounds`.
     """
     spark = bonds.sparkSession
     cut = checkpoint and spark.sparkContext.getCheckpointDir() is not None
     d = directed(bonds)
     d = d.checkpoint() if cut else d
     now = d.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("molecule"))
-    before = None
+    before, held = None, []
     for _ in range(most_rounds):
         spread = d.join(now.select(F.col("id").alias("b"), "molecule"), "b").groupBy(F.col("a").alias("id")).agg(F.min("molecule").alias("m"))
         near = now.join(spread, "id").select("id", F.least("molecule", "m").alias("molecule"))
         jump = near.select(F.col("id").alias("molecule"), F.col("molecule").alias("further"))
         now = near.join(jump, "molecule").select("id", F.col("further").alias("molecule"))
         now = now.checkpoint() if cut else now.persist()
+        held.append(now)
         mark = now.agg(F.sum("molecule")).first()[0]
+        for old in [] if cut else held[:-1]:
+            old.unpersist()
+        held = held[-1:]
         if mark == before:
-            break
+            return now
         before = mark
-    return now
+    raise RuntimeError(f"molecules did not settle in {most_rounds} rounds")
 
 
 def exclusions(bonds: DataFrame, style: int) -> DataFrame:

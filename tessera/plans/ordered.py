@@ -96,6 +96,6 @@ def p20(spark, sf_dir):
     return tables.lookup(points, t.select(*BY, F.col("bin").alias("idx"), F.col("value").alias("v")), BY, "lo", STEP).select(*BY, r6("p").alias("p"), r6("value").alias("value"))
 
 
-@query("k06_table_lines", f"{U}, r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY axis) AS k FROM u) SELECT t1, t2, (k + 10)::INT AS line_no, length(printf('%d %.6f %.6f %.6f', k, axis, u, value))::INT AS width FROM r UNION ALL SELECT t1, t2, 2, length(printf('N %d R %.6f %.6f', count(*), min(axis), max(axis)))::INT FROM u GROUP BY t1, t2")
+@query("k06_table_lines", f"{U}, r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY axis) AS k FROM u) SELECT t1, t2, (k + 10)::INT AS line_no, printf('%d %.6f %.6f %.6f', k, axis, u, value) AS line FROM r UNION ALL SELECT t1, t2, 2, printf('N %d R %.6f %.6f', count(*), min(axis), max(axis)) FROM u GROUP BY t1, t2")
 def k06(spark, sf_dir):
-    return tables.lammps_lines(tables.integrate(table(spark, sf_dir), BY), BY, "nonbonded").select(*BY, "line_no", F.length("line").alias("width"))
+    return tables.lammps_lines(tables.integrate(table(spark, sf_dir), BY), BY, "nonbonded").select(*BY, "line_no", "line")

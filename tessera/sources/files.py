@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,18 @@ def sample_states(sites: DataFrame, samples: int, uniform: Column | None = None,
 def read_dump(spark: SparkSession, path: str, dim: int = 3, no_forces: bool = False) -> DataFrame:
     """A LAMMPS text dump as one row for each atom line: frame_id, timestep, box lengths lx.., site_id, type_id, state_p, x.., fx...
 
-    Each file is read as one value, cut at `ITEM: TIMESTEP`; columns are found by the names in `ITEM: ATOMS`. frame_id
-    counts from 1 within a file, in file order of path names for several files. Positions are less the box origin and
-    wrapped into the box; site_id is the atom's place in the frame, from 0. A line with too few fields, or a number of
-    atom lines other than stated, gives the row `problem`. Memory: one file for a task; write long runs as many files.
+    The text is cut at `ITEM: TIMESTEP` by the reader itself, so that a file may be split between tasks; memory is one
+    frame for a task. Columns are found by the names in `ITEM: ATOMS`. frame_id counts from 1 over all files, in order
+    of path names. Positions are less the box origin and wrapped into the box; site_id is the atom's place in the frame,
+    from 0. A line with too few fields, or a number of atom lines other than stated, gives the row `problem`.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    frames = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "ITEM: TIMESTEP\n")).alias("k", "body")).where("k > 0")
+    cut = spark.read.option("lineSep", "ITEM: TIMESTEP").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    cut = cut.where(F.trim(F.translate("value", "\r\n", "  ")) != "")
+    # frames of a split are numbered in order; splits are few, so their first numbers are made by one small window
+    splits = cut.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    frames = cut.join(F.broadcast(splits), ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("k"), F.regexp_replace(F.regexp_replace("value", "\r", ""), "^\\s*\n", "").alias("body"))
     part = lambda name: F.regexp_extract("body", rf"ITEM: {name}[^\n]*\n([^I]*)", 1)
     bounds = F.transform(F.slice(F.split(F.trim(F.regexp_extract("body", r"ITEM: BOX BOUNDS[^\n]*\n([^I]*)", 1)), "\n"), 1, dim), lambda b: F.transform(F.slice(F.split(F.trim(b), r"\s+"), 1, 2), lambda x: x.cast("double")))
     header = F.split(F.trim(F.regexp_extract("body", r"ITEM: ATOMS([^\n]*)\n", 1)), r"\s+")

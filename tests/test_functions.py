@@ -1,5 +1,6 @@
 """Geometry, kernels, keys and bases: hand-made cases and finite differences."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.config import Control, parse_control
+from tessera.config import KEYS, Control, parse_control
 from tessera.functions import basis, kernels, keys
 from tessera.functions import geometry as g
 
@@ -113,10 +114,27 @@ def test_column_counts():
 
 
 def test_control():
-    c = parse_control("n_frames 20 comment\nblock_size 5\nbasis_type linear\n\n# nothing\n")
-    assert (c.n_frames, c.block_size, c.basis_type) == (20, 5, "linear") and c.check() is c
-    with pytest.warns(UserWarning):
+    c = parse_control("n_frames 20 comment\nblock_size 5\nbasis_type 1\npair_nonbonded_basis_set_resolution 0.01\nTemperature 310\n\n# nothing\n")
+    assert (c.n_frames, c.block_size, c.basis_type, c.nonbonded_bin_width, c.temperature) == (20, 5, "linear", 0.01, 310.0) and c.check() is c
+    with pytest.raises(ValueError, match="no_such_key"):
         parse_control("no_such_key 1")
-    for bad in (Control(n_frames=7, block_size=2), Control(basis_type="x"), Control(exclusion_style=1), Control(bspline_order=1)):
+    with pytest.warns(UserWarning):
+        assert parse_control("no_such_key 1", strict=False) == Control()
+    for bad in (Control(n_frames=7, block_size=2), Control(basis_type="x"), Control(exclusion_style=1), Control(angle_order=0)):
         with pytest.raises(ValueError):
             bad.check()
+    assert {f.name for f in dataclasses.fields(Control)} == set(KEYS) and len(set(KEYS.values())) == len(KEYS)
+
+
+#: Three control files of usual runs: pairs by B-splines, bonded by lines, and densities with bootstrapping.
+RUNS = {
+    "block_size 10\nstart_frame 1\nn_frames 200\nnonbonded_cutoff 2.0\nbasis_type 0\npair_nonbonded_bspline_basis_order 6\npair_nonbonded_basis_set_resolution 0.01\nmatrix_type 0\npair_nonbonded_output_binwidth 0.01\nprimary_output_style 2\noutput_solution_flag 1\noutput_spline_coeffs_flag 1\n": {"nonbonded_order": 6, "nonbonded_bin_width": 0.01, "output_style": 2},
+    "basis_type 1\nangle_type 1\ndihedral_type 1\nexcluded_style 4\nangle_basis_set_resolution 2.5\nmax_angles_per_site 20\n": {"basis_type": "linear", "angle_bin_width": 2.5, "exclusion_style": 4, "most_angles": 20},
+    "density_interactions_flag 3\ndensity_cutoff_distance 7.5\nbootstrapping_flag 1\nbootstrapping_num_estimates 9\nregularization_scalar 0.5\n": {"density_style": 3, "density_cutoff": 7.5, "bootstrap_replicas": 9, "tikhonov_parameter": 0.5},
+}
+
+
+def test_control_files_of_runs():
+    for text, want in RUNS.items():
+        made = parse_control(text).check()
+        assert {k: getattr(made, k) for k in want} == want

@@ -1,5 +1,8 @@
 """Joins, topology, ranges, fitting and tables on small hand-made systems."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -228,11 +231,41 @@ def test_tables(spark):
     lines = [r["line"] for r in tables.lammps_lines(tables.integrate(t, ["t"]), ["t"], "bond").orderBy("line_no").collect()]
     assert lines[0] == "N 5 FP 0.0 0.0 EQ 0.500000" and lines[1] == "1 0.100000 1.000000 -1.000000"
     bond = tables.finish(table(spark, [4.0, 2.0, 0.0, -2.0, -4.0], 0.8), ["t"], "bond", 0.1, 1.5)
-    assert min(vals(bond, "u")) == 0 and bond.count() == 16
+    assert min(vals(bond, "u")) == 0 and bond.count() == 15  # 0.1 to 1.5: the line stops a step above 0
     pair = tables.finish(t, ["t"], "nonbonded", 0.1, 1.0).orderBy("axis").collect()
     assert pair[-1]["value"] == 0 and pair[-1]["u"] == 0 and pair[0]["axis"] == pytest.approx(0.1)
 
 
+def test_pairs_with_a_box_for_each_frame(spark):
+    rng, rows = random.Random(8), []
+    sides = {1: (3.0, 4.0, 5.0), 2: (2.4, 2.5, 7.3), 3: (2.0, 2.0, 2.0)}
+    for f, box in sides.items():
+        rows += [(f, k, 1 + k % 2, *[rng.random() * s for s in box], *box) for k in range(60)]
+    sites = spark.createDataFrame(rows, "frame_id int, site_id int, type_id int, x double, y double, z double, lx double, ly double, lz double")
+    got = {(r["frame_id"], r["i"], r["j"]): r["r2"] for r in neighbors.pairs(sites, 0.95, ("lx", "ly", "lz")).collect()}
+    want = {}
+    for f, i, _, *a in rows:
+        for g, j, _, *b in rows:
+            if f == g and i < j:
+                r2 = sum(min(abs(p - q), s - abs(p - q)) ** 2 for p, q, s in zip(a, b, sides[f]))
+                if r2 <= 0.95**2:
+                    want[(f, i, j)] = r2
+    assert got == pytest.approx(want) and len(want) > 100
+    with pytest.raises(Exception, match="half the box"):
+        neighbors.pairs(sites, 1.1, ("lx", "ly", "lz")).count()
+
+
+def test_dihedral_and_angle_tables(spark):
+    degree = 180 / math.pi
+    wrapped = tables.finish(table(spark, [1.0, 2.0, 3.0, 4.0, 3.0, 2.0, 1.0], 120.0, 20.0), ["t"], "dihedral", 20.0, 0.0).orderBy("axis").collect()
+    assert [r["axis"] for r in wrapped] == [-160.0, -140.0, -120.0, 120.0, 140.0, 160.0, 180.0]
+    assert sum(r["value"] for r in wrapped) == pytest.approx(16 / degree) and min(r["u"] for r in wrapped) == 0
+    plain = tables.finish(table(spark, [1.0, 1.0, 1.0], -20.0, 20.0), ["t"], "dihedral", 20.0, 0.0).orderBy("axis").collect()
+    assert [r["u"] for r in plain] == pytest.approx([40 / degree, 20 / degree, 0.0])
+    angle = tables.finish(table(spark, [3.0, 1.0, -1.0, -3.0], 60.0, 30.0), ["t"], "angle", 30.0, 0.0).orderBy("axis").collect()
+    assert [(r["axis"], r["value"]) for r in angle] == [(0.0, 5.0), (30.0, 5.0), (60.0, 3.0), (90.0, 1.0), (120.0, -1.0), (150.0, -3.0), (180.0, -3.0)]
+
+
 def test_streaming_ranges_and_redelivery(spark, tmp_path):
     sites, rows = random_sites(spark, 40, 4)
     want = {(r["t1"], r["t2"]): tuple(r) for r in typed_ranges(sites).collect()}

@@ -100,3 +100,18 @@ def test_ranges_tables_and_parameters(spark):
     assert model.parse_lambda("2 0\n0.1\n0.2\n") == [0.1, 0.2] and model.parse_lambda("0.3\n0.4\n") == [0.3, 0.4]
     lines = model.range_lines(spark.createDataFrame([("A", "B", 0.5, 1.0, "fm")], "t1 string, t2 string, lo double, hi double, mode string"), ["t1", "t2"])
     assert lines.first()["line"] == "A B 0.500000 1.000000 fm"
+
+
+def test_dump_frames_count_over_files_and_splits(spark, tmp_path):
+    frame = "ITEM: TIMESTEP\n{t}\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 10\n0 10\n0 10\nITEM: ATOMS id type x y z\n1 1 0 1 2\n2 2 3 4 5\n"
+    (tmp_path / "a.dump").write_text("".join(frame.format(t=t) for t in range(300)))
+    (tmp_path / "b.dump").write_text("".join(frame.format(t=t).replace("\n", "\r\n") for t in range(300, 420)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+    try:
+        dump = files.read_dump(spark, str(tmp_path))
+        assert dump.rdd.getNumPartitions() > 8
+        got = sorted((r["frame_id"], r["timestep"], r["site_id"]) for r in dump.where("problem is null").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(t + 1, t, k) for t in range(420) for k in (0, 1)]
