@@ -58,7 +58,7 @@ def source_rates(docs: DataFrame, target: dict[str | None, float] | None, size:
 def mix(docs: DataFrame, target: dict[str | None, float] | None = None, size: float = 1.0, temperature: float = 0.7, seed: int = 1, broadcast_sources: int = 20_000) -> DataFrame:
     """The mixture: all columns of `docs`, and mix_rate, mix_copies (copies drawn), mix_copy (0, 1, ...), in a global random order.
 
-    Needs doc_id, text and source; columns named mix_* are replaced. A null source is a source; null ids and repeated
+    Needs doc_id, text and source; columns named mix_rate, mix_copies or mix_copy are replaced, all others stay. A null source is a source; null ids and repeated
     rows draw by (seed, id, text) and so get the same count, each row its own copies; empty texts weigh nothing and are
     drawn at their source's rate. The rates come back by broadcast if there are no more than `broadcast_sources`
     sources, else by a join that may split hot sources. The copies are dealt by a hash of (seed, id, text, copy) and
@@ -68,13 +68,17 @@ def mix(docs: DataFrame, target: dict[str | None, float] | None = None, size: fl
     kept = [c for c in docs.columns if c not in ("mix_rate", "mix_copies", "mix_copy")]
     rates = source_rates(docs, target, size, temperature)
     pieces = F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int")
-    rates = rates.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), pieces.alias("mix_pieces"), poisson_table(F.col("rate") / pieces).alias("mix_table"))
+    own = "mixing_"  # the columns of this function alone: no column of `docs` starts with it
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    source_, rate_, pieces_, table_, hash_, deal_, key_ = (own + c for c in ("source", "rate", "pieces", "table", "hash", "deal", "key"))
+    rates = rates.select(F.col("source").alias(source_), F.col("rate").alias(rate_), pieces.alias(pieces_), poisson_table(F.col("rate") / pieces).alias(table_))
     if rates.limit(broadcast_sources + 1).count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]  # a hash skips nulls
-    rows = docs.select(*kept, F.xxhash64(F.lit(seed), *own, F.lit("copies")).alias("mix_hash"), F.xxhash64(F.lit(seed + 1), *own).alias("mix_deal")).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
-    draw = lambda i: F.size(F.filter(F.col("mix_table"), lambda c: c <= uniform(F.col("mix_hash"), i)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("mix_pieces")), F.lit(0), lambda s, i: s + draw(i))
+    text_of = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]  # a hash skips nulls
+    rows = docs.select(*kept, F.xxhash64(F.lit(seed), *text_of, F.lit("copies")).alias(hash_), F.xxhash64(F.lit(seed + 1), *text_of).alias(deal_)).join(rates, F.col("source").eqNullSafe(F.col(source_)))
+    draw = lambda i: F.size(F.filter(F.col(table_), lambda c: c <= uniform(F.col(hash_), i)))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col(pieces_)), F.lit(0), lambda s, i: s + draw(i))
     rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    rows = rows.select(*kept, "mix_rate", "mix_copies", "mix_copy", F.xxhash64("mix_deal", "mix_copy").alias("mix_key"))
-    return rows.repartition(max(partitions(spark), 1), "mix_key").sortWithinPartitions("mix_key").drop("mix_key")
+    rows = rows.select(*kept, F.col(rate_).alias("mix_rate"), "mix_copies", "mix_copy", F.xxhash64(deal_, "mix_copy").alias(key_))
+    return rows.repartition(max(partitions(spark), 1), key_).sortWithinPartitions(key_).drop(key_)

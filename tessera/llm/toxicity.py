@@ -1,9 +1,10 @@
 """Toxicity: a weighted finite-state grammar over the words of clauses, with weights learned from labelled documents.
 
-Words map to classes (insult, threat, target, negation, reporting, word, quote). Small transducers for insults, threats,
-targets, negation and reported speech read classes and write tags; composed, they are one deterministic weighted
-transducer that reads a clause from left to right and reports the pattern it matched: an insult, an insult aimed at
-someone, a threat, and each of these negated or reported. A document is scored by its matched clauses, not by its words.
+Words map to classes (insult, threat, intent, target, negation, reporting, word, quote). Small transducers for insults,
+threats and their objects, intent, targets, negation and reported speech read classes and write tags in context: an insult
+after a target, within the scope of a negation or of a report that came before it; a threat after an intent, and the
+target that is its object. Composed, they are one deterministic weighted transducer that reads a clause from left to
+right; each match is scored by the tags that its path wrote. A document is scored by its matches, not by its words.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from .workspace import ship, small_batches, stage
 SEEDS = {
     "insult": "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile jerk fool dumb vermin filth crétin débile abruti ordure connard minable imbécile basura estúpido inútil asqueroso payaso escoria dummkopf abschaum müll widerlich trottel wertlos erbärmlich",
     "threat": "kill hurt destroy beat burn crush hang shoot stab tuer frapper détruire matar golpear destruir töten schlagen vernichten",
+    "intent": "will gonna going shall i'll we'll vais va allons voy vamos werde werden",
     "target": "you your you're youre yourself they them their those these he she him her tu toi vous te ton votre eux ils elles usted ustedes ellos ellas tú ti du dich dir ihr euch sie",
     "negation": "not no never isn't isnt aren't arent don't dont ne pas jamais non nunca jamás nicht kein keine nie",
     "report": "said says say told wrote called quoted claims claimed reported dit écrit appelé dijo escribió llamó sagte schrieb nannte",
 }
-CLASSES = ("word", "insult", "threat", "target", "negation", "report", "quote")
+CLASSES = ("word", "insult", "threat", "intent", "target", "negation", "report", "quote")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
 QUOTES = set("\"“”«»")
@@ -66,24 +68,62 @@ class Transducer:
         return Transducer(len(ids), arcs)
 
 
+def counting(words: int, start: str, hit: Iterable[str], tag: str, weight: float) -> Transducer:
+    """Writes `tag` at a word of a class in `hit` that comes within `words` words after one of class `start`; state k is k words after it."""
+    arcs: list[Arc] = [(s, start, 1, "", 0.0) for s in range(words + 1)]
+    hit = set(hit)
+    for s in range(1, words + 1):
+        on = s + 1 if s < words else 0
+        arcs += [(s, c, on, tag if c in hit else "", weight if c in hit else 0.0) for c in CLASSES if c != start]
+    return Transducer(words + 1, arcs)
+
+
+def denied_object(within: int, after: int) -> Transducer:
+    """Writes x at a target at most `after` words after a threat that is at most `within` words after a negation, with no other between."""
+    state = lambda since, threat: since * (after + 1) + threat  # noqa: E731  words since the negation and since its threat, 0: none
+    arcs: list[Arc] = []
+    for since in range(within + 1):
+        for threat in range(after + 1):
+            on = since + 1 if 0 < since < within else 0
+            for c in CLASSES:
+                if c == "negation":
+                    to = state(1, 0)
+                elif c == "threat":
+                    to = state(on, 1 if since else 0)
+                elif c == "target":
+                    to = state(on, 0)
+                else:
+                    to = state(on, threat + 1 if 0 < threat < after else 0)
+                hit = c == "target" and threat > 0
+                arcs.append((state(since, threat), c, to, "x" if hit else "", -1.0 if hit else 0.0))
+    return Transducer((within + 1) * (after + 1), arcs)
+
+
 def grammar() -> Transducer:
-    """Insult o threat o target o negation o reported speech. Tags: i insult, t threat, y target, n negation, r report, q quote.
+    """Insult o threat o intent o target o negation o report.
 
-    The negation machine holds for three words after a negation; the target machine holds to the end of the clause.
+    Tags: i insult; t threat; o target as the object of a threat, at most two words after it; x object of a negated
+    threat; w threat at most four words after an intent; Y insult after a target, y target after an insult, in one clause;
+    n insult or threat at most three words after a negation; r insult or threat in the scope of a report before it, which
+    ends with the clause or the quotation, or in quotation marks.
     """
-    insult = Transducer(1, [(0, "insult", 0, "i", 1.0)])
-    threat = Transducer(1, [(0, "threat", 0, "t", 1.0)])
-    target = Transducer(2, [(0, "target", 1, "y", 0.5)])
-    negation = Transducer(4, [(s, "negation", 1, "n", -0.25) for s in range(4)] + [(s, c, (s + 1) % 4, "", 0.0) for s in (1, 2, 3) for c in ("word", "target", "report", "quote")] + [(s, c, 0, "N", -0.5) for s in (1, 2, 3) for c in ("insult", "threat")])
-    reported = Transducer(3, [(0, "report", 1, "r", -0.25), (1, "quote", 2, "q", -0.25), (2, "quote", 1, "", 0.0), (0, "quote", 0, "q", 0.0)])
-    out = insult
-    for part in (threat, target, negation, reported):
+    parts = [
+        Transducer(1, [(0, "insult", 0, "i", 1.0)]),
+        Transducer(3, [(s, "threat", 1, "t", 0.0) for s in range(3)] + [(1, c, 2, "", 0.0) for c in CLASSES if c not in ("threat", "target")] + [(2, c, 0, "", 0.0) for c in CLASSES if c not in ("threat", "target")] + [(s, "target", 0, "o", 1.0) for s in (1, 2)]),
+        counting(4, "intent", ["threat"], "w", 0.5),
+        Transducer(3, [(0, "target", 1, "", 0.0), (0, "insult", 2, "", 0.0), (1, "insult", 1, "Y", 0.5), (2, "target", 1, "y", 0.5)]),
+        counting(3, "negation", ["insult", "threat"], "n", -0.5),
+        denied_object(3, 2),
+        Transducer(3, [(0, "report", 1, "", 0.0), (0, "quote", 2, "", 0.0), (1, "quote", 2, "", 0.0), (2, "quote", 0, "", 0.0)] + [(s, c, s, "r", -0.25) for s in (1, 2) for c in ("insult", "threat")]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
         out = out.compose(part)
     return out
 
 
-#: What a document's clauses are counted into: matched patterns.
-FEATURES = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_negated")
+#: What a document's matches are counted into.
+FEATURES = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_intended", "threat_negated")
 #: A feature counts no further than this, so that long documents are not judged by their length.
 MOST_WEIGHT = 12.0
 
@@ -113,16 +153,29 @@ class Grammar:
                 return self.lexicon[word[:n] + "*"]
         return "word", 0.0
 
-    def clause(self, clause: str) -> tuple[str, float]:
-        """(tags, weight) that the transducer writes for one clause; insults are scaled by their lexicon weights."""
-        state, tags, weight = 0, [], 0.0
+    def clause(self, clause: str) -> tuple[list[str], list[float]]:
+        """(tags of each step that wrote some, FEATURES) of one clause; insults count by their lexicon weights and path weights."""
+        state, tags, out, last = 0, [], [0.0] * len(FEATURES), 0.0
         for w in WORD.findall(clause):
             read, scale = ("quote", 1.0) if w in QUOTES else self.kind(w)
-            state, tag, more = self.machine.step(state, read)
-            if tag:
-                tags.append(tag)
-                weight += more * scale
-        return "".join(tags), weight
+            state, tag, weight = self.machine.step(state, read)
+            if not tag:
+                continue
+            tags.append(tag)
+            if "i" in tag:
+                last = max(scale * weight, 0.0)  # the path's weight: more for an aimed insult, less for a negated or reported one
+                out[0] += last
+                out[1] += last * ("Y" in tag)
+                out[2] += "n" in tag
+                out[3] += scale * ("r" in tag)
+            elif "y" in tag:
+                out[1] += last
+            if "t" in tag:
+                out[5] += "w" in tag and "n" not in tag
+                out[6] += "n" in tag
+            if "o" in tag:
+                out[4] += "x" not in tag
+        return tags, out
 
     def features(self, text: str | None) -> list[float]:
         out = [0.0] * len(FEATURES)
@@ -140,32 +193,23 @@ class Grammar:
             end = CLAUSE.search(low, after)
             spans.append((begin, end.start() if end else len(low)))
         for start, end in spans:
-            tags, weight = self.clause(low[start:end])
-            insults, denied = tags.count("i"), tags.count("N")
-            aimed, told, weight = "y" in tags, "r" in tags, max(weight, 0.0)
-            if insults:
-                out[0] += weight
-                out[1] += weight * aimed
-                out[2] += min(insults, denied)
-                out[3] += weight * told
-            if "t" in tags:
-                out[4] += tags.count("t") * aimed * (not denied)
-                out[5] += min(tags.count("t"), denied)
+            out = [x + y for x, y in zip(out, self.clause(low[start:end])[1], strict=True)]
         return [min(v, MOST_WEIGHT) for v in out]
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7) -> tuple[dict[str, tuple[str, float]], list[float]]:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7, most_words: int = 500) -> tuple[dict[str, tuple[str, float]], list[float]]:
     """(lexicon, weights) from labelled documents: about `most` at most, half of them toxic, taken by a hash of the id.
 
     `labels` has doc_id and toxic and must hold only rows that may be learned from. Words, and stems of 4 to 7 letters
     (written with a star), join the insults, weighing the log odds of toxic against clean documents that have them, if
-    these are 1.5 at least and the log-likelihood ratio against chance is SURE at least. Weights are of a logistic
+    these are 1.5 at least and the log-likelihood ratio against chance is SURE at least. The lexicon is a model of a fixed
+    size: of these words and stems it takes the `most_words` with the largest ratios, as weaker ones say little. Weights are of a logistic
     regression over FEATURES. Without toxic or without clean labels the seeds and fixed weights are used.
     """
     import numpy as np
 
     lexicon = {w: (kind, SEED_WEIGHT if kind == "insult" else 1.0) for kind, words in SEEDS.items() for w in words.split()}
-    fixed = [-4.0, 1.5, 0.2, -0.5, -0.1, 4.0, -0.5]
+    fixed = [-4.0, 1.5, 0.2, -0.5, -0.1, 4.0, 0.5, -0.5]
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("labelled")).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     shares = {k: min(1.0, most / 2 / max(1, n.get(k, 0))) for k in (0, 1)}
@@ -184,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7)
     gain = F.col("p") * F.log(rate / prior) + F.when(F.col("q") > 0, q * shares[1] * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
     found = seen.where("p >= 4").select("word", "p", odds.alias("odds"), gain.alias("gain")).where((F.col("odds") >= 1.5) & (F.col("gain") >= SURE))
     chosen: dict[str, int] = {}
-    for row in found.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").limit(500).collect():
+    for row in found.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").limit(most_words).collect():
         word = row["word"]  # forms within a stem that tells more, and shorter forms that no more documents have, add nothing
         within = any(word[:k] + "*" in chosen for k in range(STEMS[0], min(len(word.removesuffix("*")), STEMS[1]) + 1))
         if not within and not (word.endswith("*") and any(w.startswith(word[:-1]) and k == row["p"] for w, k in chosen.items())):

@@ -1,17 +1,20 @@
 """Quality rules, toxicity, language, perplexity and mixing: plain versions, held-out accuracy, and odd rows."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.kneser_ney import perplexity_filter, sequence_filter
 from tessera.llm.language_id import fit, identify
-from tessera.llm.mixing import mix
+from tessera.llm.mixing import MOST_MEAN, mix
 from tessera.llm.quality_rules import quality_rules
-from tessera.llm.toxicity import Grammar, grammar, toxicity
+from tessera.llm.toxicity import FEATURES, Grammar, toxicity
 from tessera.llm.workspace import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -83,22 +86,74 @@ def test_toxicity_held_out(docs, labels, odd_docs, no_docs):
     assert toxicity(docs, labels.where("false")).count() == docs.count()
 
 
+LEXICON = {"idiot": ("insult", 3.0), "vequ*": ("insult", 2.0), "you": ("target", 1.0), "not": ("negation", 1.0), "said": ("report", 1.0), "kill": ("threat", 1.0), "burn": ("threat", 1.0), "will": ("intent", 1.0)}
+
+
 def test_grammar_reads_clauses():
-    g = Grammar({"idiot": ("insult", 3.0), "vequ*": ("insult", 2.0), "you": ("target", 1.0), "not": ("negation", 1.0), "said": ("report", 1.0), "kill": ("threat", 1.0)})
-    aimed, denied, told = (g.clause(t) for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot"))
-    assert aimed[0] == "yi" and denied[0] == "yniN" and told[0] == "ryi"
-    assert aimed[1] > told[1] > denied[1]
-    assert g.features("A vequality here. Nothing else")[0] == 2.0 and g.features("unvequ idiots")[0] == 0.0
-    assert g.features("i will kill you")[4] == 1 and g.features("not kill you")[4] == 0
-    assert g.features(None) == g.features("") == [0.0] * 6
-    assert grammar().states == 2 * 4 * 3
+    g = Grammar(LEXICON)
+    read = lambda text: dict(zip(FEATURES, g.features(text), strict=True))
+    assert [g.clause(t)[0] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot")] == [["iY"], ["iYn"], ["iYr"]]
+    aimed, denied, told, after = (read(t)["insult"] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot", "you idiot, he said"))
+    assert aimed == after > told > denied
+    assert read("you idiot, he said")["insult_reported"] == 0 < read("he said you are an idiot")["insult_reported"]
+    assert read('he said "you idiot" and you idiot')["insult_reported"] == 3.0 and read("idiot that you are")["insult_aimed"] == 3.0
+    assert read("A vequality here. Nothing else")["insult"] == 2.0 and read("unvequ idiots")["insult"] == 0.0
+    assert read("i will kill you")["threat_aimed"] == read("i will kill you")["threat_intended"] == 1
+    denied = read("i will not kill you")
+    assert denied["threat_aimed"] == denied["threat_intended"] == 0 and denied["threat_negated"] == 1
+    assert read("burn the wood you bought")["threat_aimed"] == 0 and read("burn all you have")["threat_aimed"] == 1
+    assert g.features(None) == g.features("") == [0.0] * len(FEATURES)
 
 
 def test_grammar_reads_long_clauses_whole():
-    g = Grammar({"idiot": ("insult", 3.0), "you": ("target", 1.0), "said": ("report", 1.0), "kill": ("threat", 1.0)})
-    far = "word " * 1000
-    assert g.features(f"you are {far} an idiot")[1] > 0 and g.features(f"he said {far} an idiot")[3] > 0
-    assert g.features(f"you wait {far} i kill")[4] == 1 and g.features(f"you wait. {far} i kill")[4] == 0
+    g, far = Grammar(LEXICON), "word " * 1000
+    assert g.features(f"you are {far} an idiot")[1] > 0 and g.features(f"he said {far} an idiot")[3] > 0 and g.features(f"an idiot {far} are you")[1] > 0
+    assert g.features(f"i wait {far} and kill you")[4] == 1 and g.features(f"you wait {far} i kill")[4] == 0
+
+
+def plain_features(kinds):
+    """FEATURES of one clause from the classes of its words, by looking back and ahead from each match."""
+    out, weights = [0.0] * len(FEATURES), []
+    for k, kind in enumerate(kinds):
+        if kind in ("insult", "threat"):
+            near = kinds[max(0, k - 3) : k]
+            denied = any(x == "negation" for x in near)
+            quoted, reported = False, False
+            for x in kinds[:k]:
+                if x == "quote":
+                    quoted, reported = not quoted, False
+                elif x == "report" and not quoted:
+                    reported = True
+            told = quoted or reported
+        if kind == "insult":
+            aimed = "target" in kinds[:k]
+            weight = 3.0 * max(0.0, 1 + 0.5 * aimed - 0.5 * denied - 0.25 * told)
+            out[0] += weight
+            out[1] += weight * aimed
+            out[2] += denied
+            out[3] += 3.0 * told
+            weights.append((k, weight))
+        if kind == "threat":
+            out[5] += "intent" in kinds[max(0, k - 4) : k] and not denied
+            out[6] += denied
+            ahead = kinds[k + 1 : k + 3]
+            if "target" in ahead and "threat" not in ahead[: ahead.index("target")]:
+                at = k + 1 + ahead.index("target")
+                out[4] += not (denied and "negation" not in kinds[k + 1 : at])
+    first = kinds.index("target") if "target" in kinds else -1
+    before = [w for k, w in weights if k < first]
+    if before:
+        out[1] += before[-1]
+    return out
+
+
+def test_grammar_like_plain_reading():
+    g, rng = Grammar(LEXICON), random.Random(11)
+    words = {"word": "tree", "insult": "idiot", "threat": "kill", "intent": "will", "target": "you", "negation": "not", "report": "said", "quote": '"'}
+    for _ in range(4000):
+        kinds = rng.choices(list(words), [6, 2, 2, 1, 2, 1.5, 1, 1], k=rng.randint(1, 14))
+        got = g.clause(" ".join(words[k] for k in kinds))[1]
+        assert got == pytest.approx(plain_features(kinds)), kinds
 
 
 def test_language_held_out(docs, odd_docs, no_docs):
@@ -241,3 +296,39 @@ def test_mixing_draws_by_text_too(spark):
         assert abs(n - 2000) < 5 * math.sqrt(2000) and {0, 1} <= {r["mix_copy"] for r in out.select("mix_copy").distinct().collect()}
         parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert len(parts) == 4 and max(parts) < 0.4 * n
+
+
+def test_mixing_like_plain_draws(spark, docs):
+    """The inverse Poisson draw of each document from its hash, in plain Python."""
+
+    def spark_hash(seed, *values):
+        for x in values:
+            if x is not None:
+                data = x.encode() if isinstance(x, str) else x.to_bytes(4, "little") if isinstance(x, bool) else x.to_bytes(8, "little", signed=True)
+                seed = xxhash.xxh64(data, seed=seed).intdigest()
+        return seed
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rows = docs.select("doc_id", "text", "source").collect()
+    out = mix(docs, size=3.0, temperature=0.5, seed=4)
+    rates = {r["source"]: r["mix_rate"] for r in out.select("source", "mix_rate").distinct().collect()}
+    want = {}
+    for r in rows:
+        pieces = max(1, math.ceil(rates[r["source"]] / MOST_MEAN))
+        mean = rates[r["source"]] / pieces
+        table = np.cumsum([math.exp(-mean) * mean**k / math.factorial(k) for k in range(60)])
+        base = xxhash.xxh64((4).to_bytes(4, "little"), seed=42).intdigest()
+        base = spark_hash(base, r["doc_id"] is None, r["doc_id"], signed(spark_hash(42, r["text"])), "copies")
+        n = 0
+        for i in range(1, pieces + 1):
+            u = (xxhash.xxh64(i.to_bytes(4, "little"), seed=spark_hash(42, signed(base))).intdigest() >> 11) / float(1 << 53)
+            n += int((table <= u).sum())
+        want[r["doc_id"]] = n
+    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {k: n for k, n in want.items() if n} and len(got) > 50
+
+
+def test_mixing_keeps_clashing_columns(spark, docs):
+    more = docs.selectExpr("*", "1 as mix_key", "2 as mix_source", "3 as mix_table", "4 as mixing_rate", "5 as mix_rate")
+    out = mix(more)
+    assert set(more.columns) <= set(out.columns) and out.select("mix_key", "mix_source", "mix_table", "mixing_rate").distinct().collect() == [(1, 2, 3, 4)]
