@@ -10,14 +10,14 @@ of bounded size, join independently.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import connected_components, ship, stage
 
+#: Vectors of a label that meet its pivots together, about: the pivots go to a task once for each such group, not with each vector.
+GROUP = 4096
 #: Slack on distances for rounding; pairs are confirmed by cosine alone, so it costs candidates and loses none.
 EPS = 1e-6
 
@@ -57,7 +57,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, per_pivot: int = 2000, m
     and those with null or non-finite components, link with nothing: n_links 0, themselves their component. A null id
     links with nothing and stays. Equal vectors of a label are one class with a multiplicity; a repeated id is one row
     for links (its smallest vector). A hot label only has more cells, a hot cell more tiles; each tile holds at most
-    2 x `tile` vectors and gives sums of links and one edge a vector, never pairs.
+    2 x `tile` vectors and gives sums of links and one edge a vector, never pairs. A label's pivots reach its vectors once
+    for each group of about GROUP of them.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -66,42 +67,61 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, per_pivot: int = 2000, m
     units = stage(units.withColumn("key", F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json(F.struct("vec"))), 256)), "units")
     classes = stage(units.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).drop("key"), "classes")
     pivots = stage(pivots_of(classes, per_pivot, most_pivots, seed), "pivots")
-    placed = classes.join(pivots, ["label", "dim"])
     label_type = classes.schema["label"].dataType.simpleString()
+    salts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    keys = ["label", "dim", "salt"]
+    salted = classes.join(salts, ["label", "dim"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 2), "id"), "salts").cast("int")).drop("salts")
+
+    def each_group(tables: DataFrame) -> DataFrame:
+        """A label's row of `tables`, once for each group of its vectors."""
+        return tables.join(salts, ["label", "dim"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def distances(left: pa.Table, right: pa.Table):
+        import numpy as np
+
+        dim = right.column("dim")[0].as_py()
+        x, p = _matrix(left.column("vec"), dim), _matrix(right.column("pivots")[0].values, dim)
+        return p, np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0))
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        """(label, dim, cell, far): the largest distance to its pivot of each cell's vectors in a group."""
+        import numpy as np
 
-    def place(batches: Iterator[pa.RecordBatch], radii=None) -> Iterator[pa.RecordBatch]:
+        if not left.num_rows or not right.num_rows:
+            return left.select(["label", "dim"]).slice(0, 0).append_column("cell", pa.array([], pa.int32())).append_column("far", pa.array([], pa.float64()))
+        _, d = distances(left, right)
+        far = np.full(d.shape[1], -1.0)
+        np.maximum.at(far, d.argmin(1), d.min(1))
+        cells = np.flatnonzero(far >= 0)
+        head = right.select(["label", "dim"]).take(pa.array(np.zeros(len(cells), np.int64)))
+        return head.append_column("cell", pa.array(cells, pa.int32())).append_column("far", pa.array(far[cells], pa.float64()))
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each vector in its own cell, and in all others that may hold one of their own vectors within the radius."""
         import numpy as np
 
-        for batch in batches:
-            x_all, dims = batch.column("vec"), batch.column("dim").to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            labels = batch.column("label").to_pylist()
-            for i, k in enumerate(zip(labels, dims, strict=True)):
-                groups.setdefault(k, []).append(i)
-            for (label, dim), at in groups.items():
-                x = _matrix(x_all.take(pa.array(at)), dim)
-                one = batch.column("pivots").slice(at[0], 1).to_pylist()[0]
-                p = np.array(one, float).reshape(-1, dim)
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0))
-                own = d.argmin(1)
-                mine = d[np.arange(len(x)), own]
-                if radii is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), batch.column("label").type), pa.array([dim] * len(at), pa.int32()), pa.array(own, pa.int32()), pa.array(mine, pa.float64())], ["label", "dim", "cell", "far"])
-                    continue
-                far = dict(zip(*(batch.column(c).slice(at[0], 1).to_pylist()[0] for c in ("cells", "fars")), strict=True))
-                reach = np.array([far.get(c, -10.0) for c in range(len(p))])
-                between = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * p @ p.T, 0))[own]
-                plane = (d * d - (mine * mine)[:, None]) <= 2 * radius * between + EPS
-                near = (d <= reach[None] + radius) & (d <= mine[:, None] + 2 * radius) & plane
-                near[np.arange(len(x)), own] = True
-                row, cell = np.nonzero(near)
-                take = pa.array(np.asarray(at)[row])
-                yield pa.RecordBatch.from_arrays([batch.column("label").take(take), batch.column("dim").take(take), pa.array(cell, pa.int32()), pa.array(own[row] == cell, pa.bool_()), batch.column("id").take(take), batch.column("copies").take(take), x_all.take(take)], ["label", "dim", "cell", "core", "id", "copies", "vec"])
-
-    spans = placed.select("label", "dim", "vec", "pivots").mapInArrow(place, f"label {label_type}, dim int, cell int, far double").groupBy("label", "dim", "cell").agg(F.max("far").alias("far"))
+        names = ["label", "dim", "cell", "core", "id", "copies", "vec"]
+        if not left.num_rows or not right.num_rows:
+            none = left.slice(0, 0)
+            return pa.table([none.column("label"), none.column("dim"), pa.array([], pa.int32()), pa.array([], pa.bool_()), none.column("id"), none.column("copies"), none.column("vec")], names)
+        p, d = distances(left, right)
+        own, mine = d.argmin(1), d.min(1)
+        far = dict(zip(right.column("cells")[0].as_py(), right.column("fars")[0].as_py(), strict=True))
+        reach = np.array([far.get(c, -10.0) for c in range(len(p))])
+        between = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * p @ p.T, 0))[own]
+        plane = (d * d - (mine * mine)[:, None]) <= 2 * radius * between + EPS
+        near = (d <= reach[None] + radius) & (d <= mine[:, None] + 2 * radius) & plane
+        near[np.arange(len(d)), own] = True
+        row, cell = np.nonzero(near)
+        taken = left.take(pa.array(row))
+        return pa.table([taken.column("label"), taken.column("dim"), pa.array(cell, pa.int32()), pa.array(own[row] == cell, pa.bool_()), taken.column("id"), taken.column("copies"), taken.column("vec")], names)
+
+    groups = salted.select(*keys, "vec").groupBy(*keys).cogroup(each_group(pivots).groupBy(*keys))
+    spans = groups.applyInArrow(measure, f"label {label_type}, dim int, cell int, far double").groupBy("label", "dim", "cell").agg(F.max("far").alias("far"))
     spans = spans.groupBy("label", "dim").agg(F.collect_list("cell").alias("cells"), F.collect_list("far").alias("fars"))  # most_pivots entries at most
-    spread = placed.join(spans, ["label", "dim"]).select("label", "dim", "id", "copies", "vec", "pivots", "cells", "fars")
-    dealt = stage(spread.mapInArrow(lambda batches: place(batches, True), f"label {label_type}, dim int, cell int, core boolean, id long, copies long, vec array<double>"), "cells")
+    spanned = stage(pivots.join(spans, ["label", "dim"]), "spans")
+    groups = salted.select(*keys, "id", "copies", "vec").groupBy(*keys).cogroup(each_group(spanned).groupBy(*keys))
+    dealt = stage(groups.applyInArrow(place, f"label {label_type}, dim int, cell int, core boolean, id long, copies long, vec array<double>"), "cells")
     sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.when(F.col("core"), 1)) / tile).cast("int").alias("cores"), F.ceil(F.count("*") / tile).cast("int").alias("alls"))
     tiled = dealt.join(sizes.where("cores > 0"), ["label", "dim", "cell"])
     mine, other = F.pmod(F.xxhash64(F.lit(seed), "id"), "cores").cast("int"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "alls").cast("int")
@@ -150,6 +170,7 @@ class _Forest:
         return v
 
     def join(self, v: int, others) -> None:
+        """Joins v with an array of ids; those that v was joined with before cost a look-up."""
         a = self.top(v)
         for w in others.tolist():
             if self.parent.get(w) != a:
