@@ -374,7 +374,7 @@ class Links:
             good = confirmed(pairs, self.sets, self.percent)
             old = self.comps
             edges = good.union(old.where("id <> component").toDF("a", "b"))
-            self.comps = stage(connected_components(edges), "components")
+            self.comps = connected_components(edges)
             unstage(good)
             unstage(old)
         unstage(pairs)

@@ -96,15 +96,54 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable over undirected `edges`, for every id on an edge.
+#: Ids that a task joins to components in memory before it lets them go.
+BLOCK_IDS = 200_000
 
-    Alternating large-star and small-star steps; each needs only grouped minima and equi-joins, so a hub with
-    millions of neighbours is summed map-side and its join may be split. Each round is staged, and removed after the next.
-    Null ends are dropped.
+
+def _stars(most: int, names: list[str]):
+    """For mapInArrow: reads edges (u, v) and gives an id and its component (`names`) for the ids of each block of them, a block ending at `most` ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def closed() -> pa.RecordBatch:
+            ids = list(parent)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names)
+
+        for batch in small_batches(batches, 2_000):
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = top(u), top(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+            if len(parent) >= most:
+                yield closed()
+                parent.clear()
+        yield closed()
+
+    return run
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, block: int = BLOCK_IDS) -> DataFrame:
+    """(id, component): the smallest id reachable over undirected `edges`, for every id on an edge; staged.
+
+    Each task first reduces its edges to stars in blocks of about `block` ids. Edges counted to fit one block are done by
+    that; else large-star and small-star steps alternate on the stars. Each step needs only grouped minima and
+    equi-joins, so a hub with millions of neighbours is summed map-side and its join may be split. Each round is staged,
+    and removed after the next. Null ends are dropped.
     """
-    now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now = stage(now, "cc")
+    first = stage(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v"), "cc")
+    if 2 * first.limit(block).count() < block:  # an edge has two ids
+        out = stage(first.coalesce(1).mapInArrow(_stars(block, ["id", "component"]), "id long, component long"), "cc")
+        unstage(first)
+        return out
+    now = stage(first.mapInArrow(_stars(block, ["u", "v"]), "u long, v long").where("u <> v").distinct(), "cc")
+    unstage(first)
     for _ in range(most_rounds):
         roles = now.select(F.col("u").alias("id"), F.lit(1).alias("under"), F.lit(0).alias("over")).union(now.select("v", F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
         if roles.where("under > 1 or (under > 0 and over > 0)").limit(1).isEmpty():  # every id hangs on one centre, and no centre on another
@@ -118,4 +157,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         unstage(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    out = stage(out, "cc")
+    unstage(now)
+    return out

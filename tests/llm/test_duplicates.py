@@ -194,5 +194,11 @@ def test_vectors_of_the_table(spark, sf_dir):
 
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(i, 200) for i in range(201, 260)] + [(5, 5), (None, 3)]
-    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 141)}, **{i: 200 for i in range(200, 260)}}
+    random.seed(4)
+    random.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for block in (200_000, 8, 1):  # one block; several blocks and rounds; next to none reduced in tasks
+        got = [tuple(r) for r in connected_components(table, block=block).collect()]
+        assert len(got) == len(dict(got))
+        assert dict(got) == {**{i: 100 for i in range(100, 141)}, **{i: 200 for i in range(200, 260)}}
+    assert connected_components(table.where("false")).collect() == []
