@@ -1,14 +1,12 @@
-"""Spline bases: linear (hat) in SQL expressions, B-splines of any order in NumPy behind an Arrow function."""
+"""Spline bases as SQL expressions: linear (hat), and B-splines of any order by the polynomials of their spans."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import AXIS_EPS
-from ..shipping import ship
 
 ENTRY = "array<struct<idx:int,val:double>>"
 
@@ -65,8 +63,8 @@ def bspline_values(p: np.ndarray, t: np.ndarray, order: int) -> tuple[np.ndarray
 
 def bspline_slopes(p: np.ndarray, t: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(first index, slopes) of the `order` B-splines that are not 0 at each p."""
-    first, lower = bspline_values(p, t, order - 1) if order > 1 else (None, None)
-    span = first + order - 2
+    first, lower = bspline_values(p, t[1:-1], order - 1)  # without the outermost knots, so that the last span is the basis's own
+    span = first + order - 1
     out = np.zeros((len(span), order))
     for r in range(order):
         i = span - order + 1 + r
@@ -79,15 +77,38 @@ def bspline_slopes(p: np.ndarray, t: np.ndarray, order: int) -> tuple[np.ndarray
     return span - order + 1, (order - 1) * out
 
 
+def pieces(t: np.ndarray, order: int, slope: bool = False) -> np.ndarray:
+    """[r, span, power]: the polynomials, in the place within a span (0 to 1), of the `order` B-splines that are not 0 there."""
+    n_spans = len(t) - 2 * order + 1
+    at = (1 - np.cos(np.pi * (np.arange(order) + 0.5) / order)) / 2  # as many points as a polynomial has coefficients, inside the span
+    left, right = t[order - 1 : order - 1 + n_spans], t[order : order + n_spans]
+    p = (left[:, None] + (right - left)[:, None] * at).ravel()
+    _, vals = (bspline_slopes if slope else bspline_values)(p, t, order)
+    vals = vals.reshape(n_spans, order, order)  # span, point, r
+    return np.linalg.solve(np.vander(at, increasing=True)[None], vals).transpose(2, 0, 1)
+
+
 def bspline(lo: float, hi: float, n_coef: int, order: int, slope: bool = False):
-    """A pandas UDF from p to (idx, val) entries of one interaction's B-spline basis, or of its first derivative."""
-    ship(SparkSession.active())
-    t = knots(lo, hi, n_coef, order)
+    """A function from a Column p to the (idx, val) entries of one interaction's B-spline basis, or of its first derivative.
 
-    @F.pandas_udf(ENTRY)
-    def entries(p: pd.Series) -> pd.Series:
-        first, vals = (bspline_slopes if slope else bspline_values)(p.to_numpy(float), t, order)
-        return pd.Series([[{"idx": int(i + j), "val": float(v)} for j, v in enumerate(row)] for i, row in zip(first, vals, strict=True)])
+    Knots are uniform, so a point's span is a division, and its values are polynomials in its place in the span whose
+    coefficients are looked up: expressions in generated code. A null p has null entries.
+    """
+    t = knots(lo, hi, n_coef, order)
+    n_spans, width = n_coef - order + 1, float(t[order] - t[order - 1])
+    table = [[float(c) for c in piece.ravel()] for piece in pieces(t, order, slope)]
+
+    def entries(p: Column) -> Column:
+        x = (F.least(F.greatest(p, F.lit(float(t[0]))), F.lit(float(t[-1]))) - float(t[0])) / width
+        span = F.least(F.floor(x), F.lit(n_spans - 1)).cast("int")
+        x = x - span
+        out = []
+        for r, row in enumerate(table):
+            coefficients, val = F.lit(row), F.lit(0.0)
+            for k in reversed(range(order)):
+                val = val * x + F.element_at(coefficients, span * order + (k + 1))
+            out.append(F.struct((span + r).alias("idx"), val.alias("val")))
+        return F.when(p.isNotNull(), F.array(*out)).cast(ENTRY)
 
     return entries
 

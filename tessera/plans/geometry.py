@@ -187,18 +187,49 @@ def p16(spark, sf_dir):
     return near.select("i", "j", F.explode(basis.hat(F.sqrt("r2"), LO, HI, WIDTH)).alias("b")).select("i", "j", "b.idx", r6("b.val").alias("val"))
 
 
-@query("p17_bspline_basis")
+_KNOTS = [float(t) for t in basis.knots(LO, HI, 7, 4)]
+
+
+def recursion_sql(i: int, k: int) -> str:
+    """The i-th B-spline of order k over _KNOTS at p, in SQL, by the Cox-de Boor recursion; `span` is the knot at or before p."""
+    if k == 1:
+        return f"(CASE WHEN span = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    t, terms = _KNOTS, ["0.0::DOUBLE"]
+    if t[i + k - 1] > t[i]:
+        terms.append(f"(p - {t[i]!r}::DOUBLE) / {t[i + k - 1] - t[i]!r}::DOUBLE * {recursion_sql(i, k - 1)}")
+    if t[i + k] > t[i + 1]:
+        terms.append(f"({t[i + k]!r}::DOUBLE - p) / {t[i + k] - t[i + 1]!r}::DOUBLE * {recursion_sql(i + 1, k - 1)}")
+    return f"({' + '.join(terms)})"
+
+
+def recursion_slope_sql(i: int, k: int) -> str:
+    t, terms = _KNOTS, ["0.0::DOUBLE"]
+    if t[i + k - 1] > t[i]:
+        terms.append(f"{recursion_sql(i, k - 1)} / {t[i + k - 1] - t[i]!r}::DOUBLE")
+    if t[i + k] > t[i + 1]:
+        terms.append(f"-{recursion_sql(i + 1, k - 1)} / {t[i + k] - t[i + 1]!r}::DOUBLE")
+    return f"{k - 1} * ({' + '.join(terms)})"
+
+
+def _spline_sql(value) -> str:
+    """i, j, idx, val of the four B-splines at each pair's distance; `value` gives the SQL of one."""
+    spans = " + ".join(f"CASE WHEN p >= {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in _KNOTS[4:-4])
+    rows = " UNION ALL ".join(f"SELECT i, j, {n} AS idx, {q6(value(n, 4))} AS val FROM placed WHERE {n} BETWEEN span - 3 AND span" for n in range(7))
+    return f"WITH {S}, {pairs_sql()}, clamped AS (SELECT i, j, least(greatest(sqrt(r2), {_KNOTS[0]!r}::DOUBLE), {_KNOTS[-1]!r}::DOUBLE) AS p FROM pairs), placed AS (SELECT *, 3 + {spans} AS span FROM clamped) {rows}"
+
+
+@query("p17_bspline_basis", _spline_sql(recursion_sql))
 def p17(spark, sf_dir):
     near = neighbors.pairs(v.sites(spark, sf_dir), CUT, box())
     b = basis.bspline(LO, HI, 7, 4)
-    return near.select("i", "j", F.explode(b(F.sqrt("r2"))).alias("b")).select("i", "j", "b.idx", "b.val")
+    return near.select("i", "j", F.explode(b(F.sqrt("r2"))).alias("b")).select("i", "j", "b.idx", r6("b.val").alias("val"))
 
 
-@query("p18_bspline_slope")
+@query("p18_bspline_slope", _spline_sql(lambda i, k: f"-({recursion_slope_sql(i, k)})"))
 def p18(spark, sf_dir):
     near = neighbors.pairs(v.sites(spark, sf_dir), CUT, box())
     b = basis.bspline(LO, HI, 7, 4, slope=True)
-    return near.select("i", "j", F.explode(b(F.sqrt("r2"))).alias("b")).select("i", "j", "b.idx", (-F.col("b.val")).alias("val"))
+    return near.select("i", "j", F.explode(b(F.sqrt("r2"))).alias("b")).select("i", "j", "b.idx", r6(-F.col("b.val")).alias("val"))
 
 
 @query("p19_spline_value", f"WITH {S}, {pairs_sql()}, h AS (SELECT i, j, {HAT} AS b, {FRAC} AS f FROM pairs) SELECT i, j, {q6('(1 - f) * (1.0 / (b + 1)) + f * (1.0 / (b + 2))')} AS value FROM h")

@@ -104,11 +104,25 @@ def test_bspline_slopes_and_known_values(spark):
     assert slopes == pytest.approx((up - down) / (2 * h), abs=1e-4)
     line = basis.evaluate(p, np.linspace(0, 1, 8), 0, 1, "bspline", 2)
     assert line == pytest.approx(p, abs=1e-5)
-    got = spark.createDataFrame([(0.3,)], "p double").select(basis.bspline(0.0, 1.0, 8, 4)("p").alias("b")).first()["b"]
+    got = spark.createDataFrame([(0.3,)], "p double").select(basis.bspline(0.0, 1.0, 8, 4)(F.col("p")).alias("b")).first()["b"]
     want = basis.bspline_values(np.array([0.3]), t, 4)
     assert [x["idx"] for x in got] == list(range(want[0][0], want[0][0] + 4)) and [x["val"] for x in got] == pytest.approx(want[1][0])
 
 
+@pytest.mark.parametrize("order", [2, 4, 6])
+def test_bspline_columns(spark, order):
+    """The span polynomials as Columns give the recursion's values and slopes, out to and past the ends."""
+    p = [1.5, 2.0, 2.2, 2.7499, 3.1, 4.4, 4.999, 5.0, 6.0]
+    t = basis.knots(2.0, 5.0, 5 + order, order)
+    got = spark.createDataFrame([(k, x) for k, x in enumerate([*p, None])], "k int, p double")
+    got = got.select("k", basis.bspline(2.0, 5.0, 5 + order, order)(F.col("p")).alias("b"), basis.bspline(2.0, 5.0, 5 + order, order, slope=True)(F.col("p")).alias("s")).orderBy("k").collect()
+    assert got[-1]["b"] is None and got[-1]["s"] is None
+    for name, made in (("b", basis.bspline_values), ("s", basis.bspline_slopes)):
+        first, vals = made(np.clip(p, t[0], t[-1]), t, order)
+        assert [[x["idx"] for x in row[name]] for row in got[:-1]] == (first[:, None] + np.arange(order)).tolist()
+        assert np.array([[x["val"] for x in row[name]] for row in got[:-1]]) == pytest.approx(vals, abs=1e-9)
+
+
 def test_column_counts():
     assert basis.n_basis(0, 1, 0.1, "linear") == 11 and basis.n_basis(0, 1, 0.1, "bspline", 6) == 15 and basis.n_basis(-180, 180, 10, "bspline", 4, periodic=True) == 35
 
