@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_automaton import encode_decode
 from .embedding_join import near_vectors
 from .html_extract import extract_main_text
+from .importance import importance_sample
 from .kneser_ney import sequence_filter
 from .language_id import fit, identify
 from .minhash import near_duplicates
@@ -17,6 +18,7 @@ from .mixing import mix
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .vector_codes import code_vectors
 from .workspace import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +79,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2).drop("label")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_embedding_near_dedup, op2_quality_rules, op3_toxicity, op4_html_extraction, op5_token_counts, op6_mixing, op7_language_id, op8_minhash_near_dedup, op9_quality_classifier, op10_bpe, pipeline]
+    made = [op1_embedding_near_dedup, op2_quality_rules, op3_toxicity, op4_html_extraction, op5_token_counts, op6_mixing, op7_language_id, op8_minhash_near_dedup, op9_quality_classifier, op10_bpe, op11_vector_codes, op13_importance_resampling, pipeline]
     return {f.__name__: f for f in made}
 
 
@@ -132,5 +142,43 @@ FROM sets s JOIN (SELECT id, min(top) AS top FROM reach GROUP BY id) r ON r.id =
 """
 
 
+#: Assignments of all parts against a codebook `{books}` (p, e, c: components): nearest entry, ties to the lower one.
+NEAREST = """(
+  SELECT id, p, min(struct_pack(d := d, e := e)) AS best, any_value(c) AS c FROM (
+    SELECT x.id, x.p, b.e, x.c, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts x JOIN {books} b ON b.p = x.p) GROUP BY id, p
+)"""
+
+#: A codebook after a round: floored means by component, entries without parts as they were.
+RENEWED = """(
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c FROM (
+      SELECT p, e, k, sum(v)::BIGINT AS s, count(*) AS n FROM (
+        SELECT p, best.e AS e, unnest(range(1, len(c) + 1)) AS k, unnest(c) AS v FROM {assigned}) GROUP BY p, e, k) GROUP BY p, e) m
+  ON m.p = b.p AND m.e = b.e
+)"""
+
+OP11_SQL = f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT id, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS c FROM whole, range(16) t(p)),
+books0 AS MATERIALIZED (SELECT p, e, c FROM parts JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS e FROM whole QUALIFY e < 64) USING (id)),
+near0 AS MATERIALIZED {NEAREST.format(books="books0")},
+books1 AS MATERIALIZED {RENEWED.format(books="books0", assigned="near0")},
+near1 AS MATERIALIZED {NEAREST.format(books="books1")},
+books2 AS MATERIALIZED {RENEWED.format(books="books1", assigned="near1")},
+near2 AS MATERIALIZED {NEAREST.format(books="books2")},
+coded AS (
+  SELECT w.id, w.label, string_agg(printf('%02x', n.best.e::INTEGER), '' ORDER BY n.p) AS code, sum(n.best.d)::BIGINT AS error
+  FROM whole w JOIN near2 n ON n.id = w.id GROUP BY w.id, w.label
+)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books2) AS codebooks_sha256
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_vector_codes": OP11_SQL}
