@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe_automaton import encode_decode
 from .embedding_join import near_vectors
 from .html_extract import extract_main_text
+from .id_files import round_trip
 from .importance import importance_sample
 from .kneser_ney import sequence_filter
 from .language_id import fit, identify
@@ -83,6 +84,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2).drop("label")
 
 
+def op12_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
 
@@ -94,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_embedding_near_dedup, op2_quality_rules, op3_toxicity, op4_html_extraction, op5_token_counts, op6_mixing, op7_language_id, op8_minhash_near_dedup, op9_quality_classifier, op10_bpe, op11_vector_codes, op13_importance_resampling, pipeline]
+    made = [op1_embedding_near_dedup, op2_quality_rules, op3_toxicity, op4_html_extraction, op5_token_counts, op6_mixing, op7_language_id, op8_minhash_near_dedup, op9_quality_classifier, op10_bpe, op11_vector_codes, op12_token_id_files, op13_importance_resampling, pipeline]
     return {f.__name__: f for f in made}
 
 

@@ -4,7 +4,7 @@ A block is coded on its own, from an empty model. Three orders predict the next
 last followed the same two ids or the same one (with a confidence of 0 to 3), order 0 the frequencies of the block's ids
 so far. How the orders share the range depends on both confidences and on whether they agree; the shares are mixed anew
 from what came true in this block, and the order-0 frequencies are taken anew, each time the block has doubled. An id that
-no order predicts is escaped and coded plainly. A range coder of 48 bits with 16-bit words carries the decisions.
+no order predicts is escaped and coded plainly. A range coder of 56 bits with words of 28 bits, two in seven bytes, carries the decisions.
 
 Blocks are independent, so many are coded at once, each being one lane of NumPy arrays; all arithmetic is on integers, so
 every machine gives the same bytes.
@@ -22,9 +22,13 @@ __all__ = ["BadBlock", "BlockCoder"]
 HEADER = struct.Struct("<4sBBxxIII")  # magic, version, bits of an id, ids, CRC-32 of the ids as uint32, CRC-32 of header and words
 MAGIC, VERSION = b"TIDB", 1
 U = np.uint64
-LOW32, TOP = U(0xFFFFFFFF), U(1 << 32)
+WORD_BITS = U(28)  # the range has 28 to 56 bits between ids; words of 28 bits leave it at the top
+LEAST, WORD = U(1 << 28), U((1 << 28) - 1)
 SHARE_BITS, CONTEXTS, OUTCOMES = 12, 32, 4  # outcomes: order 2, order 1, order 0, escape
-FIRST_RENEWAL = 32
+LEAST_SHARES = np.array([1, 1, 1, 64])  # in 4096; with 64, an escaped id of up to 22 bits still has a range of its own
+FIRST_RENEWAL, MOST_IDS, TABLE_BITS = 32, 1 << 15, 12
+#: Hash multipliers of the contexts: odd numbers near the golden ratio's and the square root of two's fractions. Fixed values.
+ONE, TWO = np.uint32(0x9E3779B1), np.uint32(0x6A09E667)
 
 
 class BadBlock(ValueError):
@@ -38,33 +42,36 @@ def _prior() -> np.ndarray:
 
 
 class _Model:
-    """The predictions of all lanes. `cap` is the number of ids of the longest lane."""
+    """The predictions of all lanes."""
 
-    def __init__(self, lanes: int, bits: int, cap: int):
+    def __init__(self, lanes: int, bits: int):
         self.lanes, self.bits = lanes, bits
-        self.size = min(12, max(6, cap.bit_length()))
-        self.last = [np.zeros(lanes << self.size, np.uint32) for _ in range(2)]  # order 1, order 2: 4 * id + confidence
-        self.base = np.arange(lanes, dtype=np.int64) << self.size
+        self.last = np.zeros(2 * lanes << TABLE_BITS, np.uint32)  # order 1, then order 2: 4 * id + confidence
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << TABLE_BITS
         self.counts = np.broadcast_to(_prior(), (lanes, CONTEXTS, OUTCOMES)).copy()
-        self.order0, self.history = None, 0
+        self.history = 0
         self._mix(lanes)
 
     def _mix(self, active: int) -> None:
         counts = self.counts[:active]
-        whole = (1 << SHARE_BITS) - OUTCOMES
-        part = 1 + counts * whole // counts.sum(axis=2, keepdims=True)
+        whole = (1 << SHARE_BITS) - int(LEAST_SHARES.sum())
+        part = LEAST_SHARES + counts * whole // counts.sum(axis=2, keepdims=True)
         part[:, :, 3] += (1 << SHARE_BITS) - part.sum(axis=2)
         ends = part.cumsum(axis=2)
         self.low, self.share = (ends - part).astype(U).ravel(), part.astype(U).ravel()
         self.ends = (ends[:, :, 0] | ends[:, :, 1] << 16 | ends[:, :, 2] << 32).astype(U).ravel()
 
-    def contexts(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the order-1 and order-2 tables after ids `two`, `one`."""
-        shift = np.uint32(32 - self.size)
-        base = self.base[: one.shape[-1]]
-        first = (one * np.uint32(0x9E3779B1)) >> shift
-        second = (two * np.uint32(0x85EBCA6B) + one * np.uint32(0xC2B2AE35) + np.uint32(0x27D4EB2F)) >> shift
-        return base + first, base + second
+    def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places in the order-1 and order-2 tables, stacked, after ids `two`, `one`."""
+        shift, active = np.uint32(32 - TABLE_BITS), one.shape[-1]
+        hashed = one * ONE
+        out = np.empty((2, *one.shape), np.int64)
+        np.add(self.base[0, :active], hashed >> shift, out=out[0])
+        hashed *= TWO
+        hashed += two * ONE
+        hashed >>= shift
+        np.add(self.base[1, :active], hashed, out=out[1])
+        return out
 
     def renew(self, past: np.ndarray, outcomes: np.ndarray) -> None:
         """Take what came true (`outcomes`, since the last renewal) into the mix, and the frequencies of all ids so far (`past`: (ids, lanes))."""
@@ -82,27 +89,40 @@ class _Model:
         self.history = t
 
     def slots(self) -> np.ndarray:
-        """For each lane and place below `history`: id << 32 | start << 16 | frequency of the run that holds the place."""
-        packed = (self.run_id << 32 | self.run_start << 16 | self.run_length).astype(U)
+        """For each lane and place below `history`: id << 40 | start << 16 | frequency of the run that holds the place."""
+        packed = (self.run_id << 40 | self.run_start << 16 | self.run_length).astype(U)
         return np.repeat(packed, self.run_length)
 
 
-def _updated(table: np.ndarray, at: np.ndarray, entry: np.ndarray, ids: np.ndarray) -> None:
-    """Enter the ids that came: confidence grows where they were predicted and falls to 1 elsewhere."""
+def _update(table: np.ndarray, at: np.ndarray, entry: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
+    """Enter the ids that came: confidence grows (to 3) where they were predicted and falls to 1 elsewhere."""
     grown = np.minimum(entry & np.uint32(3), np.uint32(2))
-    grown *= (entry >> np.uint32(2)) == ids
-    grown += ids << np.uint32(2)
-    grown += np.uint32(1)
+    grown *= hit
+    grown += ids << np.uint32(2) | np.uint32(1)
     table[at] = grown
 
 
+def _packed(words: np.ndarray) -> np.ndarray:
+    """Seven bytes for each two words of a row: (rows, pairs, 7)."""
+    words = np.pad(words, ((0, 0), (0, words.shape[1] % 2)))
+    pairs = (words[:, ::2] << WORD_BITS | words[:, 1::2]).astype(">u8")
+    return np.ascontiguousarray(pairs).view(np.uint8).reshape(*pairs.shape, 8)[:, :, 1:]
+
+
+def _unpacked(body: np.ndarray) -> np.ndarray:
+    pairs = np.zeros((len(body) // 7, 8), np.uint8)
+    pairs[:, 1:] = body.reshape(-1, 7)
+    whole = pairs.view(">u8")[:, 0].astype(U)
+    return np.stack([whole >> WORD_BITS, whole & WORD], axis=1).ravel()
+
+
 class BlockCoder:
     """encode(blocks of ids) to bytes and decode(bytes) to ids, in groups of at most `lanes` blocks."""
 
     def __init__(self, vocabulary: int, lanes: int = 1024):
         self.bits, self.lanes = max(1, (vocabulary - 1).bit_length()), lanes
-        if self.bits > 24:
-            raise ValueError("ids of over 24 bits")
+        if self.bits > 22:
+            raise ValueError("ids of over 22 bits")
 
     def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
         return [b for at in range(0, len(blocks), self.lanes) for b in self._encode(blocks[at : at + self.lanes])]
@@ -134,64 +154,68 @@ class BlockCoder:
         ids = np.zeros((lanes, longest), np.uint32)
         for lane, k in enumerate(order):
             ids[lane, : lengths[k]] = blocks[k]
-        ids = np.ascontiguousarray(ids.T)
-        model = _Model(lanes, self.bits, longest)
-        frequent = np.zeros(lanes << self.bits, np.uint32)  # start << 16 | frequency by lane and id; 0: not met
+        ids, sizes = np.ascontiguousarray(ids.T), np.zeros(lanes, np.int64)
+        if longest > MOST_IDS:
+            raise ValueError(f"blocks have at most {MOST_IDS} ids")
+        model = _Model(lanes, self.bits)
+        begins, lasts = np.zeros(lanes << self.bits, np.uint16), np.zeros((lanes, max(1, longest)), np.uint16)  # start + 1 by lane and id (0: not met), frequency by lane and start
         outcomes = np.zeros((longest, lanes), np.uint8)
-        words, ptr = np.zeros((lanes, 2 * longest + 8), np.uint32), np.zeros(lanes, np.int64)
+        words, ptr = np.zeros((lanes, longest + 4), U), np.zeros(lanes, np.int64)
         flat, own = words.ravel(), np.arange(lanes) * words.shape[1]
-        low, span = np.zeros(lanes, U), np.full(lanes, 1 << 48, U)
-        zero = np.zeros((1, lanes), np.uint32)
+        low, span = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
+        before = np.concatenate([np.zeros((2, lanes), np.uint32), ids])  # the ids two places earlier
         renewed = 0
         for a, b, active in stretches:
             if self._renews(a):
                 model.renew(ids[:a, :active], outcomes[renewed:a, :active])
-                frequent[model.run_lane << self.bits | model.run_id] = model.run_start << 16 | model.run_length
+                begins[model.run_lane << self.bits | model.run_id] = model.run_start + 1
+                lasts[model.run_lane, model.run_start] = model.run_length
                 renewed = a
-            x = ids[a:b, :active]
-            one = np.concatenate([zero[:, :active], ids[a : b - 1, :active]]) if a == 0 else ids[a - 1 : b - 1, :active]
-            two = np.concatenate([zero[:, :active]] * min(b, 2) + [ids[: max(0, b - 2), :active]]) if a == 0 else np.concatenate([zero[:, :active], ids[: b - 2, :active]]) if a == 1 else ids[a - 2 : b - 2, :active]
-            at1, at2 = model.contexts(one, two)
-            e1, e2 = np.empty(x.shape, np.uint32), np.empty(x.shape, np.uint32)
+            x, lane = ids[a:b, :active], np.arange(active)
+            at = np.ascontiguousarray(model.contexts(before[a + 1 : b + 1, :active], before[a:b, :active]).transpose(1, 0, 2))
+            entry = np.empty(at.shape, np.uint32)
             for i in range(b - a):
-                for table, at, e in ((model.last[0], at1[i], e1[i]), (model.last[1], at2[i], e2[i])):
-                    table.take(at, out=e, mode="clip")
-                    _updated(table, at, e, x[i])
-            k1, k2, p1, p2 = e1 & np.uint32(3), e2 & np.uint32(3), e1 >> np.uint32(2), e2 >> np.uint32(2)
-            met = frequent[(np.arange(active) << self.bits) | x]
+                e = model.last.take(at[i], out=entry[i], mode="clip")
+                _update(model.last, at[i], e, e >> np.uint32(2) == x[i], x[i])
+            k1, k2, p1, p2 = entry[:, 0] & np.uint32(3), entry[:, 1] & np.uint32(3), entry[:, 0] >> np.uint32(2), entry[:, 1] >> np.uint32(2)
+            met = begins[(lane << self.bits) | x].astype(np.int64)
             outcome = np.where((p2 == x) & (k2 > 0), 0, np.where((p1 == x) & (k1 > 0), 1, np.where(met > 0, 2, 3))).astype(np.uint8)
             outcomes[a:b, :active] = ((k2 << np.uint32(3) | k1 << np.uint32(1) | (p1 == p2)) << np.uint32(2) | outcome).astype(np.uint8)
-            where = np.arange(active) * (CONTEXTS * OUTCOMES) + outcomes[a:b, :active]
+            where = lane * (CONTEXTS * OUTCOMES) + outcomes[a:b, :active]
             start, share = model.low[where], model.share[where]
-            tabled, plain = outcome == 2, outcome == 3
-            start0 = np.where(tabled, met >> np.uint32(16), np.where(plain, x, 0)).astype(U)
-            share0 = np.where(tabled, met & np.uint32(0xFFFF), 1).astype(U)
+            met -= 1
+            start0 = np.where(outcome == 2, met, np.where(outcome == 3, x, 0)).astype(U)
+            share0 = np.where(outcome == 2, lasts[lane, np.maximum(met, 0)], 1).astype(U)
             shift0 = np.array([0, 0, max(0, model.history.bit_length() - 1), self.bits], U)[outcome]
+            low, span, ptr, to = low[:active].copy(), span[:active].copy(), ptr[:active].copy(), own[:active]
             for i in range(b - a):
-                for r, c, f in ((span[:active] >> U(SHARE_BITS), start[i], share[i]), (None, start0[i], share0[i])):
-                    if r is None:
-                        r = span[:active] >> shift0[i]
-                    low[:active] += r * c
-                    r *= f
-                    small = r < TOP
-                    flat[own[:active] + ptr[:active]] = low[:active] >> U(32)
-                    ptr[:active] += small
-                    low[:active] = np.where(small, (low[:active] & LOW32) << U(16), low[:active])
-                    span[:active] = r << (small * U(16))
-        for _ in range(3):
-            flat[own + ptr] = low >> U(32)
-            low = (low & LOW32) << U(16)
-            ptr += 1
-        words = words[:, : int(ptr.max(initial=0))]
-        words[np.arange(words.shape[1])[None, :] >= ptr[:, None]] = 0
-        while (carry := words >> np.uint32(16)).any():
-            words &= np.uint32(0xFFFF)
+                r = span >> U(SHARE_BITS)
+                low += r * start[i]
+                r *= share[i]
+                r >>= shift0[i]
+                low += r * start0[i]
+                r *= share0[i]
+                small = r < LEAST
+                flat[to + ptr] = low >> WORD_BITS
+                ptr += small
+                np.copyto(low, (low & WORD) << WORD_BITS, where=small)
+                span = r << small * WORD_BITS
+            ended = slice(int((lengths[order] > b).sum()), active)  # lanes that end here give their last words
+            for _ in range(2):
+                flat[to[ended] + ptr[ended]] = low[ended] >> WORD_BITS
+                low[ended] = (low[ended] & WORD) << WORD_BITS
+                ptr[ended] += 1
+            sizes[ended] = ptr[ended]
+        words = words[:, : int(sizes.max(initial=0))]
+        words[np.arange(words.shape[1])[None, :] >= sizes[:, None]] = 0
+        while (carry := words >> WORD_BITS).any():
+            words &= WORD
             words[:, :-1] += carry[:, 1:]
-        short = words.astype("<u2")
+        packed = _packed(words)
         out: list[bytes] = [b""] * lanes
         for lane, k in enumerate(order):
             head = HEADER.pack(MAGIC, VERSION, self.bits, lengths[k], zlib.crc32(np.asarray(blocks[k], "<u4").tobytes()), 0)
-            body = short[lane, : ptr[lane]].tobytes()
+            body = packed[lane, : -(-sizes[lane] // 2)].tobytes()
             out[k] = head[:-4] + struct.pack("<I", zlib.crc32(body, zlib.crc32(head[:-4]))) + body
         return out
 
@@ -204,23 +228,23 @@ class BlockCoder:
             raise BadBlock(f"not a block of this format and vocabulary: {magic!r}, version {version}, {bits} bits")
         if zlib.crc32(memoryview(block)[HEADER.size :], zlib.crc32(block[: HEADER.size - 4])) != crc:
             raise BadBlock("checksum of the block differs")
-        return n, crc_ids, np.frombuffer(block, "<u2", offset=HEADER.size)
+        return n, crc_ids, _unpacked(np.frombuffer(block, np.uint8, offset=HEADER.size))
 
     def _decode(self, blocks: list[bytes]) -> list[np.ndarray]:
         opened = [self._open(b) for b in blocks]
         lengths = np.array([n for n, _, _ in opened])
         order, stretches = self._order(lengths)
         lanes, longest = len(blocks), int(lengths.max(initial=0))
-        words = np.zeros((lanes, max((len(w) for _, _, w in opened), default=0) + 4), np.uint16)
+        words = np.zeros((lanes, max((len(w) for _, _, w in opened), default=0) + 4), U)
         for lane, k in enumerate(order):
             words[lane, : len(opened[k][2])] = opened[k][2]
-        code = words[:, 0].astype(U) << U(32) | words[:, 1].astype(U) << U(16) | words[:, 2].astype(U)
-        ptr, flat = np.arange(lanes) * words.shape[1] + 3, words.ravel()
-        span = np.full(lanes, 1 << 48, U)
-        model = _Model(lanes, self.bits, longest)
+        code, ptr, flat = words[:, 0] << WORD_BITS | words[:, 1], np.arange(lanes) * words.shape[1] + 1, words.ravel()
+        span = np.full(lanes, 1 << 56, U)
+        model = _Model(lanes, self.bits)
         ids, outcomes = np.zeros((longest, lanes), np.uint32), np.zeros((longest, lanes), np.uint8)
         none = np.zeros(lanes, np.uint32)
         slots, renewed = np.zeros(lanes, U), 0
+        fields, tops, plain = U(1 | 1 << 16 | 1 << 32), U(1 << 15 | 1 << 31 | 1 << 47), U(1 << 40 | 1 << 16)
         for a, b, active in stretches:
             if self._renews(a):
                 model.renew(ids[:a, :active], outcomes[renewed:a, :active])
@@ -228,42 +252,40 @@ class BlockCoder:
             lane = np.arange(active)
             by_context, by_slot = lane * CONTEXTS, lane * max(1, model.history)
             shifts = np.array([0, 0, max(0, model.history.bit_length() - 1), self.bits], U)
-            code, span, ptr = code[:active], span[:active], ptr[:active]
-            t1, t2 = model.last
-
-            def narrow(r: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-                nonlocal code, span, ptr
-                code = code - r * start
-                r = r * share
-                small = r < TOP
-                code = np.where(small, code << U(16) | flat.take(ptr), code)
-                span = r << (small * U(16))
-                ptr = ptr + small
-
+            code, span, ptr = code[:active].copy(), span[:active], ptr[:active].copy()
+            one, two = ids[a - 1, :active] if a else none[:active], ids[a - 2, :active] if a > 1 else none[:active]
             for t in range(a, b):
-                one, two = ids[t - 1, :active] if t else none[:active], ids[t - 2, :active] if t > 1 else none[:active]
-                at1, at2 = model.contexts(one, two)
-                e1, e2 = t1.take(at1), t2.take(at2)
-                p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
-                place = by_context + ((e2 & np.uint32(3)) << np.uint32(3) | (e1 & np.uint32(3)) << np.uint32(1) | (p1 == p2))
-                ends = model.ends.take(place)
+                at = model.contexts(one, two)
+                entry = model.last.take(at)
+                guess = entry >> np.uint32(2)
+                context = (entry[1] & np.uint32(3)) << np.uint32(3)
+                context |= (entry[0] & np.uint32(3)) << np.uint32(1)
+                context |= guess[0] == guess[1]
+                place = by_context + context
                 r = span >> U(SHARE_BITS)
+                ends = (code // r * fields | tops) - model.ends.take(place)  # the top bit of a field is left where the code is not below that end
+                outcome = np.bitwise_count(ends & tops)
+                place *= OUTCOMES
+                place += outcome
+                np.bitwise_and(place, CONTEXTS * OUTCOMES - 1, out=outcomes[t, :active], casting="unsafe")
+                code -= r * model.low.take(place)
+                r *= model.share.take(place)
+                r >>= shifts.take(outcome)
                 v = code // r
-                outcome = (v >= (ends & U(0xFFFF))).astype(np.int64)
-                outcome += v >= (ends >> U(16) & U(0xFFFF))
-                outcome += v >= ends >> U(32)
-                place = place * OUTCOMES + outcome
-                outcomes[t, :active] = place & (CONTEXTS * OUTCOMES - 1)
-                narrow(r, model.low.take(place), model.share.take(place))
-                tabled, plain = outcome == 2, outcome == 3
-                r = span >> shifts.take(outcome)
-                v = code // r
-                slot = slots.take(by_slot + (v * tabled).astype(np.int64), mode="clip")
-                narrow(r, np.where(tabled, slot >> U(16) & U(0xFFFF), v), np.where(tabled, slot & U(0xFFFF), U(1)))
-                now = np.where(tabled, slot >> U(32), np.where(plain, v, np.where(outcome == 0, p2, p1))).astype(np.uint32)
-                ids[t, :active] = now
-                _updated(t1, at1, e1, now)
-                _updated(t2, at2, e2, now)
+                slot = slots.take(by_slot + v.view(np.int64), mode="clip")  # read for all lanes, used by those of order 0
+                slot = np.where(outcome == 2, slot, v * plain + U(1))  # an escaped id is its own start; outcomes 0 and 1 have v = 0
+                code -= r * (slot >> U(16) & U(0xFFFFFF))
+                r *= slot & U(0xFFFF)
+                small = r < LEAST
+                ptr += small
+                np.copyto(code, code << WORD_BITS | flat.take(ptr), where=small)
+                span = r << small * WORD_BITS
+                now = ids[t, :active]
+                now[:] = slot >> U(40)
+                np.copyto(now, guess[1], where=outcome == 0)
+                np.copyto(now, guess[0], where=outcome == 1)
+                _update(model.last, at, entry, guess == now, now)
+                one, two = now, one
         by_lane = np.ascontiguousarray(ids.T)
         out: list[np.ndarray] = [by_lane[:0]] * lanes
         for lane, k in enumerate(order):
