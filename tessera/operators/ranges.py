@@ -47,10 +47,10 @@ def pair_numbers(sites: DataFrame) -> DataFrame:
 
 
 def rdf(hist: DataFrame, numbers: DataFrame, by: list[str], width: float, volume: float, norm: float) -> DataFrame:
-    """Adds g: counts over those of an ideal gas in the shell [centre - width / 2, centre]."""
+    """Adds g: counts over those of an ideal gas in the shell [centre - width / 2, centre]; null where samples meet no pair number."""
     inner = F.col("centre") - width / 2
     shell = 4.0 * PI * (F.pow("centre", F.lit(3.0)) - F.pow(inner, F.lit(3.0)))
-    return hist.join(numbers, by).withColumn("g", F.when(F.col("n") > 0, F.col("n") * 3.0 / shell * norm * volume / F.col("pairs")).otherwise(0.0)).drop("pairs")
+    return hist.join(numbers, by).withColumn("g", F.when(F.col("n") > 0, F.col("n") * 3.0 / shell * norm * volume / F.nullif("pairs", F.lit(0.0))).otherwise(0.0)).drop("pairs")
 
 
 def distribution(hist: DataFrame, norm: float) -> DataFrame:

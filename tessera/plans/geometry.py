@@ -116,11 +116,11 @@ _AD = "degrees((c * u{0} / ru - v{0} / rv) / (ru * sqrt(1 - c * c)))"
 _AE = "degrees((c * v{0} / rv - u{0} / ru) / (rv * sqrt(1 - c * c)))"
 
 
-@query("p07_angle_derivatives", f"WITH {MOLS}, {BOTH}, {ANGLES}, {ANGLE_LEGS}, {ANG}, sized AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS ru, sqrt(vx * vx + vy * vy + vz * vz) AS rv FROM ang) SELECT k, j, l, " + ", ".join(f"{q6(_AD.format(a))} AS at_k_{a}, {q6(_AE.format(a))} AS at_l_{a}" for a in "xyz") + " FROM sized WHERE abs(c) < 0.99::DOUBLE")
+@query("p07_angle_derivatives", f"WITH {MOLS}, {BOTH}, {ANGLES}, {ANGLE_LEGS}, {ANG}, sized AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS ru, sqrt(vx * vx + vy * vy + vz * vz) AS rv FROM ang) SELECT k, j, l, " + ", ".join(f"{q6(_AD.format(a))} AS at_k_{a}, {q6(_AE.format(a))} AS at_l_{a}" for a in "xyz") + " FROM sized")
 def p07(spark, sf_dir):
     u, w = g.cols("ux uy uz"), g.cols("vx vy vz")
     at_u, at_v = g.angle_derivatives(u, w)
-    rows = angle_rows(spark, sf_dir).where(F.abs(g.cos_angle(u, w)) < 0.99)
+    rows = angle_rows(spark, sf_dir)
     return rows.select("k", "j", "l", *[r6(x).alias(f"at_k_{c}") for c, x in zip("xyz", at_u, strict=True)], *[r6(x).alias(f"at_l_{c}") for c, x in zip("xyz", at_v, strict=True)])
 
 

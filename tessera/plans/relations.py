@@ -10,7 +10,7 @@ from ..sources import views as v
 from .geometry import ANG, ANGLE_LEGS, ANGLES, BOTH, CUT, DIHEDRAL_LEGS, DIHEDRALS, MOLS, S, angle_rows, box, dihedral_rows, molecules, pairs_sql
 from .registry import q6, query, r6
 
-CHAIN = "chain AS (SELECT a.site_id AS i, b.site_id AS j FROM sites a JOIN sites b ON b.site_id = a.site_id + 5 WHERE (a.site_id // 5) % 4 <> 3)"
+CHAIN = "chain AS (SELECT a.site_id AS i, b.site_id AS j FROM sites a JOIN sites b ON b.site_id = a.site_id + 1 WHERE a.site_id % 4 <> 3)"
 RANGES = "ranges AS (SELECT least(ti, tj) AS t1, greatest(ti, tj) AS t2, min(sqrt(r2)) AS lo, max(sqrt(r2)) AS hi, count(*) AS n FROM pairs GROUP BY 1, 2)"
 BIN = 0.02
 HIST = f"""{RANGES}, sized AS (SELECT t1, t2, lo, CAST(2 * floor((hi - lo) / {BIN}::DOUBLE + 0.5) AS INT) AS bins FROM ranges),
@@ -18,7 +18,8 @@ counted AS (SELECT p.t1, p.t2, bin, count(*) AS n FROM (SELECT least(ti, tj) AS
 hist AS (SELECT s.t1, s.t2, b.bin::INT AS bin, s.lo + (b.bin + 0.5::DOUBLE) * {BIN / 2}::DOUBLE AS centre, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT *, unnest(range(0, bins)) AS bin FROM sized) s JOIN LATERAL (SELECT s.bin AS bin) b ON true LEFT JOIN counted c ON c.t1 = s.t1 AND c.t2 = s.t2 AND c.bin = s.bin)"""
 NUMBERS = "kinds AS (SELECT type_id, count(*)::DOUBLE AS n FROM sites WHERE frame_id = (SELECT min(frame_id) FROM sites) GROUP BY 1), numbers AS (SELECT a.type_id AS t1, b.type_id AS t2, CASE WHEN a.type_id = b.type_id THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END AS pairs FROM kinds a JOIN kinds b ON a.type_id <= b.type_id)"
 SHELL = f"(4.0 * 3.1415926::DOUBLE * (pow(centre, 3) - pow(centre - {BIN / 2}::DOUBLE, 3)))"
-RDF = f"{NUMBERS}, rdf AS (SELECT h.*, CASE WHEN n > 0 THEN n * 3.0::DOUBLE / {SHELL} * 0.2::DOUBLE * 1.0::DOUBLE / m.pairs ELSE 0 END AS g FROM hist h JOIN numbers m ON m.t1 = h.t1 AND m.t2 = h.t2)"
+FRAMES_SHARE = "(SELECT 1.0::DOUBLE / count(DISTINCT frame_id) FROM sites)"
+RDF = f"{NUMBERS}, rdf AS (SELECT h.*, CASE WHEN n > 0 THEN n * 3.0::DOUBLE / {SHELL} * {FRAMES_SHARE} * 1.0::DOUBLE / nullif(m.pairs, 0) ELSE 0 END AS g FROM hist h JOIN numbers m ON m.t1 = h.t1 AND m.t2 = h.t2)"
 KT = 300.0 * 0.0019872041
 
 
@@ -42,7 +43,7 @@ def hist(spark, sf_dir):
 def chain(spark, sf_dir):
     sites = v.sites(spark, sf_dir).select("site_id")
     nxt = sites.select(F.col("site_id").alias("j"))
-    return sites.where(F.floor(F.col("site_id") / 5) % 4 != 3).withColumn("j", F.col("site_id") + 5).join(nxt, "j").select(F.col("site_id").alias("i"), "j")
+    return sites.where(F.col("site_id") % 4 != 3).withColumn("j", F.col("site_id") + 1).join(nxt, "j").select(F.col("site_id").alias("i"), "j")
 
 
 @query("s06_frame_window", f"WITH {S} SELECT frame_id, site_id, type_id FROM sites WHERE frame_id BETWEEN 1 AND 3")
@@ -82,15 +83,14 @@ def j03_box(spark, sf_dir):
     return near.groupBy("frame_id", "t1", "t2").agg(F.count("*").alias("n"), r6(F.min("p")).alias("lo"), r6(F.max("p")).alias("hi"))
 
 
-@query("j03_line_neighbors", f"WITH {v.LINE_SITES_SQL} SELECT a.frame_id, least(a.type_id, b.type_id) AS t1, greatest(a.type_id, b.type_id) AS t2, count(*) AS n, {q6('min(abs(a.x - b.x))')} AS lo FROM line_sites a JOIN line_sites b ON a.frame_id = b.frame_id AND a.site_id < b.site_id AND pow(CASE WHEN b.x - a.x > 250 THEN b.x - a.x - 500 WHEN b.x - a.x < -250 THEN b.x - a.x + 500 ELSE b.x - a.x END, 2) <= 4.0 WHERE a.x >= 0 AND a.x < 500 AND b.x >= 0 AND b.x < 500 AND abs(a.x - b.x) <= 250 GROUP BY ALL")
+_LINE = "least(abs(a.x - b.x), 500.0::DOUBLE - abs(a.x - b.x))"
+
+
+@query("j03_line_neighbors", f"WITH {v.LINE_SITES_SQL} SELECT a.frame_id, least(a.type_id, b.type_id) AS t1, greatest(a.type_id, b.type_id) AS t2, count(*) AS n, {q6(f'min({_LINE})')} AS lo FROM line_sites a JOIN line_sites b ON a.frame_id = b.frame_id AND a.site_id < b.site_id AND pow({_LINE}, 2) <= 4.0 GROUP BY ALL")
 def j03_line(spark, sf_dir):
-    """The one-dimensional case."""
-    sites = v.line_sites(spark, sf_dir).where("x >= 0 and x < 500")
-    p = neighbors.pairs(sites, 2.0, (500.0,), extra=("type_id",))
-    here = sites.select(F.col("site_id").alias("i"), F.col("x").alias("xi"))
-    there = sites.select(F.col("site_id").alias("j"), F.col("x").alias("xj"))
-    p = p.join(here, "i").join(there, "j").where(F.abs(F.col("xi") - F.col("xj")) <= 250)
-    return p.groupBy("frame_id", F.least("type_id_i", "type_id_j").alias("t1"), F.greatest("type_id_i", "type_id_j").alias("t2")).agg(F.count("*").alias("n"), r6(F.min(F.abs(F.col("xi") - F.col("xj")))).alias("lo"))
+    """The one-dimensional case, over all events."""
+    p = typed(neighbors.pairs(v.line_sites(spark, sf_dir), 2.0, (v.LINE_BOX,)))
+    return p.groupBy("frame_id", "t1", "t2").agg(F.count("*").alias("n"), r6(F.min("p")).alias("lo"))
 
 
 _TRI = f"""{pairs_sql(0.12)}, near AS (SELECT frame_id, i AS c, j AS o, dx, dy, dz FROM pairs UNION ALL SELECT frame_id, j, i, -dx, -dy, -dz FROM pairs),
@@ -210,23 +210,27 @@ def a03(spark, sf_dir):
     return hist(spark, sf_dir).select("t1", "t2", "bin", r6("centre").alias("centre"), "n")
 
 
+def frames_share(spark, sf_dir) -> float:
+    return 1.0 / max(1, v.sites(spark, sf_dir).select("frame_id").distinct().count())
+
+
 def rdf(spark, sf_dir):
-    return ranges.rdf(hist(spark, sf_dir), ranges.pair_numbers(v.sites(spark, sf_dir)), ["t1", "t2"], BIN, v.BOX**3, 0.2)
+    return ranges.rdf(hist(spark, sf_dir), ranges.pair_numbers(v.sites(spark, sf_dir)), ["t1", "t2"], BIN, v.BOX**3, frames_share(spark, sf_dir))
 
 
-@query("l14_rdf", f"WITH {S}, {pairs_sql()}, {HIST}, {RDF} SELECT t1, t2, bin, {q6('g')} AS g FROM rdf WHERE centre > 0.03::DOUBLE")
+@query("l14_rdf", f"WITH {S}, {pairs_sql()}, {HIST}, {RDF} SELECT t1, t2, bin, {q6('g')} AS g FROM rdf")
 def l14(spark, sf_dir):
-    return rdf(spark, sf_dir).where("centre > 0.03").select("t1", "t2", "bin", r6("g").alias("g"))
+    return rdf(spark, sf_dir).select("t1", "t2", "bin", r6("g").alias("g"))
 
 
-@query("l14_boltzmann", f"WITH {S}, {pairs_sql()}, {HIST}, {RDF} SELECT t1, t2, bin, {q6(f'CASE WHEN g > 0 THEN -{KT!r}::DOUBLE * ln(g) ELSE 100 END')} AS u FROM rdf WHERE centre > 0.03::DOUBLE")
+@query("l14_boltzmann", f"WITH {S}, {pairs_sql()}, {HIST}, {RDF} SELECT t1, t2, bin, {q6(f'CASE WHEN g > 0 THEN -{KT!r}::DOUBLE * ln(g) ELSE 100 END')} AS u FROM rdf")
 def l14_u(spark, sf_dir):
-    return ranges.boltzmann(rdf(spark, sf_dir).where("centre > 0.03"), KT).select("t1", "t2", "bin", r6("u").alias("u"))
+    return ranges.boltzmann(rdf(spark, sf_dir), KT).select("t1", "t2", "bin", r6("u").alias("u"))
 
 
-@query("l15_bonded_distribution", f"WITH {S}, {pairs_sql()}, {HIST} SELECT t1, t2, bin, {q6('n * 2.0::DOUBLE * 0.2::DOUBLE')} AS g FROM hist")
+@query("l15_bonded_distribution", f"WITH {S}, {pairs_sql()}, {HIST} SELECT t1, t2, bin, {q6(f'n * 2.0::DOUBLE * {FRAMES_SHARE}')} AS g FROM hist")
 def l15(spark, sf_dir):
-    return ranges.distribution(hist(spark, sf_dir), 0.2).select("t1", "t2", "bin", r6("g").alias("g"))
+    return ranges.distribution(hist(spark, sf_dir), frames_share(spark, sf_dir)).select("t1", "t2", "bin", r6("g").alias("g"))
 
 
 @query("l17_reweighting", f"WITH {S}, {v.WEIGHTS_SQL} SELECT type_id, {q6('sum(weight * fx * fx) / (SELECT sum(weight) FROM weights)')} AS f2, {q6('sum(weight * 4.0::DOUBLE * fx * fx) / (SELECT sum(weight) FROM weights)')} AS f2_volume FROM sites JOIN weights USING (frame_id) GROUP BY type_id")

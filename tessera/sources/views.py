@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import wrap
 
-#: Box of the embedding sites (each axis) and of the molecules.
-BOX, MOL_BOX = 1.0, (12.0, 12.0, 24.0)
+#: Box of the embedding sites (each axis), of the molecules, and of the sites on a line.
+BOX, MOL_BOX, LINE_BOX = 1.0, (12.0, 12.0, 24.0), 500.0
+#: Ids in a frame of embedding sites and of sites on a line: more rows give more frames, not larger ones.
+FRAME_SITES, LINE_FRAME_SITES = 100, 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,19 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str, types: int = 10) -> DataFrame:
-    """`embeddings` as sites of a periodic unit box: frame = vec_id % 5, type = label % types + 1, x from components 1-3, f from 4-6."""
+    """`embeddings` as sites of a periodic unit box: frame = runs of FRAME_SITES ids, type = label % types + 1, x from components 1-3, f from 4-6."""
     e = F.col("embedding")
     place = [wrap(e[i].cast("double") + 0.5, BOX).alias(c) for i, c in enumerate("xyz")]
     force = [e[i + 3].cast("double").alias(c) for i, c in enumerate(("fx", "fy", "fz"))]
     rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and label is not null and embedding is not null")
-    return rows.select((F.col("vec_id") % 5).cast("int").alias("frame_id"), F.col("vec_id").alias("site_id"), (F.col("label") % types + 1).cast("int").alias("type_id"), *place, *force)
+    return rows.select(F.floor(F.col("vec_id") / FRAME_SITES).cast("int").alias("frame_id"), F.col("vec_id").alias("site_id"), (F.col("label") % types + 1).cast("int").alias("type_id"), *place, *force)
 
 
 def line_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as sites on a line: frame = day, x = value."""
+    """`events` as sites on a periodic line: frame = runs of LINE_FRAME_SITES ids, x = value, wrapped."""
     code = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "view", 3).when(F.col("event_type") == "search", 4).otherwise(5)
-    rows = table(spark, sf_dir, "events").where("ts is not null and value is not null")
-    return rows.select(F.datediff(F.col("ts"), F.lit("2020-01-01")).alias("frame_id"), F.col("event_id").alias("site_id"), code.alias("type_id"), F.col("value").alias("x"))
+    rows = table(spark, sf_dir, "events").where("event_id is not null and value is not null")
+    return rows.select(F.floor(F.col("event_id") / LINE_FRAME_SITES).cast("int").alias("frame_id"), F.col("event_id").alias("site_id"), code.alias("type_id"), wrap(F.col("value"), LINE_BOX).alias("x"))
 
 
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +62,10 @@ def _wrapped(x: str, side: float) -> str:
 def sites_sql(types: int = 10) -> str:
     place = ", ".join(f"{_wrapped(f'embedding[{i + 1}]::DOUBLE + 0.5', BOX)} AS {c}" for i, c in enumerate("xyz"))
     force = ", ".join(f"embedding[{i + 4}]::DOUBLE AS {c}" for i, c in enumerate(("fx", "fy", "fz")))
-    return f"sites AS (SELECT (vec_id % 5)::INT AS frame_id, vec_id AS site_id, (label % {types} + 1)::INT AS type_id, {place}, {force} FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL)"
+    return f"sites AS (SELECT (vec_id // {FRAME_SITES})::INT AS frame_id, vec_id AS site_id, (label % {types} + 1)::INT AS type_id, {place}, {force} FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL)"
 
 
-LINE_SITES_SQL = "line_sites AS (SELECT datediff('day', DATE '2020-01-01', ts::DATE)::INT AS frame_id, event_id AS site_id, (CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'search' THEN 4 ELSE 5 END)::INT AS type_id, value AS x FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)"
+LINE_SITES_SQL = f"line_sites AS (SELECT (event_id // {LINE_FRAME_SITES})::INT AS frame_id, event_id AS site_id, (CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'search' THEN 4 ELSE 5 END)::INT AS type_id, {_wrapped('value', LINE_BOX)} AS x FROM events WHERE event_id IS NOT NULL AND value IS NOT NULL)"
 MOL_SQL = f"""grouped AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q, min(l_discount) AS d, min(l_tax) AS t FROM lineitem GROUP BY ALL),
 mol AS (SELECT l_orderkey AS mol_id, l_linenumber::INT AS rank, l_orderkey * 16 + l_linenumber AS site_id, (l_linenumber % 3 + 1)::INT AS type_id,
   {_wrapped("q / 10.0::DOUBLE", MOL_BOX[0])} AS x, {_wrapped("d * 40.0::DOUBLE + 1.0::DOUBLE", MOL_BOX[1])} AS y, {_wrapped("t * 40.0::DOUBLE + l_linenumber * 0.5::DOUBLE", MOL_BOX[2])} AS z FROM grouped)"""
