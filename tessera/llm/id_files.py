@@ -31,15 +31,20 @@ __all__ = ["IdEncoder", "document_digests", "encode_texts", "read_ids", "write_i
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁉€™]*")
 PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: Pieces whose ids a worker keeps. Beyond it the older half is forgotten, which costs time and changes nothing.
-MOST_PIECES = 600_000
-BLOCK_IDS, LANES = 4096, 1024
+MOST_PIECES = 500_000
+BLOCK_IDS, LANES_WRITTEN, LANES_READ = 4096, 512, 1024  # writing keeps a table of all ids by lane, reading does not
 PIECE = "struct<doc_id:{kind}, start:bigint, total:bigint, at:bigint, n:int>"
 #: Of each worker process: encoders by the checksum of their file, kept from task to task.
 _encoders: dict[int, IdEncoder] = {}
 
 
+def id_kind(vocabulary: int) -> str:
+    """The NumPy name of the bytes that ids travel in until they are coded."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class IdEncoder:
-    """Ids of whole texts as the tokenizers library gives them, as little-endian uint32 bytes.
+    """Ids of whole texts as the tokenizers library gives them, as little-endian bytes: `kind` is uint16 for vocabularies of up to 65,536, else uint32.
 
     Texts split at single spaces into chunks that the library would split there too; a chunk's ids are made once, by the
     library's own BPE model, and kept. Texts that the plain pattern may split otherwise go through the library whole.
@@ -56,40 +61,47 @@ class IdEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.kind = id_kind(self.size)
+        self.spelled = [i.to_bytes(np.dtype(self.kind).itemsize, "little") for i in range(self.size)]
         self.specials = [t["content"] for t in made["added_tokens"]]
         keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         spare = itertools.count(0x100)
         self.symbols = {b: b if b in keep else next(spare) for b in range(256)}  # the printable stand-in of each byte
         self.kept: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.symbols))]
-        return np.array(ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = b"".join(map(self._piece, PIECES.findall(chunk)))
-        if len(chunk) <= 64:
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= 64:
             if len(self.kept) >= MOST_PIECES:
                 for old in list(itertools.islice(self.kept, MOST_PIECES // 2)):
                     del self.kept[old]
-            self.kept[chunk] = out
-        return out
+            self.kept[key] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.kept.get(piece)
+        if ids is None:
+            spelled = self.spelled
+            ids = self._keep(piece, b"".join([spelled[t.id] for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.symbols))]))
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        pieces = PIECES.findall(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else self._keep(chunk, b"".join(map(self._piece, pieces)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if "  " in text or text[-1] == " ":  # runs of white space that a cut at spaces would part
             chunks = PIECES.findall(text)
         else:
             first, *rest = text.split(" ")
             chunks = [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
-        kept = self.kept
-        try:
-            return b"".join([kept[c] for c in chunks])
-        except KeyError:
-            return b"".join([kept[c] if c in kept else self._chunk(c) for c in chunks])
+        known = list(map(self.kept.get, chunks))
+        if None in known:
+            known = [ids if ids is not None else self._chunk(c) for c, ids in zip(chunks, known, strict=True)]
+        return b"".join(known)
 
 
 def _encoder(spec: bytes) -> IdEncoder:
@@ -101,15 +113,15 @@ def _encoder(spec: bytes) -> IdEncoder:
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids: little-endian uint32 bytes) of every row, with `end_id` after each (None: nothing). Null and empty texts have the end id alone."""
+    """(doc_id, ids: little-endian bytes of id_kind) of every row, with `end_id` after each (None: nothing). Null and empty texts have the end id alone."""
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())  # as large as one tokenizer file
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(spec.value)
+        end = b"" if end_id is None else coder.spelled[end_id]
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.encode(t) + end for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
@@ -117,12 +129,12 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, i
 
 
 def _blocks(vocabulary: int, block: int, kind: pa.DataType):
-    """For mapInArrow over (doc_id, ids) in order: the file's blocks, coded in groups of LANES."""
+    """For mapInArrow over (doc_id, ids) in order: the file's blocks, coded in groups of LANES_WRITTEN."""
     piece = pa.struct([("doc_id", kind), ("start", pa.int64()), ("total", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
     names = ["file", "block", "first", "n_ids", "pieces", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, file = BlockCoder(vocabulary, LANES), TaskContext.get().partitionId()
+        coder, file, kind_of_ids = BlockCoder(vocabulary, LANES_WRITTEN), TaskContext.get().partitionId(), id_kind(vocabulary)
         waiting: list[np.ndarray] = []  # ids not yet in a block
         have, position, done = 0, 0, 0
         full: list[np.ndarray] = []
@@ -145,7 +157,7 @@ def _blocks(vocabulary: int, block: int, kind: pa.DataType):
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), kind_of_ids)
                 start, total, at = position, len(ids), 0
                 while at < total:  # the document's ids by block
                     room = block - position % block
@@ -158,7 +170,7 @@ def _blocks(vocabulary: int, block: int, kind: pa.DataType):
                 have += total
                 if have >= block * 64:
                     cut()
-                    if len(full) >= LANES:
+                    if len(full) >= LANES_WRITTEN:
                         yield coded()
         if have >= block:
             cut()
@@ -173,7 +185,7 @@ def _blocks(vocabulary: int, block: int, kind: pa.DataType):
 def write_ids(encoded: DataFrame, path: str, vocabulary: int, block: int = BLOCK_IDS, files: int | None = None) -> None:
     """Write rows (doc_id, ids) of at least one id each to `files` files at `path` in the order of doc_id: nulls first, rows of one id ordered by a hash of their ids.
 
-    Files are ranges of (doc_id, hash), so that rows that share an id may be parted. A task holds LANES blocks.
+    Files are ranges of (doc_id, hash), so that rows that share an id may be parted. A task holds LANES_WRITTEN blocks.
     """
     spark = encoded.sparkSession
     ship(spark)
@@ -193,8 +205,8 @@ def _read(spark: SparkSession, path: str, vocabulary: int, ids: bool) -> DataFra
     kind = stored.schema["pieces"].dataType.elementType["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = BlockCoder(vocabulary, LANES)
-        for batch in _gathered(batches, LANES):
+        coder = BlockCoder(vocabulary, LANES_READ)
+        for batch in _gathered(batches, LANES_READ):
             try:
                 blocks = coder.decode([d.as_buffer().to_pybytes() for d in batch.column("data")])
             except BadBlock as e:
@@ -244,12 +256,14 @@ def read_ids(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 
 def document_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the decoded blocks. Shares of documents that span blocks are put together by exclusive or, in any order."""
-    pieces = _read(spark, path, vocabulary, False)
+    pieces = stage(_read(spark, path, vocabulary, False), "id-pieces")  # decoded once for both uses
     whole = pieces.where("n = total").select("file", "doc_id", "start", "total", "crc")
     parted = pieces.where("n < total").groupBy("file", "doc_id", "start", "total").agg(F.expr("bit_xor(crc)").alias("crc"), F.sum("n").alias("n"))
     checked = parted.select("file", "doc_id", "start", "total", F.when(F.col("n") == F.col("total"), F.col("crc")).otherwise(F.raise_error(F.lit("a document lacks blocks"))).alias("crc"))
     rows = whole.union(checked).join(F.broadcast(_file_starts(spark, path)), "file")
-    return rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("total").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    out = stage(rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("total").alias("n_tokens"), F.col("crc").alias("ids_crc32")), "id-digests")
+    unstage(pieces)
+    return out
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None, block: int = BLOCK_IDS, files: int | None = None) -> DataFrame:
@@ -268,4 +282,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str
     encoded = stage(encode_texts(docs, tokenizer_path, end_id), "encoded")
     write_ids(encoded, path, vocabulary, block, files)
     unstage(encoded)
-    return stage(document_digests(spark, path, vocabulary), "id-digests")
+    return document_digests(spark, path, vocabulary)

@@ -27,6 +27,7 @@ LEAST, WORD = U(1 << 28), U((1 << 28) - 1)
 SHARE_BITS, CONTEXTS, OUTCOMES = 12, 32, 4  # outcomes: order 2, order 1, order 0, escape
 LEAST_SHARES = np.array([1, 1, 1, 64])  # in 4096; with 64, an escaped id of up to 22 bits still has a range of its own
 FIRST_RENEWAL, MOST_IDS, TABLE_BITS = 32, 1 << 15, 12
+STRETCH = 512  # ids of all lanes whose decisions are held at once
 #: Hash multipliers of the contexts: odd numbers near the golden ratio's and the square root of two's fractions. Fixed values.
 ONE, TWO = np.uint32(0x9E3779B1), np.uint32(0x6A09E667)
 
@@ -105,7 +106,7 @@ def _update(table: np.ndarray, at: np.ndarray, entry: np.ndarray, hit: np.ndarra
 def _packed(words: np.ndarray) -> np.ndarray:
     """Seven bytes for each two words of a row: (rows, pairs, 7)."""
     words = np.pad(words, ((0, 0), (0, words.shape[1] % 2)))
-    pairs = (words[:, ::2] << WORD_BITS | words[:, 1::2]).astype(">u8")
+    pairs = (words[:, ::2].astype(U) << WORD_BITS | words[:, 1::2]).astype(">u8")
     return np.ascontiguousarray(pairs).view(np.uint8).reshape(*pairs.shape, 8)[:, :, 1:]
 
 
@@ -135,7 +136,7 @@ class BlockCoder:
         """Lanes by falling length, and stretches (from, to, lanes still coded) between renewals and ends of lanes."""
         order = np.argsort(-lengths, kind="stable")
         longest = int(lengths.max(initial=0))
-        cuts = {0, longest, *lengths.tolist()}
+        cuts = {0, longest, *lengths.tolist(), *range(STRETCH, longest, STRETCH)}
         t = FIRST_RENEWAL
         while t < longest:
             cuts.add(t)
@@ -160,7 +161,7 @@ class BlockCoder:
         model = _Model(lanes, self.bits)
         begins, lasts = np.zeros(lanes << self.bits, np.uint16), np.zeros((lanes, max(1, longest)), np.uint16)  # start + 1 by lane and id (0: not met), frequency by lane and start
         outcomes = np.zeros((longest, lanes), np.uint8)
-        words, ptr = np.zeros((lanes, longest + 4), U), np.zeros(lanes, np.int64)
+        words, ptr = np.zeros((lanes, longest + 4), np.uint32), np.zeros(lanes, np.int64)
         flat, own = words.ravel(), np.arange(lanes) * words.shape[1]
         low, span = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
         before = np.concatenate([np.zeros((2, lanes), np.uint32), ids])  # the ids two places earlier
@@ -208,8 +209,8 @@ class BlockCoder:
             sizes[ended] = ptr[ended]
         words = words[:, : int(sizes.max(initial=0))]
         words[np.arange(words.shape[1])[None, :] >= sizes[:, None]] = 0
-        while (carry := words >> WORD_BITS).any():
-            words &= WORD
+        while (carry := words >> np.uint32(28)).any():
+            words &= np.uint32(WORD)
             words[:, :-1] += carry[:, 1:]
         packed = _packed(words)
         out: list[bytes] = [b""] * lanes
@@ -235,10 +236,10 @@ class BlockCoder:
         lengths = np.array([n for n, _, _ in opened])
         order, stretches = self._order(lengths)
         lanes, longest = len(blocks), int(lengths.max(initial=0))
-        words = np.zeros((lanes, max((len(w) for _, _, w in opened), default=0) + 4), U)
+        words = np.zeros((lanes, max((len(w) for _, _, w in opened), default=0) + 4), np.uint32)
         for lane, k in enumerate(order):
             words[lane, : len(opened[k][2])] = opened[k][2]
-        code, ptr, flat = words[:, 0] << WORD_BITS | words[:, 1], np.arange(lanes) * words.shape[1] + 1, words.ravel()
+        code, ptr, flat = words[:, 0].astype(U) << WORD_BITS | words[:, 1], np.arange(lanes) * words.shape[1] + 1, words.ravel()
         span = np.full(lanes, 1 << 56, U)
         model = _Model(lanes, self.bits)
         ids, outcomes = np.zeros((longest, lanes), np.uint32), np.zeros((longest, lanes), np.uint8)

@@ -89,9 +89,9 @@ def test_encoder_like_the_library(library, monkeypatch):
     letters = "aabcdeefst'''     !?.,0123456789éüñßÀσ½²\n\n\t\r\x1c\x85\xa0_中🎉-“”€ ªº"
     for k in range(6000):
         text = "".join(random.choice(letters[: 20 if k % 2 else None]) for _ in range(random.randint(0, 30))) + " <|endoftext|>" * (k % 13 == 0)
-        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), repr(text)
     for text in (" ", "  ", "\n ", " \n", "a  ", "it's  we'll'S ", "x\n \ny", "a" * 5000, "don't " * 3000):
-        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def test_odd_rows(spark, odd_docs, no_docs, library):
