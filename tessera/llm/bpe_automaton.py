@@ -8,19 +8,22 @@ out-arcs from the state of `v` and its in-arcs from the arcs of `u` as they are
 need tens of thousands squared.
 
 The compiled form is a handful of integer arrays, made once on the driver and broadcast: the byte transitions that spell
-the arcs' labels, and the gadgets' rank, sources and cuts. It accepts just the token sequences that the merges produce,
-and every prefix of an accepted path is accepted, so exactly one token ends at each byte of a word: encoding goes over
-the bytes once, enters that token in a table, and reads the path off backwards. There is no search, no replay of merges
-and no way around the automaton. Decoding emits the labels of the arcs taken.
+the arcs' labels, and the gadgets' rank, sources and cuts. From them a worker makes the automaton deterministic as far as
+its words take it: the first time that an arc is tried from a state, whether it is there is worked out through the
+copies, and goes into the transition table; from then on it is read from the table. The automaton accepts just the
+token sequences that the merges produce, and every prefix of an accepted path is accepted, so exactly one token ends at
+each byte of a word: encoding goes over the bytes once, enters that token, and reads the path off backwards. There is
+no search, no replay of merges and no way around the automaton. Decoding emits the labels of the arcs taken.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +32,8 @@ from .presplit import PreSplitter
 from .workspace import ship, small_batches
 
 END = "</w>"
-#: Words whose ids a worker keeps; beyond it, all are forgotten before the next text, which costs time and changes nothing.
-WORD_LIMIT = 60_000
+#: Words and transitions that a worker keeps from task to task; beyond it the older half is forgotten, which costs time and changes nothing.
+WORD_LIMIT, ARC_LIMIT = 400_000, 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -88,9 +91,10 @@ class MergeAutomaton:
 
     def _open(self) -> None:
         self.go, self.cut = dict(zip(self.keys, self.nodes, strict=True)), dict(zip(self.cut_keys, self.cut_ranks, strict=True))
+        self.arcs: dict[int, bool] = {}  # the transition table as far as it is made: state * size + arc -> whether the arc leaves the state
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in vars(self).items() if k not in ("go", "cut")}
+        return {k: v for k, v in vars(self).items() if k not in ("go", "cut", "arcs")}
 
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state)
@@ -118,7 +122,9 @@ class MergeAutomaton:
         n = len(word)
         if not n:
             return []
-        go, mid, step = self.go, self.mid, self.step
+        go, mid, arcs, size = self.go, self.mid, self.arcs, self.size
+        if len(arcs) > ARC_LIMIT:
+            forget_half(arcs)
         last = array("i", [-1]) * (n + 1)  # the one token that ends an accepted path here
         for start in range(n):
             state, node = last[start], 0
@@ -129,8 +135,16 @@ class MergeAutomaton:
                 if node is None:
                     break
                 arc = mid[node] if i + 1 < n else self.end[node]
-                if arc >= 0 and last[i + 1] < 0 and step(state, arc):
-                    last[i + 1] = arc
+                if arc >= 0 and last[i + 1] < 0:
+                    if not start:  # the start has an arc for each token
+                        last[i + 1] = arc
+                        continue
+                    key = state * size + arc
+                    leaves = arcs.get(key)
+                    if leaves is None:
+                        leaves = arcs[key] = self.step(state, arc)
+                    if leaves:
+                        last[i + 1] = arc
         if last[n] < 0:
             raise ValueError("a byte is not in the vocabulary")
         path = []
@@ -140,10 +154,17 @@ class MergeAutomaton:
         return path[::-1]
 
 
+def forget_half(kept: dict) -> None:
+    """Drops the half of a dictionary that was entered first."""
+    for old in list(islice(kept, len(kept) // 2)):
+        del kept[old]
+
+
 class Compiled:
     """What a tokenizer file is compiled to: the automaton, the labels of its arcs, and the file's splitting rules."""
 
     def __init__(self, spec: bytes):
+        self.digest = zlib.crc32(spec)
         made = json.loads(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in made["model"]["merges"]]
         vocab = made["model"]["vocab"]
@@ -178,7 +199,7 @@ class WordCodec:
 
     def encode(self, text: str | None) -> list[int]:
         if len(self.words) > WORD_LIMIT:
-            self.words.clear()
+            forget_half(self.words)
         return list(chain.from_iterable(map(self.words.__getitem__, self.splitter.split(text))))
 
     def decode(self, ids: list[int]) -> str:
@@ -186,6 +207,17 @@ class WordCodec:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+#: Of each worker process: codecs by their file's checksum, kept from task to task.
+_codecs: dict[int, WordCodec] = {}
+
+
+def _codec(compiled: Compiled) -> WordCodec:
+    if compiled.digest not in _codecs:
+        _codecs.clear()
+        _codecs[compiled.digest] = WordCodec(compiled)
+    return _codecs[compiled.digest]
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
     """One row for each row of `docs`: id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids and the decoded text.
 
@@ -202,7 +234,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        codec = WordCodec(compiled.value)  # for this task alone
+        codec = _codec(compiled.value)
         for batch in small_batches(batches):
             n_tokens, sha_ids, sha_text, all_ids, texts = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
