@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm.kneser_ney import perplexity_filter, sequence_filter
+from tessera.llm.kneser_ney import sequence_filter
 from tessera.llm.language_id import fit, identify
 from tessera.llm.mixing import MOST_MEAN, mix
 from tessera.llm.quality_rules import quality_rules
@@ -209,41 +209,41 @@ def kneser_ney(words, order=4):
     return lambda w: sum(math.log(p(pad(w)[i : i + order])) for i in range(len(w) + 1))
 
 
-def test_perplexity_like_a_plain_version(docs, labels):
+def test_sequence_perplexity_like_a_plain_version(docs, labels, odd_docs, no_docs):
     few = docs.where("doc_id < 60").persist()
     good = labels.where("quality = 1 and doc_id < 60").select("doc_id")
     ids = {r["doc_id"] for r in good.collect()}
     texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"]) for r in few.collect()}
-    value = kneser_ney([w for i in ids if i in texts for w in texts[i]])
-    cache = {w: value(w) for ws in texts.values() for w in set(ws)}
-    for limit in (1_500_000, 0):  # by broadcast, and by the sharded join
-        got = {r["doc_id"]: r["perplexity"] for r in perplexity_filter(few, good, broadcast_grams=limit).collect()}
+    value = kneser_ney([" ".join(texts[i]) for i in ids if i in texts], order=5)
+    want = {i: math.exp(-value(" ".join(ws)) / (len(" ".join(ws)) + 1)) for i, ws in texts.items()}
+    for small in (True, False):  # the model sent to the documents, and the documents' n-grams to the model
+        got = {r["doc_id"]: r for r in sequence_filter(few, good, small=small).collect()}
         for i, ws in texts.items():
-            assert got[i] == pytest.approx(math.exp(-sum(cache[w] for w in ws) / (sum(map(len, ws)) + len(ws))), rel=1e-9)
+            assert got[i]["perplexity"] == pytest.approx(want[i], rel=1e-9) and got[i]["n_words"] == len(ws)
+        odd = sequence_filter(odd_docs, labels.where("false"), small=small).collect()
+        assert len(odd) == odd_docs.count() and {r["doc_id"] for r in odd if not r["kept"]} == {3, 4, 5}
+        assert sequence_filter(no_docs, labels.select("doc_id"), small=small).count() == 0
+    few.unpersist()
 
 
-def test_perplexity_separates(docs, labels, odd_docs, no_docs):
-    rows = perplexity_filter(docs, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").collect()
+def test_sequence_perplexity_separates(docs, labels):
+    rows = sequence_filter(docs, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").collect()
     assert all(r["kept"] for r in rows if r["quality"] == 1)
     junk = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(junk) <= 0.3 * len(junk)
-    odd = perplexity_filter(odd_docs, labels.where("false").select("doc_id")).collect()
-    assert len(odd) == odd_docs.count() and {r["doc_id"] for r in odd if not r["kept"]} == {3, 4, 5}
-    assert perplexity_filter(no_docs, labels.select("doc_id")).count() == 0
 
 
-def test_sequence_perplexity_like_a_plain_version(docs, labels, odd_docs, no_docs):
-    few = docs.where("doc_id < 60").persist()
-    good = labels.where("quality = 1 and doc_id < 60").select("doc_id")
-    ids = {r["doc_id"] for r in good.collect()}
-    texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"]) for r in few.collect()}
-    value = kneser_ney([" ".join(texts[i]) for i in ids if i in texts], order=5)
-    got = {r["doc_id"]: r for r in sequence_filter(few, good).collect()}
-    for i, ws in texts.items():
-        assert got[i]["perplexity"] == pytest.approx(math.exp(-value(" ".join(ws)) / (len(" ".join(ws)) + 1)), rel=1e-9) and got[i]["n_words"] == len(ws)
-    odd = sequence_filter(odd_docs, labels.where("false")).collect()
-    assert len(odd) == odd_docs.count() and {r["doc_id"] for r in odd if not r["kept"]} == {3, 4, 5}
-    assert sequence_filter(no_docs, labels.select("doc_id")).count() == 0
+def test_stages_of_the_quality_classifier_are_removed(spark, docs, labels):
+    """Both ways leave the table of perplexities and the trusted ids behind, and nothing of the corpus's size besides."""
+    import os
+
+    from tessera.llm.workspace import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/tessera"
+    for small in (True, False):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        sequence_filter(docs, labels.where("quality = 1").select("doc_id"), small=small).count()
+        assert {d.rsplit("-", 1)[0] for d in set(os.listdir(folder)) - before} == {"perplexities", "trusted"}
 
 
 def test_quality_classifier_reads_word_order(spark, tmp_path):
