@@ -113,6 +113,42 @@ def bspline(lo: float, hi: float, n_coef: int, order: int, slope: bool = False):
     return entries
 
 
+def bspline_between(n_coef: int, order: int, slope: bool = False):
+    """A function (p, lo, hi) to the (idx, val) entries of B-splines whose ranges differ from row to row; they share the number of coefficients.
+
+    A range's knots are those of `knots`; a point's place among them is linear in p, so all ranges share one table of
+    polynomials over spans of length 1, and slopes are divided by the range's own span.
+    """
+    n_spans = n_coef - order + 1
+    if n_spans < 1:
+        raise ValueError("a B-spline needs as many coefficients as its order at least")
+    inner = np.arange(n_spans + 1.0)
+    t = np.concatenate([[0.0] * (order - 1), inner, [float(n_spans)] * (order - 1)])
+    table = [[float(c) for c in piece.ravel()] for piece in pieces(t, order, slope)]
+
+    def entries(p: Column, lo: Column, hi: Column) -> Column:
+        span_width = (hi - lo + 2 * AXIS_EPS) / n_spans
+        x = F.least(F.greatest((p - lo + AXIS_EPS) / span_width, F.lit(0.0)), F.lit(float(n_spans)))
+        span = F.least(F.floor(x), F.lit(n_spans - 1)).cast("int")
+        x = x - span
+        out = []
+        for r, row in enumerate(table):
+            coefficients, val = F.lit(row), F.lit(0.0)
+            for k in reversed(range(order)):
+                val = val * x + F.element_at(coefficients, span * order + (k + 1))
+            out.append(F.struct((span + r).alias("idx"), (val / span_width if slope else val).alias("val")))
+        return F.when(p.isNotNull(), F.array(*out)).cast(ENTRY)
+
+    return entries
+
+
+def hat_slope(p: Column, lo: Column | float, hi: Column | float, width: Column | float) -> Column:
+    """Two (idx, val) entries of the linear basis's slope: -1 / width and 1 / width on the knots around p."""
+    b = F.floor(clamp(p, lo, hi) / width).cast("int")
+    up = 1.0 / (F.lit(width) if not isinstance(width, Column) else width)
+    return F.array(F.struct(b.alias("idx"), (-up).alias("val")), F.struct((b + 1).alias("idx"), up.alias("val")))
+
+
 def evaluate(p: np.ndarray, coefficients: np.ndarray, lo: float, hi: float, kind: str, order: int = 4, width: float | None = None, slope: bool = False) -> np.ndarray:
     """A spline with given coefficients at points p."""
     c = np.asarray(coefficients, float)

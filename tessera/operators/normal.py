@@ -31,14 +31,14 @@ def pair_entries(pairs: DataFrame, basis: Column, first_column: Column | int = 0
 def site_entries(params: DataFrame, basis: Column, parts: dict[str, tuple[Column, ...]], last: str, first_column: Column | int = 0) -> DataFrame:
     """Entries of angles, dihedrals and the like: -phi * gradient on each site of `parts`, plus their sum on `last`."""
     lit = F.lit(first_column) if isinstance(first_column, int) else first_column
+    dims = range(len(next(iter(parts.values()))))
+    held = params.select("*", *[grad[n].alias(f"_{site}_{n}") for site, grad in parts.items() for n in dims])  # each gradient worked out once
     cells = []
-    for n in range(len(next(iter(parts.values())))):
-        cells += [F.struct(F.col(site).alias("site_id"), F.lit(n).alias("dim"), (-grad[n]).alias("part")) for site, grad in parts.items()]
-        whole = None
-        for grad in parts.values():
-            whole = grad[n] if whole is None else whole + grad[n]
-        cells.append(F.struct(F.col(last).alias("site_id"), F.lit(n).alias("dim"), whole.alias("part")))
-    wide = params.withColumn("base", lit).withColumn("h", F.explode(F.array(*cells))).withColumn("b", F.explode(basis))
+    for n in dims:
+        own = [F.col(f"_{site}_{n}") for site in parts]
+        cells += [F.struct(F.col(site).alias("site_id"), F.lit(n).alias("dim"), (-x).alias("part")) for site, x in zip(parts, own, strict=True)]
+        cells.append(F.struct(F.col(last).alias("site_id"), F.lit(n).alias("dim"), sum(own[1:], own[0]).alias("part")))
+    wide = held.withColumn("base", lit).withColumn("h", F.explode(F.array(*cells))).withColumn("b", F.explode(basis))
     return wide.select("frame_id", "h.site_id", "h.dim", (F.col("base") + F.col("b.idx")).cast("int").alias("col"), (F.col("b.val") * F.col("h.part")).alias("v"))
 
 
@@ -80,19 +80,32 @@ def gram_joined(entries: DataFrame, weights: DataFrame | None = None, by: tuple[
 
 
 def gram(entries: DataFrame, target: DataFrame, n_columns: int, weights: DataFrame | None = None, chunk: int = 4096) -> DataFrame:
-    """(i, j, v), i <= j: normal equations, where column n_columns is the target: v of (i, n) is the right side and of (n, n) sum w f^2.
+    """(i, j, v), i <= j: normal equations, where column n_columns is the target: v of (i, n) is the right side and of (n, n) sum w f^2."""
+    both = collected(entries).union(target.select(*ROW, F.lit(n_columns).alias("col"), F.col("f").alias("v")))
+    return gram_rows(both, n_columns, weights, chunk=chunk)
 
-    Rows are dealt by (frame, site), so a row's entries meet; each partition adds up dense blocks of `chunk` rows in one
-    (n + 1) squared matrix and gives its upper triangle once. n_columns bounds a task's memory: 2000 takes 32 MB.
+
+def gram_rows(rows: DataFrame, n_columns: int, weights: DataFrame | None = None, by: tuple[str, ...] = (), chunk: int = 4096) -> DataFrame:
+    """(by, i, j, v), i <= j: products of the rows (frame_id, site_id, dim, col, v) of [A f], the target being column n_columns.
+
+    Rows are dealt by (by, frame, site), so a row's entries meet; each partition adds up dense blocks of `chunk` rows in
+    one (n + 1) squared matrix for the `by` at hand and gives its upper triangle once for each. n_columns bounds a task's
+    memory: 2000 takes 32 MB. `by` names integer columns of `weights` (replicas, blocks); a frame's rows are multiplied
+    once for each of its weights. Shuffle of the second step is partitions x groups x columns^2 / 2 at most.
     """
-    ship(entries.sparkSession)
-    n = n_columns
-    both = collected(entries).union(target.select(*ROW, F.lit(n).alias("col"), F.col("f").alias("v")))
-    rows = weighted(both, weights).select(*ROW, "col", (F.sqrt("weight") * F.col("v")).alias("v"))
-    dealt = rows.repartition(*ROW).sortWithinPartitions(*ROW)
+    ship(rows.sparkSession)
+    n, keys = n_columns, [*by, *ROW]
+    dealt = weighted(rows, weights).select(*keys, "col", (F.sqrt("weight") * F.col("v")).alias("v")).repartition(*keys).sortWithinPartitions(*keys)
 
     def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n + 1, n + 1))
+        total, group = np.zeros((n + 1, n + 1)), None
+
+        def triangle() -> pd.DataFrame:
+            i, j = np.nonzero(np.triu(total))
+            out = pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
+            for k, c in enumerate(by):
+                out[c] = np.full(len(out), group[k], np.int64)
+            return out[[*by, "i", "j", "v"]]
 
         def add(part: pd.DataFrame) -> None:
             at, c, v = _numbered(part), part["col"].to_numpy(), part["v"].to_numpy()
@@ -103,11 +116,17 @@ def gram(entries: DataFrame, target: DataFrame, n_columns: int, weights: DataFra
                 total[...] += m.T @ m
 
         for part in _whole_rows(parts):
-            add(part)
-        i, j = np.nonzero(np.triu(total))
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
+            for own, piece in part.groupby(list(by), sort=True) if by else [((), part)]:
+                if group is not None and own != group:
+                    yield triangle()
+                    total[...] = 0.0
+                group = own
+                add(piece)
+        if group is not None:
+            yield triangle()
 
-    return dealt.mapInPandas(multiply, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    kinds = "".join(f"{c} long, " for c in by)
+    return dealt.mapInPandas(multiply, f"{kinds}i int, j int, v double").groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
 
 
 def moments(entries: DataFrame, target: DataFrame, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -115,16 +134,34 @@ def moments(entries: DataFrame, target: DataFrame, weights: DataFrame | None = N
     return weighted(entries.join(target, ROW), weights).groupBy(*by, F.col("col").alias("i")).agg(F.sum(F.col("weight") * F.col("v") * F.col("f")).alias("v"))
 
 
-def bootstrap_weights(frames: DataFrame, replicas: int, draws: int, seed: int = 1) -> DataFrame:
+def frame_ranks(frames: DataFrame) -> tuple[DataFrame, int]:
+    """((frame_id, k), n): the frames' places 0, 1, ... in order, from a range shuffle and one count for each partition; and their number."""
+    spark = frames.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frames.select("frame_id").distinct().repartitionByRange(parts, "frame_id").sortWithinPartitions("frame_id").withColumn("at", F.monotonically_increasing_id())
+    cut = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt  # both uses below see the same partitions; the same ranges come anew without it
+    part, own = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["part"]: r["n"] for r in cut.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row for each partition
+    before, total = [], 0
+    for p in sorted(sizes):
+        before.append((p, total))
+        total += sizes[p]
+    starts = F.broadcast(spark.createDataFrame(before, "part long, before long"))
+    return cut.join(starts, part == F.col("part")).select("frame_id", (F.col("before") + own).alias("k")), total
+
+
+def bootstrap_weights(frames: DataFrame, replicas: int, draws: int, seed: int = 1, draw: Column | None = None) -> DataFrame:
     """(replica, frame_id, weight): how often each frame is among `draws` uniform draws with replacement of each replica.
 
-    Draws are replicas x draws rows; the draw's frame is its hash modulo the number of frames, by rank in frame order.
+    A draw is the frame at rank hash(seed, replica, draw) modulo the number of frames, or at `draw` (an integer column of
+    replica and draw) modulo it. Ranks and draws meet in an equi-join, so neither frames nor draws are ever collected.
     """
+    ranks, n = frame_ranks(frames)
     spark = frames.sparkSession
-    order = frames.select("frame_id").distinct().agg(F.array_sort(F.collect_set("frame_id")).alias("f"))
-    drawn = spark.range(replicas * draws).select((F.col("id") / draws).cast("int").alias("replica"), (F.col("id") % draws).cast("int").alias("draw"))
-    number = F.pmod(F.xxhash64(F.lit(seed), "replica", "draw"), F.size("f"))
-    return drawn.withColumn("f", order.scalar()).select("replica", F.element_at("f", (number + 1).cast("int")).alias("frame_id")).groupBy("replica", "frame_id").agg(F.count("*").cast("double").alias("weight"))
+    drawn = spark.range(replicas * draws).select(F.floor(F.col("id") / draws).cast("int").alias("replica"), (F.col("id") % draws).cast("int").alias("draw"))
+    number = F.xxhash64(F.lit(seed), "replica", "draw") if draw is None else draw
+    counts = drawn.select("replica", F.pmod(number.cast("long"), F.lit(max(n, 1)).cast("long")).alias("k")).groupBy("replica", "k").agg(F.count("*").cast("double").alias("weight"))
+    return counts.join(ranks, "k").select("replica", "frame_id", "weight")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:

@@ -115,25 +115,45 @@ def increment(g: np.ndarray, reference: np.ndarray, current: np.ndarray, x0: np.
     return x0 + step * solve(g, reference - current, rcond)[0]
 
 
-def by_group(triangles: DataFrame, n_columns: int, key: str, ridge: float = 0.0, rcond: float = -1.0) -> DataFrame:
+def by_group(triangles: DataFrame, n_columns: int, key: str | list[str], ridge: float = 0.0, rcond: float = -1.0) -> DataFrame:
     """(key, col, x): one solve for each replica or block of (key, i, j, v); groups hold one triangle each."""
     ship(triangles.sparkSession)
-    kind = triangles.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = "".join(f"{k} {triangles.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g, r, _ = from_triangle(group, n_columns)
         x, _ = solve(g, r, rcond, ridge)
-        return pd.DataFrame({key: [group[key].iloc[0]] * n_columns, "col": np.arange(n_columns, dtype=np.int32), "x": x})
+        return pd.DataFrame({**{k: [group[k].iloc[0]] * n_columns for k in keys}, "col": np.arange(n_columns, dtype=np.int32), "x": x})
 
-    return triangles.groupBy(key).applyInPandas(run, f"{key} {kind}, col int, x double")
+    return triangles.groupBy(*keys).applyInPandas(run, f"{kinds}col int, x double")
 
 
-def block_average(solutions: DataFrame, most: float = 1000.0) -> DataFrame:
-    """(col, x, n): mean over blocks of the coefficients that are not 0 and below `most` in size."""
+def from_factor(factor: DataFrame, n_columns: int, rcond: float = -1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(x, singular values, residual): minimum-norm least squares from the upper triangle R of [A f] (normal.tsqr), without squaring A.
+
+    Singular values of R's first n columns are those of A. Values up to rcond times the largest count as 0 (below 0:
+    machine precision times the number of columns), so columns that repeat each other share their coefficient. R is as
+    large as one triangle of normal equations, and as those stays on the driver up to MOST_COLUMNS columns.
+    """
+    if n_columns > MOST_COLUMNS:
+        raise ValueError(f"{n_columns} columns are more than {MOST_COLUMNS}: solve in blocks")
+    got = factor.toPandas()
+    m = np.zeros((n_columns + 1, n_columns + 1))
+    m[got["i"].to_numpy(int), got["j"].to_numpy(int)] = got["v"].to_numpy(float)
+    u, s, vt = np.linalg.svd(m[:, :n_columns], full_matrices=False)
+    cut = (rcond if rcond >= 0 else np.finfo(float).eps * (n_columns + 1)) * s.max(initial=0.0)
+    keep = s > cut
+    x = vt[keep].T @ ((u[:, keep].T @ m[:, n_columns]) / s[keep])
+    return x, s, float(((m[:, :n_columns] @ x - m[:, n_columns]) ** 2).sum())
+
+
+def block_average(solutions: DataFrame, most: float = 1000.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, col, x, n): mean over blocks of the coefficients that are not 0 and below `most` in size; `by` may name replicas."""
     from pyspark.sql import functions as F
 
     fine = (F.col("x") != 0) & (F.abs("x") < most)
-    return solutions.groupBy("col").agg(F.coalesce(F.avg(F.when(fine, F.col("x"))), F.lit(0.0)).alias("x"), F.count(F.when(fine, 1)).alias("n"))
+    return solutions.groupBy(*by, "col").agg(F.coalesce(F.avg(F.when(fine, F.col("x"))), F.lit(0.0)).alias("x"), F.count(F.when(fine, 1)).alias("n"))
 
 
 def standard_error(values: DataFrame, by: list[str]) -> DataFrame:

@@ -190,24 +190,24 @@ def p16(spark, sf_dir):
 _KNOTS = [float(t) for t in basis.knots(LO, HI, 7, 4)]
 
 
-def recursion_sql(i: int, k: int) -> str:
-    """The i-th B-spline of order k over _KNOTS at p, in SQL, by the Cox-de Boor recursion; `span` is the knot at or before p."""
+def recursion_sql(i: int, k: int, t: list[float] = _KNOTS) -> str:
+    """The i-th B-spline of order k over knots `t` at p, in SQL, by the Cox-de Boor recursion; `span` is the knot at or before p."""
     if k == 1:
         return f"(CASE WHEN span = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
-    t, terms = _KNOTS, ["0.0::DOUBLE"]
+    terms = ["0.0::DOUBLE"]
     if t[i + k - 1] > t[i]:
-        terms.append(f"(p - {t[i]!r}::DOUBLE) / {t[i + k - 1] - t[i]!r}::DOUBLE * {recursion_sql(i, k - 1)}")
+        terms.append(f"(p - {t[i]!r}::DOUBLE) / {t[i + k - 1] - t[i]!r}::DOUBLE * {recursion_sql(i, k - 1, t)}")
     if t[i + k] > t[i + 1]:
-        terms.append(f"({t[i + k]!r}::DOUBLE - p) / {t[i + k] - t[i + 1]!r}::DOUBLE * {recursion_sql(i + 1, k - 1)}")
+        terms.append(f"({t[i + k]!r}::DOUBLE - p) / {t[i + k] - t[i + 1]!r}::DOUBLE * {recursion_sql(i + 1, k - 1, t)}")
     return f"({' + '.join(terms)})"
 
 
-def recursion_slope_sql(i: int, k: int) -> str:
-    t, terms = _KNOTS, ["0.0::DOUBLE"]
+def recursion_slope_sql(i: int, k: int, t: list[float] = _KNOTS) -> str:
+    terms = ["0.0::DOUBLE"]
     if t[i + k - 1] > t[i]:
-        terms.append(f"{recursion_sql(i, k - 1)} / {t[i + k - 1] - t[i]!r}::DOUBLE")
+        terms.append(f"{recursion_sql(i, k - 1, t)} / {t[i + k - 1] - t[i]!r}::DOUBLE")
     if t[i + k] > t[i + 1]:
-        terms.append(f"-{recursion_sql(i + 1, k - 1)} / {t[i + k] - t[i + 1]!r}::DOUBLE")
+        terms.append(f"-{recursion_sql(i + 1, k - 1, t)} / {t[i + k] - t[i + 1]!r}::DOUBLE")
     return f"{k - 1} * ({' + '.join(terms)})"
 
 

@@ -34,7 +34,7 @@ def q6(c: str) -> str:
 
 
 def _load() -> None:
-    from . import fitting, geometry, ordered, relations  # noqa: F401
+    from . import fitting, geometry, models, ordered, relations  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sites(spark: SparkSession, sf_dir: str, types: int = 10) -> DataFrame:
     """`embeddings` as sites of a periodic unit box: frame = runs of FRAME_SITES ids, type = label % types + 1, x from components 1-3, f from 4-6."""
+    return embedding_sites(table(spark, sf_dir, "embeddings"), types)
+
+
+def embedding_sites(embeddings: DataFrame, types: int = 10) -> DataFrame:
+    """The same of a given table or stream."""
     e = F.col("embedding")
     place = [wrap(e[i].cast("double") + 0.5, BOX).alias(c) for i, c in enumerate("xyz")]
     force = [e[i + 3].cast("double").alias(c) for i, c in enumerate(("fx", "fy", "fz"))]
-    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and label is not null and embedding is not null")
+    rows = embeddings.where("vec_id is not null and label is not null and embedding is not null")
     return rows.select(F.floor(F.col("vec_id") / FRAME_SITES).cast("int").alias("frame_id"), F.col("vec_id").alias("site_id"), (F.col("label") % types + 1).cast("int").alias("type_id"), *place, *force)
 
 
