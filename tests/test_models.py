@@ -205,7 +205,7 @@ def test_tables_from_coefficients(spark, model):
     middle = np.arange(1, len(u) - 1)
     bend = (u[2:] - u[:-2]) / (axis[2:] - axis[:-2])
     inside = np.abs((axis[middle] - 0.5) % 0.5) > 0.06 if model.spline == "linear" else np.full(len(middle), True)
-    assert np.allclose(-f[middle][inside], bend[inside], atol=2e-2)
+    assert np.allclose(-f[middle][inside], bend[inside], atol=6e-2)  # steps of 0.05
     lines = output.table_lines([(output.finished(specs, coefficients, ["t"], model), model)], ["t"]).collect()
     assert {r["kind"] for r in lines} == {"bond"} and {r["t"] for r in lines if r["line"].startswith("N ")} == {"a", "b"}
 
