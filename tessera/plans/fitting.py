@@ -9,7 +9,7 @@ from ..functions import basis
 from ..operators import neighbors, normal, parameters, solve, threebody
 from ..sources import views as v
 from .geometry import FRAC, HAT, HI, LO, WIDTH, box, pairs_sql
-from .registry import q6, query, r6
+from .registry import eliminated, q6, query, r6
 
 #: Two site types give three pair interactions; four bins each give five hat functions.
 TYPES, BASES = 2, 5
@@ -137,16 +137,20 @@ def _frame(spark, x: np.ndarray):
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(x)], "col int, x double")  # one row for each column
 
 
-@query("l02_vector_regularized")
+_G = f"WITH RECURSIVE {FIT}, full_rows AS (SELECT * FROM entries UNION ALL SELECT frame_id, site_id, dim, {COLUMNS}, f FROM target), g AS (SELECT a.col::INT AS i, b.col::INT AS j, sum(weight * a.v * b.v) AS v FROM full_rows a JOIN full_rows b USING (frame_id, site_id, dim) JOIN weights USING (frame_id) WHERE a.col <= b.col AND weight <> 0 GROUP BY 1, 2)"
+_NORMS = f"norms AS (SELECT c, sqrt(sum(v * v)) AS norm FROM (SELECT j AS c, v FROM g WHERE j < {COLUMNS} UNION ALL SELECT i, v FROM g WHERE j < {COLUMNS} AND i < j) GROUP BY c)"
+
+
+@query("l02_vector_regularized", f"{_G}, {eliminated('g', COLUMNS, diagonal=f'0.01::DOUBLE + 0.09::DOUBLE / {COLUMNS - 1} * {{i}}')} SELECT col, {q6('x')} AS x FROM x")
 def l02(spark, sf_dir):
     g, r, _ = solved(spark, sf_dir)
-    return _frame(spark, solve.solve(g, r, diagonal=np.linspace(0.01, 0.1, COLUMNS))[0])
+    return _frame(spark, solve.solve(g, r, diagonal=np.linspace(0.01, 0.1, COLUMNS))[0]).select("col", r6("x").alias("x"))
 
 
-@query("l03_tikhonov")
+@query("l03_tikhonov", f"{_G}, {_NORMS}, regular AS (SELECT i, j, v + CASE WHEN i = j AND i < {COLUMNS} THEN 0.1::DOUBLE * 0.1::DOUBLE * norm ELSE 0 END AS v FROM g LEFT JOIN norms ON c = i), {eliminated('regular', COLUMNS)} SELECT col, {q6('x')} AS x FROM x")
 def l03(spark, sf_dir):
     g, r, _ = solved(spark, sf_dir)
-    return _frame(spark, solve.solve(g, r, ridge=0.1)[0])
+    return _frame(spark, solve.solve(g, r, ridge=0.1)[0]).select("col", r6("x").alias("x"))
 
 
 _TWO = f"WITH {S2}, {pairs_sql(CUTOFF)}, p1 AS (SELECT *, sqrt(r2) AS r FROM pairs WHERE r2 > 0), b AS (SELECT *, 0 AS col, 1 - (r / 0.2::DOUBLE) AS phi FROM p1 UNION ALL SELECT *, 1, r / 0.2::DOUBLE FROM p1), raw AS (SELECT frame_id, i AS site_id, d.dim, col, -phi * d.part / r AS v FROM b, LATERAL (VALUES (0, dx), (1, dy), (2, dz)) d(dim, part) UNION ALL SELECT frame_id, j, d.dim, col, phi * d.part / r FROM b, LATERAL (VALUES (0, dx), (1, dy), (2, dz)) d(dim, part)), e AS (SELECT frame_id, site_id, dim, sum(v) FILTER (WHERE col = 0) AS a0, sum(v) FILTER (WHERE col = 1) AS a1 FROM raw GROUP BY ALL), target AS (SELECT frame_id, site_id, d.dim, d.f FROM sites, LATERAL (VALUES (0, fx), (1, fy), (2, fz)) d(dim, f)), s AS (SELECT sum(a0 * a0) AS g00, sum(a0 * a1) AS g01, sum(a1 * a1) AS g11, sum(a0 * f) AS r0, sum(a1 * f) AS r1 FROM e JOIN target USING (frame_id, site_id, dim))"
@@ -162,11 +166,11 @@ def l04(spark, sf_dir):
     return _frame(spark, np.floor(x * 1e5 + 0.5) / 1e5)
 
 
-@query("l06_bootstrap_solve")
+@query("l06_bootstrap_solve", f"WITH RECURSIVE {FIT}, {_REPLICAS}, full_rows AS (SELECT * FROM entries UNION ALL SELECT frame_id, site_id, dim, {COLUMNS}, f FROM target), g AS (SELECT replica, a.col::INT AS i, b.col::INT AS j, sum(w.weight * a.v * b.v) AS v FROM full_rows a JOIN full_rows b USING (frame_id, site_id, dim) JOIN replicas w USING (frame_id) WHERE a.col <= b.col AND w.weight <> 0 GROUP BY 1, 2, 3), {eliminated('g', COLUMNS, 'replica')} SELECT replica, col, {q6('x')} AS x FROM x")
 def l06(spark, sf_dir):
-    e, t = entries(spark, sf_dir), target(spark, sf_dir)
-    full = e.union(t.select("frame_id", "site_id", "dim", F.lit(COLUMNS).alias("col"), F.col("f").alias("v")))
-    return solve.by_group(normal.gram_joined(full, replica_weights(spark, sf_dir), ("replica",)), COLUMNS, "replica")
+    full = entries(spark, sf_dir).union(target(spark, sf_dir).select("frame_id", "site_id", "dim", F.lit(COLUMNS).alias("col"), F.col("f").alias("v")))
+    triangles = normal.gram_rows(full, COLUMNS, replica_weights(spark, sf_dir), by=("replica",))
+    return solve.by_group(triangles, COLUMNS, "replica").select(F.col("replica").cast("int").alias("replica"), "col", r6("x").alias("x"))
 
 
 @query("l10_l_curve")
@@ -192,10 +196,10 @@ def l12(spark, sf_dir):
     return spark.createDataFrame([(k, float(b.beta), float(b.residual), [float(a) for a in b.alpha], [float(c) for c in b.solution]) for k, b in enumerate(trace)], "iteration int, beta double, residual double, alpha array<double>, solution array<double>")
 
 
-@query("l13_iteration")
+@query("l13_iteration", f"{_G}, {eliminated('g', COLUMNS)} SELECT col, {q6('0.8::DOUBLE * 0.5::DOUBLE * x')} AS x FROM x")
 def l13(spark, sf_dir):
     g, r, _ = solved(spark, sf_dir)
-    return _frame(spark, solve.increment(g, r, 0.5 * r, np.zeros(COLUMNS), step=0.8))
+    return _frame(spark, solve.increment(g, r, 0.5 * r, np.zeros(COLUMNS), step=0.8)).select("col", r6("x").alias("x"))
 
 
 @query("w12_column_offsets", f"WITH {S2}, k AS (SELECT DISTINCT type_id FROM sites), spec AS (SELECT a.type_id AS t1, b.type_id AS t2, (3 + a.type_id + b.type_id)::INT AS n_basis FROM k a JOIN k b ON a.type_id <= b.type_id) SELECT t1, t2, n_basis, coalesce(sum(n_basis) OVER (ORDER BY t1, t2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_column FROM spec")

@@ -8,30 +8,12 @@ from ..functions import basis
 from ..functions import geometry as g
 from ..operators import density, dispatch, inversion, large, neighbors, normal, output, ranges, solve
 from ..sources import views as v
-from .fitting import BASES, COLUMNS, CUTOFF, FIT, S2, TYPES, entries, target, weights
+from .fitting import _G, BASES, COLUMNS, CUTOFF, FIT, S2, TYPES, entries, target, weights
 from .geometry import ANG, ANGLE_LEGS, ANGLES, BOTH, CUT, DIHEDRAL_LEGS, DIHEDRALS, FRAC, HAT, HI, LO, MOLS, WIDTH, S, angle_rows, box, dihedral_rows, pairs_sql, recursion_sql
-from .registry import q6, query, r6
+from .registry import eliminated, q6, query, r6
 from .relations import GROUPS, HIST, KT, RDF, groups, rdf
 
 
-def eliminated(source: str, n: int, by: str = "", diagonal: str = "0.0") -> str:
-    """CTEs ending in x(by, col, x): Gauss-Jordan elimination, one column a step, of the augmented upper triangle `source` (by, i, j, v); `diagonal` (of i) is added."""
-    key, first, per = (f"{by}, ", f"{by}, ", f"PARTITION BY {by}") if by else ("", "", "")
-    same = f"AND f.{by} = t.{by}" if by else ""
-    keys = f"(SELECT DISTINCT {by} FROM {source}) k, " if by else ""
-    return f"""halves AS (SELECT {key}i, j, v FROM {source} WHERE i < {n} UNION ALL SELECT {key}j, i, v FROM {source} WHERE j < {n} AND i < j),
-full_square AS (SELECT {'k.' + by + ', ' if by else ''}a.i, b.j FROM {keys}range(0, {n}) a(i), range(0, {n + 1}) b(j)),
-filled AS (SELECT {'f.' + by + ', ' if by else ''}f.i, f.j, coalesce(t.v, 0) + CASE WHEN f.i = f.j THEN {diagonal.format(i='f.i')} ELSE 0 END AS v FROM full_square f LEFT JOIN halves t ON t.i = f.i AND t.j = f.j {same}),
-lines AS (SELECT {first}i, list(v ORDER BY j) AS line FROM filled GROUP BY {first}i),
-start AS (SELECT {first}list(line ORDER BY i) AS m FROM lines {'GROUP BY ' + by if by else ''}),
-steps AS (SELECT {first}1 AS k, m FROM start UNION ALL
-  SELECT {first}k + 1, list_transform(m, lambda line, i: CASE WHEN i = k THEN list_transform(line, lambda x: x / line[k]) ELSE list_transform(line, lambda x, j: x - line[k] * m[k][j] / m[k][k]) END) FROM steps WHERE k <= {n}),
-x AS (SELECT {first}(c - 1)::INT AS col, m[c][{n + 1}] AS x FROM steps, range(1, {n + 1}) t(c) WHERE k = {n + 1})"""
-
-
-_G = f"WITH RECURSIVE {FIT}, full_rows AS (SELECT * FROM entries UNION ALL SELECT frame_id, site_id, dim, {COLUMNS}, f FROM target), g AS (SELECT a.col::INT AS i, b.col::INT AS j, sum(weight * a.v * b.v) AS v FROM full_rows a JOIN full_rows b USING (frame_id, site_id, dim) JOIN weights USING (frame_id) WHERE a.col <= b.col AND weight <> 0 GROUP BY 1, 2)"
-
-
 @query("l07_conjugate_gradient", f"{_G}, {eliminated('g', COLUMNS)} SELECT col, {q6('x')} AS x FROM x")
 def l07(spark, sf_dir):
     triangle = normal.gram(entries(spark, sf_dir), target(spark, sf_dir), COLUMNS, weights(spark, sf_dir))
