@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import uniform
-from .workspace import ship, small_batches, stage
+from .workspace import ship, small_batches, stage, unstage
 
 #: Seed words of each class, in the four languages of the documents. Learned insults join "insult".
 SEEDS = {
@@ -33,11 +33,14 @@ CLASSES = ("word", "insult", "threat", "intent", "target", "negation", "report",
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
 QUOTES = set("\"“”«»")
-#: Lengths of learned stems; the log-likelihood ratio from which a word or stem counts as learned.
-STEMS, SURE = (4, 7), 14.0
+#: Lengths of learned stems; a word or stem counts as learned from a log-likelihood ratio of SURE more than the logarithm of how many were tried, so that chance finds e^-SURE of them in all.
+STEMS, SURE = (4, 7), 3.0
 #: Weight of a seed insult that nothing was learned about.
 SEED_WEIGHT = 3.0
 
+#: Path weight of an insult that is aimed at nobody in its clause.
+UNAIMED = 0.6
+
 Arc = tuple[int, str, int, str, float]  # from, class read, to, tag written, weight
 
 
@@ -102,19 +105,20 @@ def denied_object(within: int, after: int) -> Transducer:
 def grammar() -> Transducer:
     """Insult o threat o intent o target o negation o report.
 
-    Tags: i insult; t threat; o target as the object of a threat, at most two words after it; x object of a negated
+    An insult by itself has a path of small weight; one after a target weighs twice that, a reported one a third, and a
+    negated one without a target nothing. Tags: i insult; t threat; o target as the object of a threat, at most two words after it; x object of a negated
     threat; w threat at most four words after an intent; Y insult after a target, y target after an insult, in one clause;
     n insult or threat at most three words after a negation; r insult or threat in the scope of a report before it, which
     ends with the clause or the quotation, or in quotation marks.
     """
     parts = [
-        Transducer(1, [(0, "insult", 0, "i", 1.0)]),
+        Transducer(1, [(0, "insult", 0, "i", UNAIMED)]),
         Transducer(3, [(s, "threat", 1, "t", 0.0) for s in range(3)] + [(1, c, 2, "", 0.0) for c in CLASSES if c not in ("threat", "target")] + [(2, c, 0, "", 0.0) for c in CLASSES if c not in ("threat", "target")] + [(s, "target", 0, "o", 1.0) for s in (1, 2)]),
         counting(4, "intent", ["threat"], "w", 0.5),
-        Transducer(3, [(0, "target", 1, "", 0.0), (0, "insult", 2, "", 0.0), (1, "insult", 1, "Y", 0.5), (2, "target", 1, "y", 0.5)]),
-        counting(3, "negation", ["insult", "threat"], "n", -0.5),
+        Transducer(3, [(0, "target", 1, "", 0.0), (0, "insult", 2, "", 0.0), (1, "insult", 1, "Y", UNAIMED), (2, "target", 1, "y", UNAIMED)]),
+        counting(3, "negation", ["insult", "threat"], "n", -UNAIMED),
         denied_object(3, 2),
-        Transducer(3, [(0, "report", 1, "", 0.0), (0, "quote", 2, "", 0.0), (1, "quote", 2, "", 0.0), (2, "quote", 0, "", 0.0)] + [(s, c, s, "r", -0.25) for s in (1, 2) for c in ("insult", "threat")]),
+        Transducer(3, [(0, "report", 1, "", 0.0), (0, "quote", 2, "", 0.0), (1, "quote", 2, "", 0.0), (2, "quote", 0, "", 0.0)] + [(s, c, s, "r", -2 * UNAIMED / 3) for s in (1, 2) for c in ("insult", "threat")]),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -124,6 +128,8 @@ def grammar() -> Transducer:
 
 #: What a document's matches are counted into.
 FEATURES = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_intended", "threat_negated")
+#: Features that speak for toxicity (1) and against it (-1): a fitted weight of the other sign is held at 0.
+SIGNS = (1, 1, -1, -1, 1, 1, -1)
 #: A feature counts no further than this, so that long documents are not judged by their length.
 MOST_WEIGHT = 12.0
 
@@ -168,7 +174,8 @@ class Grammar:
                 out[1] += last * ("Y" in tag)
                 out[2] += "n" in tag
                 out[3] += scale * ("r" in tag)
-            elif "y" in tag:
+            elif "y" in tag:  # the target comes after its insult, which now weighs twice
+                out[0] += last
                 out[1] += last
             if "t" in tag:
                 out[5] += "w" in tag and "n" not in tag
@@ -197,14 +204,14 @@ class Grammar:
         return [min(v, MOST_WEIGHT) for v in out]
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7, most_words: int = 500) -> tuple[dict[str, tuple[str, float]], list[float]]:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7) -> tuple[dict[str, tuple[str, float]], list[float]]:
     """(lexicon, weights) from labelled documents: about `most` at most, half of them toxic, taken by a hash of the id.
 
     `labels` has doc_id and toxic and must hold only rows that may be learned from. Words, and stems of 4 to 7 letters
     (written with a star), join the insults, weighing the log odds of toxic against clean documents that have them, if
-    these are 1.5 at least and the log-likelihood ratio against chance is SURE at least. The lexicon is a model of a fixed
-    size: of these words and stems it takes the `most_words` with the largest ratios, as weaker ones say little. Weights are of a logistic
-    regression over FEATURES. Without toxic or without clean labels the seeds and fixed weights are used.
+    these are 1.5 at least and the log-likelihood ratio against chance is sure (SURE). All that are sure join; they are
+    words of the bounded sample. Weights are of a logistic regression over FEATURES, each held to its sign (SIGNS); a
+    feature that no labelled document has weighs 0. Without toxic or without clean labels the seeds and fixed weights are used.
     """
     import numpy as np
 
@@ -226,9 +233,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7,
     prior, rate = all_p / (all_p + all_q), p / (p + q)
     odds = F.log((p + 0.5) / (all_p + 1)) - F.log((q + 0.5 / shares[0]) / (all_q + 1))
     gain = F.col("p") * F.log(rate / prior) + F.when(F.col("q") > 0, q * shares[1] * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
-    found = seen.where("p >= 4").select("word", "p", odds.alias("odds"), gain.alias("gain")).where((F.col("odds") >= 1.5) & (F.col("gain") >= SURE))
+    tried = stage(seen.where("p >= 3").select("word", "p", odds.alias("odds"), gain.alias("gain")), "tried")
+    sure = SURE + float(np.log(max(1, tried.count())))
+    found = tried.where((F.col("odds") >= 1.5) & (F.col("gain") >= sure))
     chosen: dict[str, int] = {}
-    for row in found.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").limit(most_words).collect():
+    for row in found.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").collect():
         word = row["word"]  # forms within a stem that tells more, and shorter forms that no more documents have, add nothing
         within = any(word[:k] + "*" in chosen for k in range(STEMS[0], min(len(word.removesuffix("*")), STEMS[1]) + 1))
         if not within and not (word.endswith("*") and any(w.startswith(word[:-1]) and k == row["p"] for w, k in chosen.items())):
@@ -237,17 +246,31 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 16_000, seed: int = 7,
     rows = _featured(sample, lexicon, ["toxic"]).select("toxic", "features").groupBy("toxic", "features").count().collect()  # patterns, not documents
     x, y = np.array([r["features"] for r in rows]), np.array([float(r["toxic"] == 1) for r in rows])
     k = np.array([r["count"] / shares[r["toxic"]] for r in rows])
+    unstage(tried)
+    unstage(sample)
+    return lexicon, [float(v) for v in fit_weights(x, y, k)]
+
+
+def fit_weights(x, y, k):
+    """Weights (intercept first) of a logistic regression of y over the rows x, counted k times, with a small ridge and the signs of SIGNS: weights of the wrong sign leave the fit, the worst first."""
+    import numpy as np
+
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(60):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (k * (p - y)) + 0.1 * np.r_[0, w[1:]]
-        bend = (x * (k * p * (1 - p))[:, None]).T @ x + np.diag([1e-6] + [0.1] * (len(w) - 1))
-        step = np.linalg.solve(bend, slope)
-        w -= step / max(1.0, np.abs(step).max() / 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return lexicon, [float(v) for v in w]
+    free = np.ones(x.shape[1], bool)
+    while True:
+        w, own = np.zeros(x.shape[1]), x[:, free]
+        for _ in range(60):  # Newton's method
+            p = 1 / (1 + np.exp(-np.clip(own @ w[free], -30, 30)))
+            ridge = np.r_[1e-6, np.full(free.sum() - 1, 0.1)]
+            slope = own.T @ (k * (p - y)) + np.r_[0, 0.1 * w[free][1:]]
+            step = np.linalg.solve((own * (k * p * (1 - p))[:, None]).T @ own + np.diag(ridge), slope)
+            w[free] -= step / max(1.0, np.abs(step).max() / 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        wrong = np.where(free[1:], -w[1:] * np.array(SIGNS), 0.0)
+        if wrong.max(initial=0.0) <= 1e-12:
+            return w
+        free[1 + int(wrong.argmax())] = False
 
 
 def _featured(rows: DataFrame, lexicon: dict[str, tuple[str, float]], keep: list[str]) -> DataFrame:
@@ -270,7 +293,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 16_000, cut: float
 
     `labels` (doc_id, toxic) holds the rows that may be learned from; `most` bounds how many are used. Null and empty
     texts match no clause and get the lowest score; repeated rows are scored each; whole texts are read. The lexicon
-    (seeds and at most 500 learned words) and the weights are the only things sent to the workers.
+    (seeds and learned words) and the weights are the only things sent to the workers.
     """
     keep = [c for c in keep or [] if c not in ("doc_id", "features", "score", "predicted")]
     lexicon, weights = learn(docs, labels, most)

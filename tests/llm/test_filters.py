@@ -94,10 +94,10 @@ def test_grammar_reads_clauses():
     read = lambda text: dict(zip(FEATURES, g.features(text), strict=True))
     assert [g.clause(t)[0] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot")] == [["iY"], ["iYn"], ["iYr"]]
     aimed, denied, told, after = (read(t)["insult"] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot", "you idiot, he said"))
-    assert aimed == after > told > denied
+    assert aimed == after > told > denied > 0 == read("not an idiot here")["insult"]
     assert read("you idiot, he said")["insult_reported"] == 0 < read("he said you are an idiot")["insult_reported"]
-    assert read('he said "you idiot" and you idiot')["insult_reported"] == 3.0 and read("idiot that you are")["insult_aimed"] == 3.0
-    assert read("A vequality here. Nothing else")["insult"] == 2.0 and read("unvequ idiots")["insult"] == 0.0
+    assert read('he said "you idiot" and you idiot')["insult_reported"] == 3.0 and read("idiot that you are")["insult_aimed"] == pytest.approx(1.8)
+    assert read("A vequality here. Nothing else")["insult"] == pytest.approx(1.2) and read("unvequ idiots")["insult"] == 0.0
     assert read("i will kill you")["threat_aimed"] == read("i will kill you")["threat_intended"] == 1
     denied = read("i will not kill you")
     assert denied["threat_aimed"] == denied["threat_intended"] == 0 and denied["threat_negated"] == 1
@@ -105,6 +105,30 @@ def test_grammar_reads_clauses():
     assert g.features(None) == g.features("") == [0.0] * len(FEATURES)
 
 
+def test_order_of_a_clause_decides():
+    """The same words in another order score otherwise: what is scored is the path through the clause."""
+    from itertools import permutations
+
+    g, weights = Grammar(LEXICON), [-3.0, 1.5, 0.5, -0.5, -0.5, 3.0, 0.5, -0.5]
+    for words in (["you", "idiot", "not", "tree"], ["said", "you", "idiot"], ["will", "not", "kill", "you"]):
+        scores = {round(weights[0] + sum(w * x for w, x in zip(weights[1:], g.features(" ".join(p)), strict=True)), 9) for p in permutations(words)}
+        assert len(scores) > 1, words
+    lines = [" ".join(p) for p in permutations(["he", "said", "you", "will", "not", "kill", "idiot"])]
+    assert len({tuple(g.features(t)) for t in lines}) > 20
+
+
+def test_fitted_weights_keep_their_signs():
+    import numpy as np
+
+    from tessera.llm.toxicity import SIGNS, fit_weights
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (400, len(FEATURES))).astype(float)
+    y = (x @ np.array([2.0, -1.0, 1.5, -1.0, 1.0, 0.0, 0.5]) + rng.normal(size=400) > 3).astype(float)  # three of the signs are against SIGNS
+    w = fit_weights(x, y, np.ones(400))
+    assert all(v * s >= 0 for v, s in zip(w[1:], SIGNS, strict=True)) and w[1] > 0 and w[2] == w[3] == 0 and w[4] < 0 < w[5]
+
+
 def test_grammar_reads_long_clauses_whole():
     g, far = Grammar(LEXICON), "word " * 1000
     assert g.features(f"you are {far} an idiot")[1] > 0 and g.features(f"he said {far} an idiot")[3] > 0 and g.features(f"an idiot {far} are you")[1] > 0
@@ -127,7 +151,7 @@ def plain_features(kinds):
             told = quoted or reported
         if kind == "insult":
             aimed = "target" in kinds[:k]
-            weight = 3.0 * max(0.0, 1 + 0.5 * aimed - 0.5 * denied - 0.25 * told)
+            weight = 3.0 * max(0.0, 0.6 + 0.6 * aimed - 0.6 * denied - 0.4 * told)
             out[0] += weight
             out[1] += weight * aimed
             out[2] += denied
@@ -143,6 +167,7 @@ def plain_features(kinds):
     first = kinds.index("target") if "target" in kinds else -1
     before = [w for k, w in weights if k < first]
     if before:
+        out[0] += before[-1]
         out[1] += before[-1]
     return out
 
