@@ -1,8 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into text blocks. A small classifier gives each block a cost of calling it content and one of calling it
-boilerplate; these are the capacities to the two terminals. Blocks that follow each other, and blocks near each other in
-the DOM, are joined by smoothness edges. The minimum cut, found by max-flow, is the cheapest labelling.
+A page is read into text blocks. A linear classifier over a block's marks, place, links, length, ending and element gives
+its log odds of being content; these become the capacities to the two terminals. Blocks that follow each other, and
+blocks near each other in the DOM, are joined by smoothness edges. The minimum cut, found by max-flow, is the cheapest
+labelling. The classifier is fitted to a bounded sample of the pages that say themselves what their article is; the
+sample is read with and without these signs, so that it also learns what content looks like where nothing says so.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +49,10 @@ LETTERS = re.compile(r"[A-Za-z][a-z]*")
 
 
 class Block:
-    __slots__ = ("chars", "good", "inside", "linked", "marked", "parent", "parts", "tag", "text")
+    __slots__ = ("chars", "good", "inside", "linked", "marked", "own", "parent", "parts", "tag", "text")
 
-    def __init__(self, tag: str, parent: int, marked: bool, inside: bool, good: bool):
-        self.tag, self.parent, self.marked, self.inside, self.good = tag, parent, marked, inside, good
+    def __init__(self, tag: str, own: int, parent: int, marked: bool, inside: bool, good: bool):
+        self.tag, self.own, self.parent, self.marked, self.inside, self.good = tag, own, parent, marked, inside, good
         self.parts: list[str] = []
         self.chars = self.linked = 0
         self.text = ""
@@ -75,8 +78,9 @@ def blocks_of(page: str) -> list[Block]:
             if now is None:
                 if raw.isspace():
                     continue
-                holder = next((e for e in reversed(open_) if e[0] in BLOCK), open_[0])
-                now = Block(holder[0], holder[1], open_[-1][2], open_[-1][3], open_[-1][4])
+                held = list(islice((e for e in reversed(open_) if e[0] in BLOCK), 2))  # the block element that holds the text, and the one around it
+                holder, around = (*held, open_[0], open_[0])[:2]
+                now = Block(holder[0], holder[1], around[1], open_[-1][2], open_[-1][3], open_[-1][4])
                 out.append(now)
             now.parts.append(raw)
             n = len(raw)
@@ -126,33 +130,30 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def costs(block: Block) -> tuple[int, int]:
-    """(cost of content, cost of boilerplate): how much speaks against either label, in small whole numbers.
+#: What a block is known by; `outside`: not in the article of a page that has one.
+FEATURES = ("bias", "marked", "inside", "outside", "good", "links", "words", "few_words", "ends", "paragraph", "heading", "item")
+#: Weights where no page says what its article is, set by hand; fitted ones start from here and are drawn back to it.
+WEIGHTS = (0.0, -15.0, 10.0, 0.0, 4.0, -6.0, 5.0, -2.0, 1.5, 1.0, 1.5, -1.0)
+#: Capacity of a unit of log odds, and the most that a block's own capacity comes to.
+SCALE, MOST_CAPACITY = 4, 80
+
+
+def features(block: Block, has_body: bool, signs: bool = True, marks: bool = True) -> list[float]:
+    """FEATURES of a block of a page; without `signs` as if nothing were in or out of an article or named as content, without `marks` as if nothing were marked."""
+    words = block.text.count(" ") + 1
+    inside, marked = signs and block.inside, marks and block.marked
+    return [
+        1.0, float(marked), float(inside), float(signs and has_body and not block.inside), float(signs and block.good and not inside), block.linked / max(1, block.chars), min(words, 40) / 40,
+        float(words < 10 and not inside), float(words > 3 and block.text[-1:] in ".!?…\"”»:"), float(block.tag in ("p", "pre", "blockquote")), float(block.tag in ("h1", "h2", "h3") and not marked),
+        float(block.tag in ("li", "td", "th", "body", "html", "") and not inside),
+    ]
 
-    A linear classifier over the block's marks, place, link density, length, ending and element. Its weights are set, not
-    fitted: there are no labelled pages to fit them to.
-    """
-    words, links = block.text.count(" ") + 1, block.linked / max(1, block.chars)
-    content = boiler = 0
-    if block.marked:
-        content += 60
-    if block.inside:
-        boiler += 40
-    elif block.good:
-        boiler += 16
-    content += int(24 * links)
-    boiler += min(words, 40) // 2
-    if not block.inside and words < 10:
-        content += 8
-    if block.text[-1:] in ".!?…\"”»:" and words > 3:
-        boiler += 6
-    if block.tag in ("p", "pre", "blockquote"):
-        boiler += 4
-    elif block.tag in ("h1", "h2", "h3") and not block.marked:
-        boiler += 6
-    elif block.tag in ("li", "td", "th", "body", "html", "") and not block.inside:
-        content += 4
-    return content, boiler
+
+def costs(block: Block, has_body: bool, weights: tuple[float, ...] = WEIGHTS) -> tuple[int, int]:
+    """(cost of content, cost of boilerplate): the classifier's log odds as a capacity against the label that they speak against."""
+    odds = sum(w * x for w, x in zip(weights, features(block, has_body), strict=True))
+    capacity = max(-MOST_CAPACITY, min(MOST_CAPACITY, round(SCALE * odds)))
+    return max(0, -capacity), max(0, capacity)
 
 
 def min_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -211,35 +212,94 @@ def min_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, int]])
                     break
 
 
-def extract(page: str | None) -> str:
-    """The content blocks of a page, one a line; empty if there are none."""
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Edges (a, b, capacity): blocks in sequence, most where one element holds both and least where marks or articles begin or end, and siblings that others stand between."""
+    edges = []
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if i:
+            a = blocks[i - 1]
+            alike = a.marked == b.marked and a.inside == b.inside
+            together = a.parent == b.parent or a.own in (b.own, b.parent) or b.own == a.parent
+            edges.append((i - 1, i, 9 if together and alike else 3 if alike or together else 1))
+        if last.get(b.parent, i) < i - 1:
+            edges.append((last[b.parent], i, 3))
+        last[b.parent] = i
+    return edges
+
+
+def extract(page: str | None, weights: tuple[float, ...] = WEIGHTS, cut: bool = True) -> str:
+    """The content blocks of a page, one a line; empty if there are none. Without `cut`, each block is labelled by its own costs alone."""
     if not page:
         return ""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    edges = [(i, i + 1, 6 if a.parent == b.parent else 3 if a.marked == b.marked and a.inside == b.inside else 1) for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False))]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):  # siblings that other blocks stand between
-        if b.parent in last and last[b.parent] < i - 1:
-            edges.append((last[b.parent], i, 3))
-        last[b.parent] = i
-    content = min_cut([costs(b) for b in blocks], edges)
+    has_body = any(b.inside for b in blocks)
+    content = min_cut([costs(b, has_body, weights) for b in blocks], smoothness(blocks) if cut else [])
     return "\n".join(b.text for b, keep in zip(blocks, content, strict=True) if keep)
 
 
-def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
+def fit(pages: DataFrame, html_col: str = "html", most_pages: int = 600, seed: int = 5, ridge: float = 1.0) -> tuple[float, ...]:
+    """Weights of FEATURES from about `most_pages` pages that have an article or main element, taken by a hash of their text.
+
+    A block's own label is whether it is in that element without being marked as boilerplate there. Each page is read
+    three times: as it is, as if no element said what the article is, and as if nothing was marked either. The driver
+    gets the sample's distinct feature rows. `ridge` draws the weights to WEIGHTS, so that what the sample says nothing
+    about stays as it was set; without such pages they are WEIGHTS.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    ship(pages.sparkSession)
+    said = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]"))
+    n = said.count()
+    if not n:
+        return WEIGHTS
+    share = min(1.0, most_pages / n)
+    sample = said.where(F.pmod(F.xxhash64(F.lit(seed), html_col), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).select(html_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows, content = [], []
+            for page in batch.column(0).to_pylist():
+                blocks = blocks_of(page)
+                if not any(b.inside for b in blocks):
+                    continue
+                for signs, marks in ((True, True), (False, True), (False, False)):
+                    rows += [[round(x, 2) for x in features(b, True, signs, marks)] for b in blocks]
+                    content += [b.inside and not b.marked for b in blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(content, pa.bool_())], ["x", "y"])
+
+    found = sample.mapInArrow(run, "x array<double>, y boolean").groupBy("x", "y").count().collect()  # of a bounded sample
+    if len({r["y"] for r in found}) < 2:
+        return WEIGHTS
+    x, y, k = np.array([r["x"] for r in found]), np.array([float(r["y"]) for r in found]), np.array([float(r["count"]) for r in found])
+    prior = np.array(WEIGHTS)
+    w = prior.copy()
+    for _ in range(100):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (k * (p - y)) + ridge * (w - prior))
+        w -= step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(float(v) for v in w)
+
+
+def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
     """The columns `keep`, text string and n_chars long (code points) for each row of `pages`.
 
-    Null and empty pages and pages without content give an empty text. Repeated rows are read each; other columns are
-    not read. Pages are independent: no shuffle; the graph of a page has a node for each of its blocks.
+    `weights` are the classifier's, fitted to the pages themselves if none are given (`fit`). Null and empty pages and
+    pages without content give an empty text. Repeated rows are read each; other columns are not read. Pages are
+    independent: no shuffle; the graph of a page has a node for each of its blocks.
     """
     ship(pages.sparkSession)
     names = [*keep, "text", "n_chars"]
+    known = weights if weights is not None else fit(pages, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts = [extract(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [extract(p, known) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
     rows = pages.select(*keep, html_col)

@@ -6,7 +6,7 @@ import re
 import time
 from itertools import product
 
-from tessera.llm.html_extract import extract, extract_main_text, min_cut
+from tessera.llm.html_extract import WEIGHTS, extract, extract_main_text, fit, min_cut
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies, please accept them all right now.</div>
@@ -53,6 +53,40 @@ def test_extract_time_is_linear_in_junk():
     assert time.perf_counter() - start < 60
 
 
+def unmarked_page(rng, number):
+    """(html, content lines) of a page that names nothing: short lines among its paragraphs, and whole sentences among its links."""
+    words = lambda n: " ".join(rng.choice("river stone market light garden winter letter harbour number quiet morning table".split()) for _ in range(n))
+    lines = [f"{number} {k} " + (words(rng.randint(2, 4)) if rng.random() < 0.3 else words(rng.randint(12, 40)) + ".") for k in range(rng.randint(6, 12))]
+    links = lambda: "".join(f"<div><a href=x>{words(2)}</a></div>" if rng.random() < 0.8 else f"<div>{words(12)}.</div>" for _ in range(rng.randint(8, 14)))
+    flat = lambda rows: "<div>" + re.sub(r"</?div>", lambda m: {"<div>": "<p>", "</div>": "</p>"}[m[0]], rows) + "</div>"
+    return f"<body><div>{flat(links())}</div><div>{''.join(f'<p>{x}</p>' for x in lines)}</div><div>{flat(links())}</div></body>", lines
+
+
+def test_the_cut_mends_what_blocks_alone_get_wrong():
+    """On pages without article elements or marks, short lines of the text stay and sentences among links go."""
+    rng, cut_wrong, alone_wrong, total = random.Random(4), 0, 0, 0
+    for number in range(60):
+        page, lines = unmarked_page(rng, number)
+        want = set(lines)
+        total += len(want)
+        for cut in (True, False):
+            wrong = len(want ^ set(extract(page, cut=cut).split("\n")))
+            cut_wrong, alone_wrong = cut_wrong + wrong * cut, alone_wrong + wrong * (not cut)
+    assert alone_wrong > 0.2 * total and cut_wrong < alone_wrong / 2
+
+
+def test_weights_are_fitted_and_an_article_element_is_no_switch(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = fit(pages)
+    assert weights != WEIGHTS and len(weights) == len(WEIGHTS) and weights == fit(pages)
+    assert fit(pages.where("false")) == WEIGHTS == fit(spark.createDataFrame([("<p>no article</p>",), (None,)], "html string"))
+    for r in pages.collect():
+        bare = re.sub(r"</?article>", "", r["html"])
+        assert extract(bare, weights) == extract(r["html"], weights)  # the same text where no element says what the article is
+    beside = "<article><p>Only these few words here.</p></article><div><p>" + "A long unmarked paragraph that stands outside it. " * 8 + "</p></div>"
+    assert "Only these few words here." in extract(beside, weights)
+
+
 def test_min_cut_like_brute_force():
     random.seed(1)
     for _ in range(200):
