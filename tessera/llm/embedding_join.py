@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import connected_components, ship, stage
+from .workspace import connected_components, ship, stage, unstage
 
 #: Vectors of a label that meet its pivots together, about: the pivots go to a task once for each such group, not with each vector.
 GROUP = 4096
@@ -40,17 +40,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int):
     return np.asarray(flat.flatten(), float).reshape(len(column), dim) if len(column) else np.zeros((0, dim))
 
 
-def pivots_of(classes: DataFrame, per_pivot: int, most: int, seed: int) -> DataFrame:
-    """(label, dim, pivots): for each label, one vector in `per_pivot`, at most `most` of them, taken by a hash of the id."""
+def pivots_of(classes: DataFrame, per_pivot: int | None, most: int, seed: int) -> DataFrame:
+    """(label, dim, pivots): vectors of each label taken by a hash of the id: about a quarter of the square root of its number (or one in `per_pivot`), at most `most` and at least one."""
     counts = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n"), F.lit(1.0 / per_pivot))
-    keyed = classes.join(counts, ["label", "dim"]).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53))
-    chosen = keyed.where((F.col("u") < share) & (F.col("n") > per_pivot)).groupBy("label", "dim").agg(F.slice(F.array_sort(F.collect_list(F.struct("u", "id", "vec"))), 1, most).alias("p"))
+    wanted = F.sqrt("n") / 4 if per_pivot is None else F.col("n") / per_pivot
+    keyed = classes.join(counts.select("label", "dim", (F.least(F.lit(float(most)), wanted) / F.col("n")).alias("share")), ["label", "dim"]).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53))
+    chosen = keyed.where(F.col("u") < F.col("share")).groupBy("label", "dim").agg(F.slice(F.array_sort(F.collect_list(F.struct("u", "id", "vec"))), 1, most).alias("p"))
     some = keyed.groupBy("label", "dim").agg(F.min(F.struct("u", "id", "vec")).alias("one"))
     return some.join(chosen, ["label", "dim"], "left").select("label", "dim", F.transform(F.coalesce("p", F.array("one")), lambda x: x["vec"]).alias("pivots"))
 
 
-def near_vectors(rows: DataFrame, cosine: float = 0.98, per_pivot: int = 2000, most_pivots: int = 256, tile: int = 2048, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(rows: DataFrame, cosine: float = 0.98, per_pivot: int | None = None, most_pivots: int = 1024, tile: int = 2048, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links (other rows linked directly), component_id, kept for each row of `rows`.
 
     Rows are compared if their labels are equal and not null; dimensions must be equal too. Null, empty and zero vectors,
@@ -147,11 +147,16 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, per_pivot: int = 2000, m
         return pa.table({"id": pa.array(np.concatenate([ids[a], np.array([v for v, _ in low], np.int64)]), pa.int64()), "to": pa.array([None] * len(a) + [r for _, r in low], pa.int64()), "links": pa.array(np.concatenate([links, np.zeros(len(low), np.int64)]), pa.int64())})
 
     found = stage(both.groupBy("label", "dim", "cell", "i", "j").applyInArrow(join, "id long, to long, links long"), "vector-links")
+    for table in (pivots, spanned, dealt, classes):
+        unstage(table)
     comps = connected_components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
     heads = units.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     members = units.select("id", "key").join(heads, "key").join(links.withColumnRenamed("id", "head"), "head", "left").join(comps.withColumnRenamed("id", "head"), "head", "left")
     members = members.select(F.col("id").alias("linked_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
+    members = stage(members, "vector-members")
+    for table in (units, found, comps):
+        unstage(table)
     out = rows.select(F.col(id_col).cast("long").alias("vec_id")).join(members, F.col("vec_id") == F.col("linked_id"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
 

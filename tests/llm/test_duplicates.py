@@ -192,6 +192,15 @@ def test_vectors_of_the_table(spark, sf_dir):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df, cosine=0.5, per_pivot=15).collect()} == want
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    """A repeated id is one row for links, its smallest vector; null ids link with nothing and stay; vectors just on either side of the cosine."""
+    turned = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, turned(0.9801), 1), (3, turned(-0.9799), 1), (4, [-1.0, 0.0], 1), (5, turned(0.9799), 2), (6, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (None, None, None)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows) and sum(r["vec_id"] is None for r in got) == 2
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), None: (0, None)}
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(i, 200) for i in range(201, 260)] + [(5, 5), (None, 3)]
     random.seed(4)
