@@ -29,15 +29,18 @@ def pair_entries(pairs: DataFrame, basis: Column, first_column: Column | int = 0
 
 
 def site_entries(params: DataFrame, basis: Column, parts: dict[str, tuple[Column, ...]], last: str, first_column: Column | int = 0) -> DataFrame:
-    """Entries of angles, dihedrals and the like: -phi * gradient on each site of `parts`, plus their sum on `last`."""
+    """Entries of angles, dihedrals and the like: phi * gradient of the parameter on each site of `parts`, and minus their sum on `last`.
+
+    phi is a force along the parameter, as for pairs, where it pushes both sites along the slopes of their distance.
+    """
     lit = F.lit(first_column) if isinstance(first_column, int) else first_column
     dims = range(len(next(iter(parts.values()))))
     held = params.select("*", *[grad[n].alias(f"_{site}_{n}") for site, grad in parts.items() for n in dims])  # each gradient worked out once
     cells = []
     for n in dims:
         own = [F.col(f"_{site}_{n}") for site in parts]
-        cells += [F.struct(F.col(site).alias("site_id"), F.lit(n).alias("dim"), (-x).alias("part")) for site, x in zip(parts, own, strict=True)]
-        cells.append(F.struct(F.col(last).alias("site_id"), F.lit(n).alias("dim"), sum(own[1:], own[0]).alias("part")))
+        cells += [F.struct(F.col(site).alias("site_id"), F.lit(n).alias("dim"), x.alias("part")) for site, x in zip(parts, own, strict=True)]
+        cells.append(F.struct(F.col(last).alias("site_id"), F.lit(n).alias("dim"), (-sum(own[1:], own[0])).alias("part")))
     wide = held.withColumn("base", lit).withColumn("h", F.explode(F.array(*cells))).withColumn("b", F.explode(basis))
     return wide.select("frame_id", "h.site_id", "h.dim", (F.col("base") + F.col("b.idx")).cast("int").alias("col"), (F.col("b.val") * F.col("h.part")).alias("v"))
 

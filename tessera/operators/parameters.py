@@ -9,21 +9,24 @@ from ..functions import geometry as g
 from ..functions import keys
 
 
-def _at(listed: DataFrame, sites: DataFrame, role: str, axes: str, by_frame: bool) -> DataFrame:
-    of = sites.select(*(["frame_id"] if by_frame else []), F.col("site_id").alias(role), F.col("type_id").alias(f"type_{role}"), *[F.col(a).alias(f"{a}_{role}") for a in axes])
+def _at(listed: DataFrame, sites: DataFrame, role: str, axes: str, by_frame: bool, also: list[str]) -> DataFrame:
+    of = sites.select(*(["frame_id"] if by_frame else []), *also, F.col("site_id").alias(role), F.col("type_id").alias(f"type_{role}"), *[F.col(a).alias(f"{a}_{role}") for a in axes])
     return listed.join(of, ["frame_id", role] if by_frame and "frame_id" in listed.columns else role)
 
 
 def bonded(listed: DataFrame, sites: DataFrame, kind: str, box: tuple | None = None, frames: bool = False) -> DataFrame:
     """The listed bonds (i, j), angles (k, j, l) or dihedrals (k, i, j, l) with type_* and the parameter p.
 
-    Equi-joins of the topology with positions on the site (and the frame if `frames`). Missing sites drop the row.
+    Equi-joins of the topology with positions on the site (and the frame if `frames`). Missing sites drop the row. A
+    box may be named by the sites' columns, for boxes that change from frame to frame; these columns are kept.
     """
     axes = "xyz"
+    named = [side for side in box or () if isinstance(side, str)]
     roles = {"bond": ("i", "j"), "angle": ("k", "j", "l"), "dihedral": ("k", "i", "j", "l")}[kind]
     out = listed
     for r in roles:
-        out = _at(out, sites, r, axes, frames)
+        out = _at(out, sites, r, axes, frames, named if r == roles[0] else [])
+    box = tuple(F.col(side) if isinstance(side, str) else side for side in box) if box else box
     at = {r: tuple(F.col(f"{a}_{r}") for a in axes) for r in roles}
     if kind == "bond":
         p = g.norm(g.displacement(at["i"], at["j"], box))

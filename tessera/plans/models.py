@@ -65,7 +65,7 @@ def _hats(lo: float, hi: float, width: float, rows: str = "param") -> str:
 
 @query("a10_angle_entries", f"""WITH {MOLS}, {BOTH}, {ANGLES}, {ANGLE_LEGS}, {ANG}, sized AS (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS ru, sqrt(vx * vx + vy * vy + vz * vz) AS rv FROM ang WHERE c IS NOT NULL),
 param AS (SELECT k, j, l, degrees(acos(c)) AS p, {', '.join(f'{_AK.format(a)} AS gk{n}, {_AL.format(a)} AS gl{n}' for n, a in enumerate('xyz'))} FROM sized), {_hats(0.0, 180.0, 30.0)},
-ends AS (SELECT d.site_id, d.dim, col, phi * d.part AS v FROM hat_rows, LATERAL (VALUES {', '.join(f'(k, {n}, -gk{n}), (l, {n}, -gl{n}), (j, {n}, gk{n} + gl{n})' for n in range(3))}) d(site_id, dim, part))
+ends AS (SELECT d.site_id, d.dim, col, phi * d.part AS v FROM hat_rows, LATERAL (VALUES {', '.join(f'(k, {n}, gk{n}), (l, {n}, gl{n}), (j, {n}, -gk{n} - gl{n})' for n in range(3))}) d(site_id, dim, part))
 SELECT site_id, dim, col, {q6('sum(v)')} AS v FROM ends GROUP BY ALL""")
 def a10_angle(spark, sf_dir):
     at_k, at_l = g.angle_derivatives(g.cols("ux uy uz"), g.cols("vx vy vz"))
@@ -75,19 +75,19 @@ def a10_angle(spark, sf_dir):
     return normal.collected(made).select("site_id", "dim", "col", r6("v").alias("v"))
 
 
-_DEG_K = "degrees(-sqrt(mx * mx + my * my + mz * mz) * p{0} / (px * px + py * py + pz * pz))"
-_DEG_L = "degrees(sqrt(mx * mx + my * my + mz * mz) * q{0} / (qx * qx + qy * qy + qz * qz))"
+_RAD_K = "(-sqrt(mx * mx + my * my + mz * mz) * p{0} / (px * px + py * py + pz * pz))"
+_RAD_L = "(sqrt(mx * mx + my * my + mz * mz) * q{0} / (qx * qx + qy * qy + qz * qz))"
 
 
 @query("a10_dihedral_entries", f"""WITH {MOLS}, {BOTH}, {DIHEDRALS}, {DIHEDRAL_LEGS},
-pulls AS (SELECT *, (ex * mx + ey * my + ez * mz) / (mx * mx + my * my + mz * mz) AS s, (nx * mx + ny * my + nz * mz) / (mx * mx + my * my + mz * mz) AS t, {', '.join(f'{_DEG_K.format(a)} AS gk{n}, {_DEG_L.format(a)} AS gl{n}' for n, a in enumerate('xyz'))} FROM dih WHERE p IS NOT NULL),
+pulls AS (SELECT *, (ex * mx + ey * my + ez * mz) / (mx * mx + my * my + mz * mz) AS s, (nx * mx + ny * my + nz * mz) / (mx * mx + my * my + mz * mz) AS t, {', '.join(f'{_RAD_K.format(a)} AS gk{n}, {_RAD_L.format(a)} AS gl{n}' for n, a in enumerate('xyz'))} FROM dih WHERE p IS NOT NULL),
 param AS (SELECT k, i, j, l, p, {', '.join(f'gk{n}, gl{n}, t * gl{n} - (1 + s) * gk{n} AS gi{n}' for n in range(3))} FROM pulls), {_hats(-180.0, 180.0, 60.0)},
-ends AS (SELECT d.site_id, d.dim, col % 6 AS col, phi * d.part AS v FROM hat_rows, LATERAL (VALUES {', '.join(f'(k, {n}, -gk{n}), (l, {n}, -gl{n}), (i, {n}, -gi{n}), (j, {n}, gk{n} + gl{n} + gi{n})' for n in range(3))}) d(site_id, dim, part))
+ends AS (SELECT d.site_id, d.dim, col % 6 AS col, phi * d.part AS v FROM hat_rows, LATERAL (VALUES {', '.join(f'(k, {n}, gk{n}), (l, {n}, gl{n}), (i, {n}, gi{n}), (j, {n}, -gk{n} - gl{n} - gi{n})' for n in range(3))}) d(site_id, dim, part))
 SELECT site_id, dim, col::INT AS col, {q6('sum(v)')} AS v FROM ends GROUP BY ALL""")
 def a10_dihedral(spark, sf_dir):
-    """Dihedrals on the whole circle: seven hat functions, the last being the first."""
+    """Dihedrals on the whole circle: seven hat functions, the last being the first; forces are per radian, as dihedral tables take them."""
     at = [g.cols(" ".join(f"{a}_{r}" for a in "xyz")) for r in ("k", "i", "j", "l")]
-    at_k, at_l, at_i = g.dihedral_derivatives(*at, v.MOL_BOX)
+    at_k, at_l, at_i = (tuple(F.radians(x) for x in grad) for grad in g.dihedral_derivatives(*at, v.MOL_BOX))
     rows = dihedral_rows(spark, sf_dir).where("p is not null").withColumn("frame_id", F.lit(0))
     round_trip = F.transform(basis.hat(F.col("p"), -180.0, 180.0, 60.0), lambda b: F.struct(basis.periodic_index(b["idx"], 6).alias("idx"), b["val"].alias("val")))
     return normal.collected(normal.site_entries(rows, round_trip, {"k": at_k, "l": at_l, "i": at_i}, "j")).select("site_id", "dim", "col", r6("v").alias("v"))
