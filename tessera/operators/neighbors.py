@@ -102,10 +102,22 @@ def without_excluded(pairs: DataFrame, exclusions: DataFrame) -> DataFrame:
     return pairs.join(out, (low == out["ex_i"]) & (high == out["ex_j"]), "left_anti")
 
 
-def triples(sites: DataFrame, cutoff: float, box: tuple[float, ...], exclusions: DataFrame | None = None) -> DataFrame:
+def outside_molecules(pairs: DataFrame, molecules: DataFrame) -> DataFrame:
+    """Pairs whose sites no path of bonds of any length joins. molecules: (id, molecule) of bonded sites (`topology.reachable`).
+
+    Two joins on the site; the pairs within molecules, which grow as the square of a molecule, are never made.
+    """
+    here = molecules.select(F.col("id").alias("at_i"), F.col("molecule").alias("own_i"))
+    there = molecules.select(F.col("id").alias("at_j"), F.col("molecule").alias("own_j"))
+    met = pairs.join(here, pairs["i"] == here["at_i"], "left").join(there, pairs["j"] == there["at_j"], "left")
+    return met.where(F.col("own_i").isNull() | F.col("own_j").isNull() | (F.col("own_i") != F.col("own_j"))).select(*pairs.columns)
+
+
+def triples(sites: DataFrame, cutoff: float, box: tuple[float | str, ...], exclusions: DataFrame | None = None) -> DataFrame:
     """(frame_id, centre, k, l, types, leg vectors u and v): each centre with each unordered pair of its neighbours, k < l.
 
     A self-join of the directed neighbour list on (frame, centre); both legs must be within the cutoff and not excluded.
+    Boxes may change from frame to frame, as in `pairs`.
     """
     near = pairs(sites, cutoff, box, directed=True)
     near = near if exclusions is None else without_excluded(near, exclusions)
@@ -115,7 +127,7 @@ def triples(sites: DataFrame, cutoff: float, box: tuple[float, ...], exclusions:
     return u.join(v, (F.col("frame_id") == F.col("frame_v")) & (F.col("centre") == F.col("centre_v")) & (F.col("k") < F.col("l"))).drop("frame_v", "centre_v")
 
 
-def density_pairs(sites: DataFrame, groups: DataFrame, cutoff: float, box: tuple[float, ...], exclusions: DataFrame | None = None) -> DataFrame:
+def density_pairs(sites: DataFrame, groups: DataFrame, cutoff: float, box: tuple[float | str, ...], exclusions: DataFrame | None = None) -> DataFrame:
     """(frame_id, i, j, home, other, weight, r2, d*): ordered neighbours fanned out by the groups of both types, r < cutoff.
 
     groups: (group_id, type_id, weight), a relation over types, so bounded by groups x types.

@@ -47,7 +47,7 @@ def reachable(bonds: DataFrame, most_rounds: int = 40, checkpoint: bool = True)
         now = near.join(jump, "molecule").select("id", F.col("further").alias("molecule"))
         now = now.checkpoint() if cut else now.persist()
         held.append(now)
-        mark = now.agg(F.sum("molecule")).first()[0]
+        mark = now.agg(F.sum(F.col("molecule").cast("decimal(38,0)"))).first()[0]  # labels only fall, so an equal sum is the same labels; wide enough for any ids
         for old in [] if cut else held[:-1]:
             old.unpersist()
         held = held[-1:]
@@ -62,7 +62,7 @@ def exclusions(bonds: DataFrame, style: int) -> DataFrame:
     one = bonds.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j")
     if style == 0:
         return one.where("false")
-    if style == 5:  # pairs within molecules: bounded by the largest molecule's size squared
+    if style == 5:  # pairs within molecules, as the square of a molecule's size: to leave them out of neighbours, use neighbors.outside_molecules
         m = reachable(bonds)
         return m.select(F.col("id").alias("i"), "molecule").join(m.select(F.col("id").alias("j"), "molecule"), "molecule").where("i < j").select("i", "j")
     if style not in (2, 3, 4):

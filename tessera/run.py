@@ -38,7 +38,7 @@ class System:
     bonds: DataFrame
     angles: DataFrame
     dihedrals: DataFrame
-    exclusions: DataFrame
+    exclusions: DataFrame  # (i, j); for exclusions of style 5, (id, molecule)
 
 
 def load(spark: SparkSession, control: Control, top: Topology, trajectory: DataFrame) -> System:
@@ -50,7 +50,8 @@ def load(spark: SparkSession, control: Control, top: Topology, trajectory: DataF
     inferred = {style: _of_style(spark, top, made, style) for style in (2, 3)}
     angles = topology.angles(inferred[2].union(inferred[3])).union(made["angles"].select("k", "j", "l"))
     dihedrals = topology.dihedrals(inferred[3]).union(made["dihedrals"].select("k", "i", "j", "l"))
-    return System(control, sites, made["bonds"], angles, dihedrals, topology.exclusions(made["bonds"], control.exclusion_style))
+    excluded = topology.reachable(made["bonds"]) if control.exclusion_style == 5 else topology.exclusions(made["bonds"], control.exclusion_style)
+    return System(control, sites, made["bonds"], angles, dihedrals, excluded)
 
 
 def _of_style(spark: SparkSession, top: Topology, made: dict[str, DataFrame], style: int) -> DataFrame:
@@ -69,7 +70,9 @@ def class_parameters(system: System, kind: str) -> DataFrame:
     control = system.control
     if kind == "nonbonded":
         near = neighbors.pairs(system.sites, control.nonbonded_cutoff, BOX)
-        if control.exclusion_style:
+        if control.exclusion_style == 5:
+            near = neighbors.outside_molecules(near, system.exclusions)
+        elif control.exclusion_style:
             near = neighbors.without_excluded(near, system.exclusions)
         pair = [F.least("type_id_i", "type_id_j").alias("t1"), F.greatest("type_id_i", "type_id_j").alias("t2")]
         return near.where("r2 > 0").select("frame_id", "i", "j", *pair, F.sqrt("r2").alias("p"), "r2", "dx", "dy", "dz")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import basis, kernels
-from tessera.operators import density, dispatch, inversion, large, neighbors, normal, output, solve, tables
+from tessera.operators import density, dispatch, inversion, large, neighbors, normal, output, solve, tables, topology
 from tessera.streaming import stateful
 
 SITE = "frame_id int, site_id long, type_id int, x double, y double, z double"
@@ -299,3 +299,31 @@ def test_finished_dihedral_uses_tables(spark):
     assert [r["c"] for r in c.orderBy("idx").collect()] == [0.0, 1.0, 2.0, 3.0, 0.0, 1.0, 2.0]
     done = output.finished(specs, c, ["t"], model)
     assert done.agg(F.min("u")).first()[0] == pytest.approx(0.0) and tables.trim(done, -180.0, 180.0).count() == done.count()
+
+
+def test_pairs_outside_molecules(spark):
+    """Leaving molecules out by two joins is leaving out every pair that bonds reach."""
+    rng = np.random.default_rng(12)
+    sites = spark.createDataFrame([(f, i, 1, *map(float, rng.uniform(0, 4, 3))) for f in range(2) for i in range(40)], SITE)
+    bonds = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 7 != 6] + [(33, 31)], "i long, j long")
+    near = neighbors.pairs(sites, 1.5, (4.0,) * 3)
+    key = lambda df: {(r["frame_id"], r["i"], r["j"]) for r in df.collect()}
+    got = key(neighbors.outside_molecules(near, topology.reachable(bonds)))
+    assert got == key(neighbors.without_excluded(near, topology.exclusions(bonds, 5))) and got < key(near)
+    assert key(neighbors.outside_molecules(near, topology.reachable(bonds).where("false"))) == key(near)
+
+
+def test_triples_and_densities_in_boxes_by_frame(spark):
+    """Frames with boxes of their own give what each gives alone in its box."""
+    rng = np.random.default_rng(13)
+    boxes = {0: (4.0, 4.0, 4.0), 1: (5.0, 4.5, 6.0)}
+    rows = [(f, i, i % 2 + 1, *(float(x) for x in rng.uniform(0, 1, 3) * boxes[f]), *boxes[f]) for f in boxes for i in range(25)]
+    sites = spark.createDataFrame(rows, SITE + ", lx double, ly double, lz double")
+    groups = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 0.5)], "group_id string, type_id int, weight double")
+    rounded = lambda df, cols: sorted(tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols) for r in df.collect())
+    names = ["frame_id", "centre", "k", "l", "ux", "vz"]
+    alone = [neighbors.triples(sites.where(f"frame_id = {f}"), 1.4, boxes[f]) for f in boxes]
+    assert rounded(neighbors.triples(sites, 1.4, ("lx", "ly", "lz")), names) == sorted(rounded(alone[0], names) + rounded(alone[1], names))
+    names = ["frame_id", "i", "j", "home", "other", "r2"]
+    alone = [neighbors.density_pairs(sites.where(f"frame_id = {f}"), groups, 1.4, boxes[f]) for f in boxes]
+    assert rounded(neighbors.density_pairs(sites, groups, 1.4, ("lx", "ly", "lz")), names) == sorted(rounded(alone[0], names) + rounded(alone[1], names))
