@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .frequency_join import index_blocks, shard_words, sum_by_document, value_words
 from .presplit import PreSplitter
-from .workspace import partitions, ship, stage
+from .workspace import partitions, ship, stage, unstage
 
 
 def piece_counter(spec: bytes) -> Callable[[list[str]], list[int]]:
@@ -39,4 +39,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("boolean").alias("mark"), F.col(text_col).alias("text"))
     blocks = stage(index_blocks(rows, lambda: PreSplitter(spec.value).split, shards), "pretokens")
     values = value_words(shard_words(blocks, shards), lambda: piece_counter(spec.value), "<u4")
-    return sum_by_document(blocks, values, "<u4", "n_tokens").select("doc_id", F.col("size").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = stage(sum_by_document(blocks, values, "<u4", "n_tokens").select("doc_id", F.col("size").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "token-counts")
+    unstage(blocks)
+    return counts

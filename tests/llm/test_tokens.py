@@ -76,3 +76,14 @@ def test_counts_on_documents(spark, sf_dir, library):
     want = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, PATH).collect()} == want
     assert {r["doc_id"]: r["n_tokens"] for r in encode_decode(docs, PATH).collect()} == want
+
+
+def test_token_counts_leave_only_their_result(spark, odd_docs):
+    import os
+
+    from tessera.llm.workspace import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/tessera"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert token_counts(odd_docs, PATH).count() == odd_docs.count()
+    assert {d.rsplit("-", 1)[0] for d in set(os.listdir(folder)) - before} == {"token-counts"}
