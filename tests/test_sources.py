@@ -1,8 +1,9 @@
 """Readers and run files."""
 
+import numpy as np
 import pytest
 
-from tessera.sources import files, model
+from tessera.sources import files, model, trr
 
 DUMP = """ITEM: TIMESTEP
 100
@@ -115,3 +116,34 @@ def test_dump_frames_count_over_files_and_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [(t + 1, t, k) for t in range(420) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("double", [False, True])
+def test_binary_frames_come_back(spark, tmp_path, double):
+    rng = np.random.default_rng(2)
+    made = [(10 * k, 0.5 * k, np.diag([3.0 + k, 4.0, 5.0]), rng.uniform(-1, 6, (7, 3)), rng.normal(size=(7, 3))) for k in range(9)]
+    (tmp_path / "a.trr").write_bytes(b"".join(trr.encode(*frame, double=double) for frame in made))
+    rows = trr.read_trr(spark, str(tmp_path / "a.trr")).orderBy("frame_id", "site_id").collect()
+    assert [(r["frame_id"], r["timestep"], r["site_id"]) for r in rows] == [(k + 1, 10 * k, s) for k in range(9) for s in range(7)]
+    for r in rows:
+        step, time, box, x, f = made[r["frame_id"] - 1]
+        side = np.diag(box)
+        want = x[r["site_id"]] - side * np.floor(x[r["site_id"]] / side)
+        assert np.allclose([r["x"], r["y"], r["z"]], want, atol=1e-5) and np.allclose([r["fx"], r["fy"], r["fz"]], f[r["site_id"]], atol=1e-6)
+        assert (r["lx"], r["ly"], r["lz"], r["time"]) == pytest.approx((*side, time))
+
+
+def test_binary_frames_that_cannot_be_read(spark, tmp_path):
+    frame = lambda n, f=None: trr.encode(0, 0.0, np.eye(3), np.zeros((n, 3)), f)
+    (tmp_path / "plain.trr").write_bytes(frame(2) * 3)
+    assert trr.read_trr(spark, str(tmp_path / "plain.trr")).where("fx is null").count() == 6
+    (tmp_path / "mixed.trr").write_bytes(frame(4) + frame(5) + frame(4))
+    with pytest.raises(Exception, match="TRR frame|differ in size|record"):
+        trr.read_trr(spark, str(tmp_path / "mixed.trr")).count()
+    (tmp_path / "other").write_bytes(b"x" * 4000)
+    with pytest.raises(ValueError, match="no TRR frame"):
+        trr.read_trr(spark, str(tmp_path / "other"))
+    skew = trr.encode(0, 0.0, np.array([[1.0, 0, 0], [0.5, 1, 0], [0, 0, 1]]), np.zeros((2, 3)))
+    (tmp_path / "skew.trr").write_bytes(skew)
+    with pytest.raises(Exception, match="rectangular"):
+        trr.read_trr(spark, str(tmp_path / "skew.trr")).count()
