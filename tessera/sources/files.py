@@ -21,6 +21,27 @@ def sample_states(sites: DataFrame, samples: int, uniform: Column | None = None,
     return many.withColumn("type_id", F.when(u <= F.col("state_p"), 1).otherwise(2))
 
 
+#: File splits whose first numbers are broadcast: under 200 bytes each. Beyond it they are joined by a shuffle.
+MOST_SPLITS = 200_000
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(value, file, start, at) of a text source: which file and which split of it a record is from, and its order there."""
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """(value, file, k): the numbers 1, 2, ... of `_records`, over all files in order of path names.
+
+    Records of a split are numbered in order; the splits' first numbers come from one window over a row for each split.
+    """
+    splits = records.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    side = F.broadcast(firsts) if splits.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS else firsts
+    return records.join(side, ["file", "start"]).select("value", "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("k"))
+
+
 def read_dump(spark: SparkSession, path: str, dim: int = 3, no_forces: bool = False) -> DataFrame:
     """A LAMMPS text dump as one row for each atom line: frame_id, timestep, box lengths lx.., site_id, type_id, state_p, x.., fx...
 
@@ -29,13 +50,8 @@ def read_dump(spark: SparkSession, path: str, dim: int = 3, no_forces: bool = Fa
     of path names. Positions are less the box origin and wrapped into the box; site_id is the atom's place in the frame,
     from 0. A line with too few fields, or a number of atom lines other than stated, gives the row `problem`.
     """
-    cut = spark.read.option("lineSep", "ITEM: TIMESTEP").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    cut = cut.where(F.trim(F.translate("value", "\r\n", "  ")) != "")
-    # frames of a split are numbered in order; splits are few, so their first numbers are made by one small window
-    splits = cut.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    frames = cut.join(F.broadcast(splits), ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("k"), F.regexp_replace(F.regexp_replace("value", "\r", ""), "^\\s*\n", "").alias("body"))
+    cut = spark.read.option("lineSep", "ITEM: TIMESTEP").text(path).where(F.trim(F.translate("value", "\r\n", "  ")) != "")
+    frames = _numbered(_records(cut)).select("file", F.col("k").cast("int").alias("k"), F.regexp_replace(F.regexp_replace("value", "\r", ""), "^\\s*\n", "").alias("body"))
     part = lambda name: F.regexp_extract("body", rf"ITEM: {name}[^\n]*\n([^I]*)", 1)
     bounds = F.transform(F.slice(F.split(F.trim(F.regexp_extract("body", r"ITEM: BOX BOUNDS[^\n]*\n([^I]*)", 1)), "\n"), 1, dim), lambda b: F.transform(F.slice(F.split(F.trim(b), r"\s+"), 1, 2), lambda x: x.cast("double")))
     header = F.split(F.trim(F.regexp_extract("body", r"ITEM: ATOMS([^\n]*)\n", 1)), r"\s+")
@@ -74,6 +90,6 @@ def check_sites(sites: DataFrame) -> DataFrame:
 
 
 def read_frame_values(spark: SparkSession, path: str, name: str, start: int = 1) -> DataFrame:
-    """(frame_id, <name>): one number a line (frame weights, virial targets); frame ids start at `start`."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
-    return lines.where(F.col("k") >= start - 1).select((F.col("k") + 1).cast("int").alias("frame_id"), F.trim("line").try_cast("double").alias(name))
+    """(frame_id, <name>): one number a line (frame weights, virial targets), blank lines left out; frame ids start at `start`, with the line of that number."""
+    lines = _numbered(_records(spark.read.text(path).where(F.trim("value") != "")))
+    return lines.where(F.col("k") >= start).select(F.col("k").cast("int").alias("frame_id"), F.trim("value").try_cast("double").alias(name))

@@ -79,16 +79,27 @@ def encode(step: int, time: float, box: np.ndarray, x: np.ndarray, f: np.ndarray
     return head + np.array([time, 0.0]).astype(real).tobytes() + b"".join(raw[k] for k in SIZES if k in raw)
 
 
+def _lengths(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the file, or of the files of the folder or pattern."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for top in store.globStatus(where) for s in (store.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return [(s.getPath().getName(), s.getLen()) for s in found]
+
+
 def read_trr(spark: SparkSession, path: str) -> DataFrame:
     """A TRR file as one row for each site: frame_id (from 1, in file order), timestep, time, lx, ly, lz, site_id (from 0), x, y, z, fx, fy, fz.
 
     Boxes must be rectangular; positions are wrapped into them. Frames without forces give null forces. Frames must be
-    of one size, that of the first; where one is not, its task fails and says so. A task holds one frame at a time.
+    of one size, that of the first: ValueError for files of another length; a frame of another kind fails its task. A task holds one frame at a time.
     """
     context = spark.sparkContext
     ship(spark)
     start = b"".join(context.binaryRecords(path, 4).take(HEADER_BYTES // 4))
-    frames = context.binaryRecords(path, read_header(start).frame_bytes).zipWithIndex().map(lambda r: (r[1] + 1, r[0]))
+    size = read_header(start).frame_bytes
+    if odd := [name for name, length in _lengths(spark, path) if length % size]:
+        raise ValueError(f"TRR frames differ in size: {odd[0]} is not made of frames of {size} bytes")
+    frames = context.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1] + 1, r[0]))
     names = ["frame_id", "timestep", "time", "lx", "ly", "lz", "site_id", "x", "y", "z", "fx", "fy", "fz"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,6 +45,18 @@ def test_frame_values(spark, tmp_path):
     assert [tuple(r) for r in files.read_frame_values(spark, str(tmp_path / "w"), "weight", 2).orderBy("frame_id").collect()] == [(2, 0.5), (3, 2.5)]
 
 
+def test_frame_values_over_splits(spark, tmp_path):
+    (tmp_path / "many").write_text("".join(f"{k}.5\n" + "\n" * (k % 3 == 0) for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        got = files.read_frame_values(spark, str(tmp_path / "many"), "weight", 11)
+        assert got.rdd.getNumPartitions() > 4
+        assert sorted(tuple(r) for r in got.collect()) == [(k, k - 0.5) for k in range(11, 3001)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 TOP = """cgsites 7
 cgtypes 2
 A
