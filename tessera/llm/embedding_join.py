@@ -41,9 +41,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int):
 
 
 def pivots_of(classes: DataFrame, per_pivot: int | None, most: int, seed: int) -> DataFrame:
-    """(label, dim, pivots): vectors of each label taken by a hash of the id: about a quarter of the square root of its number (or one in `per_pivot`), at most `most` and at least one."""
+    """(label, dim, pivots): vectors of each label taken by a hash of the id: about an eighth of the square root of its number (or one in `per_pivot`), at most `most` and at least one."""
     counts = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    wanted = F.sqrt("n") / 4 if per_pivot is None else F.col("n") / per_pivot
+    wanted = F.sqrt("n") / 8 if per_pivot is None else F.col("n") / per_pivot
     keyed = classes.join(counts.select("label", "dim", (F.least(F.lit(float(most)), wanted) / F.col("n")).alias("share")), ["label", "dim"]).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53))
     chosen = keyed.where(F.col("u") < F.col("share")).groupBy("label", "dim").agg(F.slice(F.array_sort(F.collect_list(F.struct("u", "id", "vec"))), 1, most).alias("p"))
     some = keyed.groupBy("label", "dim").agg(F.min(F.struct("u", "id", "vec")).alias("one"))
