@@ -7,11 +7,13 @@ checkpoint: a restarted query goes on where it stopped, and a frame that is deli
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,6 +69,7 @@ def run_factors(rows: DataFrame, n_columns: int, folder: str, checkpoint: str, s
     """
     spark = rows.sparkSession
     ship(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stream's own driver-side worker does not see what `ship` sends
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     keyed = rows.select(F.col("run").cast("long").alias("run"), F.pmod(F.xxhash64("frame_id"), F.lit(shards)).cast("int").alias("shard"), F.col("frame_id").cast("long").alias("frame_id"), "site_id", "dim", "col", "v", "box")
     made = keyed.groupBy("run", "shard").transformWithStateInPandas(FactorState(n_columns), OUT, "Update", "None")
