@@ -26,11 +26,33 @@ def test_wrap_and_image(spark):
     assert [r["d"] for r in got] == pytest.approx([-1.0, 1.0, 5.0, -4.9])
 
 
+def test_rounding_of_what_a_long_cannot_hold(spark):
+    import duckdb
+
+    from tessera.plans.registry import q6, r6
+
+    rows = [1.2345678, -1.2345675, 0.0078125, 9.3e12, -1.3025221076292738e14, 3.661181160164673e17, -4e30, 9007199254.740992, math.nan]
+    got = [r["v"] for r in values(spark, [(x,) for x in rows], "x", v=r6("x"))]
+    want = [duckdb.execute(f"SELECT {q6('x')} FROM (SELECT ?::DOUBLE AS x)", [x]).fetchone()[0] for x in rows]
+    assert got[:-1] == want[:-1] and math.isnan(got[-1]) and math.isnan(want[-1])
+
+
 def test_angles(spark):
     got = values(spark, [(1, 0, 0, 0, 2, 0), (1, 0, 0, -3, 0, 0), (0, 0, 0, 1, 0, 0)], "ux uy uz vx vy vz", a=g.angle(g.cols("ux uy uz"), g.cols("vx vy vz")))
     assert got[0]["a"] == pytest.approx(90) and got[1]["a"] == pytest.approx(180, abs=0.1) and got[2]["a"] is None
 
 
+def test_dihedral_gradients_in_radians_are_not_turned_twice(spark):
+    rng = np.random.default_rng(3)
+    rows = rng.uniform(-1, 1, (100, 12)).round(2)
+    k, i, j, end = (g.cols(" ".join(f"{c}{a}" for a in "xyz")) for c in "kijl")
+    got = [r["v"] for r in values(spark, rows, "kx ky kz ix iy iz jx jy jz lx ly lz", v=g.dihedral_derivatives(k, i, j, end, radians=True)[0][0])]
+    for row, v in zip(rows, got, strict=True):
+        a, b = row[3:6] - row[0:3], row[6:9] - row[3:6]
+        p = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+        assert v == -math.sqrt(b[0] * b[0] + b[1] * b[1] + b[2] * b[2]) * p[0] / (p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
+
+
 FOUR = "kx ky kz ix iy iz jx jy jz lx ly lz"
 
 
