@@ -87,7 +87,7 @@ SELECT site_id, dim, col::INT AS col, {q6('sum(v)')} AS v FROM ends GROUP BY ALL
 def a10_dihedral(spark, sf_dir):
     """Dihedrals on the whole circle: seven hat functions, the last being the first; forces are per radian, as dihedral tables take them."""
     at = [g.cols(" ".join(f"{a}_{r}" for a in "xyz")) for r in ("k", "i", "j", "l")]
-    at_k, at_l, at_i = (tuple(F.radians(x) for x in grad) for grad in g.dihedral_derivatives(*at, v.MOL_BOX))
+    at_k, at_l, at_i = g.dihedral_derivatives(*at, v.MOL_BOX, radians=True)
     held = F.struct("k", "i", "j", "l", "p", *[f"{a}_{r}" for r in "kijl" for a in "xyz"])
     rows = dihedral_rows(spark, sf_dir).select(F.lit(0).alias("frame_id"), F.inline(F.array(held))).where("p is not null")
     round_trip = F.transform(basis.hat(F.col("p"), -180.0, 180.0, 60.0), lambda b: F.struct(basis.periodic_index(b["idx"], 6).alias("idx"), b["val"].alias("val")))
