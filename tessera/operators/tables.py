@@ -63,16 +63,16 @@ def pad(table: DataFrame, by: list[str], width: float, lo: float | None = None,
     return out
 
 
-def repair_front(table: DataFrame, by: list[str]) -> DataFrame:
+def repair_front(table: DataFrame, by: list[str], after: int = 1) -> DataFrame:
     """Replaces the rows before the first sound one by the line through it and the next.
 
     Sound: the value is not negative and the next one is not larger; if there is none, the first whose next is not
-    larger; else the table stays. A sound row needs one after it.
+    larger; else the table stays. A sound row needs `after` rows after it.
     """
     w = Window.partitionBy(*by)
     up = w.orderBy("axis")
     t = table.withColumn("k", F.row_number().over(up)).withColumn("rows", F.count("*").over(w)).withColumn("next", F.lead("value").over(up))
-    falls = (F.col("next") <= F.col("value")) & (F.col("k") <= F.col("rows") - 1)
+    falls = (F.col("next") <= F.col("value")) & (F.col("k") <= F.col("rows") - after)
     strict, loose = F.min(F.when(falls & (F.col("value") >= 0), F.col("k"))).over(w), F.min(F.when(falls, F.col("k"))).over(w)
     t = t.withColumn("start", F.coalesce(strict, loose))
     at = lambda c: F.max(F.when(F.col("k") == F.col("start"), F.col(c))).over(w)

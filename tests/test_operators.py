@@ -239,6 +239,12 @@ def test_fitted_threebody_compiles_and_is_the_gradient(spark, sf_dir):
             assert total[site + 1, d] == pytest.approx(-(energy(x + e) - energy(x - e)) / 2e-6, rel=1e-4, abs=1e-7)
 
 
+def test_a_sound_row_may_need_two_after_it(spark):
+    t = table(spark, [1.0, 2.0, 5.0, 4.0])
+    held = lambda after: [r["value"] for r in tables.repair_front(t, ["t"], after).orderBy("axis").collect()]
+    assert held(1) == [7.0, 6.0, 5.0, 4.0] and held(2) == [1.0, 2.0, 5.0, 4.0]
+
+
 def table(spark, values, start=0.1, width=0.1):
     return spark.createDataFrame([(1, start + k * width, float(v)) for k, v in enumerate(values)], "t int, axis double, value double")
 
