@@ -19,6 +19,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ WHOLE = 1500
 CHUNK = 1_000_000
 #: Members up to which a bucket's members are compared with each other.
 SMALL = 48
+#: Tokens of a group's documents that are counted together, about.
+BLOCK_TOKENS = 1 << 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -314,6 +318,83 @@ def differences(members: DataFrame, sets: Sets) -> DataFrame:
     return wide.select("g", "rep", "hub", "own").mapInArrow(run, "g long, mode int, rep long, n long, tokens array<long>")
 
 
+def token_blocks(made: DataFrame) -> DataFrame:
+    """(block, g, mode, reps, n, x, tokens, shards) of `made` (g, mode, salt, salts, rep, comp, n, tokens): runs of documents of one salt of a group.
+
+    `tokens` are the documents' tokens one after the other, x of each; `shards` hold each distinct one of them once, by
+    hash in as many shards as the group has salts, with the number of the block's documents that have it and the lowest
+    and highest of their components. So a token that all documents of a group share is one entry of each block. A block
+    is closed at BLOCK_TOKENS (a larger document is one by itself).
+    """
+    entry = [(c, pa.list_(pa.int64())) for c in ("token", "df", "low", "high")]
+    schema = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("mode", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("reps", "n", "x", "tokens")), ("shards", pa.list_(pa.struct([("shard", pa.int64()), *entry])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def closed() -> pa.RecordBatch:
+            x = np.array([len(t) for t in lists], np.int64)
+            flat, comps = np.concatenate(lists), np.repeat(np.array([h[1] for h in heads], np.int64), x)
+            order = np.lexsort((comps, flat))
+            flat_, comps = flat[order], comps[order]
+            first = np.flatnonzero(np.diff(flat_, prepend=flat_[:1] - 1))  # the components of a token are in order from here
+            df = np.diff(first, append=len(flat_))
+            own = [flat_[first], df, comps[first], comps[first + df - 1]]
+            shard = (_mix(own[0].view(np.uint64)) % np.uint64(key[3])).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            kinds, starts = np.unique(shard[by], return_index=True)
+            cuts = pa.array([*starts, len(by)], pa.int32())
+            shards = pa.StructArray.from_arrays([pa.array(kinds), *(pa.ListArray.from_arrays(cuts, pa.array(c[by], pa.int64())) for c in own)], ["shard", "token", "df", "low", "high"])
+            lists_ = [pa.array([v], pa.list_(pa.int64())) for v in ([h[0] for h in heads], [h[2] for h in heads], x, flat)]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 33) + done], pa.int64()), pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), *lists_, pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), shards)], schema=schema)
+
+        part, done, key, heads, lists, size = TaskContext.get().partitionId(), 0, None, [], [], 0
+        for batch in small_batches(batches, 64):
+            columns = (batch.column(i).to_pylist() for i in range(7))
+            for g, mode, salt, salts, rep, comp, n, tokens in zip(*columns, batch.column(7), strict=True):
+                if heads and (key != (g, mode, salt, salts) or size >= BLOCK_TOKENS):
+                    yield closed()
+                    done, heads, lists, size = done + 1, [], [], 0
+                key = (g, mode, salt, salts)
+                heads.append((rep, comp, n))
+                lists.append(tokens.values.to_numpy())
+                size += len(lists[-1])
+        if heads:
+            yield closed()
+
+    kinds = "block long, g long, mode int, reps array<long>, n array<long>, x array<long>, tokens array<long>, shards array<struct<shard:long,token:array<long>,df:array<long>,low:array<long>,high:array<long>>>"
+    return made.select("g", "mode", "salt", "salts", "rep", "comp", "n", "tokens").mapInArrow(run, kinds)
+
+
+def shared_tokens(blocks: DataFrame) -> DataFrame:
+    """(block, shared, df): the tokens of each block that several components of its group have, and how many documents of the group have them.
+
+    A task counts one shard of a group at a time; a shard has BLOCK_TOKENS entries, about, whatever the group's size.
+    """
+
+    def count(shard: pa.Table) -> pa.Table:
+        import numpy as np
+
+        token, df, low, high = (shard.column(c).combine_chunks() for c in ("token", "df", "low", "high"))
+        block = np.repeat(shard.column("block").to_numpy(), pc.list_value_length(token).to_numpy())
+        token, df, low, high = (c.flatten().to_numpy() for c in (token, df, low, high))
+        distinct, at = np.unique(token, return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, df)
+        least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+        np.minimum.at(least, at, low)
+        np.maximum.at(most, at, high)
+        keep = np.flatnonzero((least < most)[at])
+        keep = keep[np.argsort(block[keep], kind="stable")]
+        ids, starts = np.unique(block[keep], return_index=True)
+        cuts = pa.array([*starts, len(keep)], pa.int32())
+        return pa.table({"block": pa.array(ids, pa.int64()), "shared": pa.ListArray.from_arrays(cuts, pa.array(token[keep])), "df": pa.ListArray.from_arrays(cuts, pa.array(total[at[keep]]))})
+
+    flat = blocks.select("block", "g", "mode", F.explode("shards").alias("s")).select("block", "g", "mode", "s.*")
+    known = flat.groupBy("g", "mode", "shard").applyInArrow(count, "block long, shared array<long>, df array<long>")
+    return known.groupBy("block").agg(F.collect_list(F.struct("shared", "df")).alias("k")).select("block", F.flatten("k.shared").alias("shared"), F.flatten("k.df").alias("df"))
+
+
 def prefix_places(members: DataFrame, comps: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(g, mode, token, rep, n, x, u, short): places where documents of `members` (g, rep) that may be linked meet.
 
@@ -323,20 +404,42 @@ def prefix_places(members: DataFrame, comps: DataFrame, sets: Sets, percent: int
     of Y (the prefix filter). The order is by rarity within the group. Tokens that one component alone has come first:
     no two documents that are still apart share them, so the u of them only shorten the prefixes, to nothing for most.
     x is |X|; `short` marks the places in the prefix of a smaller partner. The least number shared is above 0 unless
-    both documents are linked to the hub, which must be known by then.
+    both documents are linked to the hub, which must be known by then. Frequencies are counted and brought back once for
+    each token of a block (`token_blocks`), not for each document that has it.
     """
+    spark = members.sparkSession
     made = stage(differences(members, sets).withColumn("x", F.size("tokens").cast("long")), "differences")
-    own = made.repartition(partitions(made.sparkSession)).join(comps.toDF("rep", "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    flat = own.select("g", "mode", "rep", "comp", F.explode("tokens").alias("token"))
-    counts = flat.groupBy("g", "mode", "token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    shared = counts.where("low < high").select("g", "mode", "token", "df")
-    order = flat.select("g", "mode", "rep", "token").join(shared, ["g", "mode", "token"]).groupBy("g", "mode", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    most = F.floor(F.col("n") * ((100 + percent) / percent * (100 - percent) / (100 + percent)) + 1e-6)  # D, as m <= 100 n / percent
-    known = order.join(made.select("g", "mode", "rep", "n", "x"), ["g", "mode", "rep"]).withColumn("u", F.col("x") - F.size("s"))
-    long, short = F.greatest(most - F.col("u") + 1, F.lit(0)), F.greatest(F.floor(most / 2) - F.col("u") + 1, F.lit(0))
-    known = known.select("g", "mode", "rep", "n", "x", "u", short.cast("long").alias("k"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("at", "t"))
-    out = stage(known.select("g", "mode", F.col("t.token").alias("token"), "rep", "n", "x", "u", (F.col("at") < F.col("k")).alias("short")), "places")
+    salts = made.groupBy("g", "mode").agg(F.ceil(F.sum(F.col("x") + 1) / BLOCK_TOKENS).alias("salts"))
+    own = made.where("x > 0").join(salts, ["g", "mode"]).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
+    own = own.join(comps.toDF("rep", "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    dealt = own.select("g", "mode", "salt", "salts", "rep", "comp", "n", "tokens").repartition(partitions(spark), "g", "mode", "salt").sortWithinPartitions("g", "mode", "salt")
+    blocks = stage(token_blocks(dealt), "token-blocks")
     unstage(made)
+    rate = (100 + percent) / percent * (100 - percent) / (100 + percent)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in small_batches(batches, 1):
+            g, mode = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            reps, n, x, tokens, known, df = (batch.column(i)[0].values.to_numpy() for i in range(2, 8))
+            by = np.argsort(known)
+            known, df = known[by], df[by]
+            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            keep = known[at] == tokens
+            doc, token, df = np.repeat(np.arange(len(reps)), x)[keep], tokens[keep], df[at[keep]]
+            many = np.bincount(doc, minlength=len(reps))
+            order = np.lexsort((token, df, doc))
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            u, most = x - many, np.floor(n * rate + 1e-6).astype(np.int64)  # D, as m <= 100 n / percent
+            inside = place < (most - u + 1)[doc]
+            doc, token, place = doc[inside], token[order][inside], place[inside]
+            columns = [pa.array(np.full(len(doc), g), pa.int64()), pa.array(np.full(len(doc), mode), pa.int32()), *(pa.array(c, pa.int64()) for c in (token, reps[doc], n[doc], x[doc], u[doc])), pa.array(place < (most // 2 - u + 1)[doc])]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "mode", "token", "rep", "n", "x", "u", "short"])
+
+    known = blocks.join(shared_tokens(blocks), "block").select("g", "mode", "reps", "n", "x", "tokens", "shared", "df")
+    out = stage(known.mapInArrow(prefixes, "g long, mode int, token long, rep long, n long, x long, u long, short boolean"), "places")
+    unstage(blocks)
     return out
 
 

@@ -141,6 +141,42 @@ def test_pairs_of_near_copies_grow_with_the_rows(spark, monkeypatch):
     assert looked <= 10 * len(texts)
 
 
+def joined_rows(spark, since, key):
+    """The most rows that a join or an explode with `key` made in the executions of SQL from number `since` on."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run < since:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if ("Join" in node.name() or "Generate" in node.name()) and key in node.desc() and metric.name() == "number of output rows" and values.get(metric.accumulatorId()).isDefined():
+                    most = max(most, int(values.get(metric.accumulatorId()).get().replace(",", "")))
+    return most
+
+
+def test_frequencies_come_once_for_a_block_of_documents(spark):
+    """The tokens that most near copies of a group lack are few: their frequencies do not go to each document by itself."""
+    texts = near_copies(800)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = near.differences(docs.selectExpr("0L as g", "doc_id as rep"), near.Sets(docs)).collect()
+    everyone = Counter((r["mode"], t) for r in made for t in r["tokens"])
+    held, distinct = sum(n for n in everyone.values() if n > 1), sum(n > 1 for n in everyone.values())
+    assert held > 20 * distinct
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    alone = spark.createDataFrame([], "rep long, component long")
+    places = near.prefix_places(docs.selectExpr("0L as g", "doc_id as rep"), alone, near.Sets(docs), 75).collect()
+    assert len(places) == len({(r["mode"], r["token"], r["rep"]) for r in places})
+    assert joined_rows(spark, since, "token") < distinct
+    for r in made:  # u is exact, and places are the rarest of the shared tokens
+        own = sorted((everyone[r["mode"], t], t) for t in r["tokens"] if everyone[r["mode"], t] > 1)
+        most = int(r["n"] * 100 / 300 + 1e-6)
+        u = len(r["tokens"]) - len(own)
+        got = {(p["token"], p["short"], p["u"], p["x"]) for p in places if (p["mode"], p["rep"]) == (r["mode"], r["rep"])}
+        assert got == {(t, k < most // 2 - u + 1, u, len(r["tokens"])) for k, (_, t) in enumerate(own[: max(most - u + 1, 0)])}
+
+
 def test_links_just_above_the_threshold_are_found(spark):
     """Pairs of similarity 0.75 to 0.85, each by itself."""
     rng, texts = random.Random(5), {}
