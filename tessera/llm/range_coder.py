@@ -6,7 +6,8 @@ so far. How the orders share the range depends on both confidences and on whethe
 from what came true in this block, and the order-0 frequencies are taken anew, each time the block has doubled. An id that
 no order predicts is escaped and coded plainly. A range coder of 56 bits with words of 28 bits, two in seven bytes, carries the decisions.
 
-Blocks are independent, so many are coded at once, each being one lane of NumPy arrays; all arithmetic is on integers, so
+The ids that followed are kept in rows by the last id: one entry of order 1 and three of order 2, chosen by the id before,
+so that both orders are found in one place of memory. Blocks are independent, so many are coded at once, each being one lane of NumPy arrays; all arithmetic is on integers, so
 every machine gives the same bytes.
 """
 
@@ -20,16 +21,22 @@ import numpy as np
 __all__ = ["BadBlock", "BlockCoder"]
 
 HEADER = struct.Struct("<4sBBxxIII")  # magic, version, bits of an id, ids, CRC-32 of the ids as uint32, CRC-32 of header and words
-MAGIC, VERSION = b"TIDB", 1
+MAGIC, VERSION = b"TIDB", 2
 U = np.uint64
 WORD_BITS = U(28)  # the range has 28 to 56 bits between ids; words of 28 bits leave it at the top
 LEAST, WORD = U(1 << 28), U((1 << 28) - 1)
 SHARE_BITS, CONTEXTS, OUTCOMES = 12, 32, 4  # outcomes: order 2, order 1, order 0, escape
 LEAST_SHARES = np.array([1, 1, 1, 64])  # in 4096; with 64, an escaped id of up to 22 bits still has a range of its own
-FIRST_RENEWAL, MOST_IDS, TABLE_BITS = 32, 1 << 15, 12
-STRETCH = 512  # ids of all lanes whose decisions are held at once
-#: Hash multipliers of the contexts: odd numbers near the golden ratio's and the square root of two's fractions. Fixed values.
-ONE, TWO = np.uint32(0x9E3779B1), np.uint32(0x6A09E667)
+FIRST_RENEWAL, MOST_IDS, TABLE_BITS = 32, 1 << 15, 9
+STRETCH = 128  # ids of all lanes whose decisions are held at once
+#: Hash multiplier of the contexts: an odd number near the golden ratio's fraction. Fixed value.
+ONE = np.uint32(0x9E3779B1)
+ROW_SHIFT, ROW = np.uint32(30 - TABLE_BITS), np.uint32((1 << TABLE_BITS) - 1 << 2)
+EMPTY = np.uint32(0xFFFFFFE0)  # of no id that can be, confidence 0
+MISSED = np.array([[32], [33]], np.uint32)  # by order
+GROWN = np.zeros(34, np.uint32)  # the next confidence by confidence, in the place of its order, or by MISSED
+GROWN[[2, 4, 6, 32]] = 4, 6, 6, 2
+GROWN[[8, 16, 24, 33]] = 16, 24, 24, 8
 
 
 class BadBlock(ValueError):
@@ -43,12 +50,12 @@ def _prior() -> np.ndarray:
 
 
 class _Model:
-    """The predictions of all lanes."""
+    """The predictions of all lanes. Entries of the order-1 table are 32 * id + 2 * confidence, of the order-2 table 32 * id + 8 * confidence."""
 
     def __init__(self, lanes: int, bits: int):
         self.lanes, self.bits = lanes, bits
-        self.last = np.zeros(2 * lanes << TABLE_BITS, np.uint32)  # order 1, then order 2: 4 * id + confidence
-        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << TABLE_BITS
+        self.last = np.full(4 * lanes << TABLE_BITS, EMPTY)  # in rows of four by the last id: order 1, and three of order 2
+        self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS + 2
         self.counts = np.broadcast_to(_prior(), (lanes, CONTEXTS, OUTCOMES)).copy()
         self.history = 0
         self._mix(lanes)
@@ -58,56 +65,62 @@ class _Model:
         whole = (1 << SHARE_BITS) - int(LEAST_SHARES.sum())
         part = LEAST_SHARES + counts * whole // counts.sum(axis=2, keepdims=True)
         part[:, :, 3] += (1 << SHARE_BITS) - part.sum(axis=2)
-        ends = part.cumsum(axis=2)
-        self.low, self.share = (ends - part).astype(U).ravel(), part.astype(U).ravel()
-        self.ends = (ends[:, :, 0] | ends[:, :, 1] << 16 | ends[:, :, 2] << 32).astype(U).ravel()
-
-    def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Places in the order-1 and order-2 tables, stacked, after ids `two`, `one`."""
-        shift, active = np.uint32(32 - TABLE_BITS), one.shape[-1]
-        hashed = one * ONE
-        out = np.empty((2, *one.shape), np.int64)
-        np.add(self.base[0, :active], hashed >> shift, out=out[0])
-        hashed *= TWO
-        hashed += two * ONE
-        hashed >>= shift
-        np.add(self.base[1, :active], hashed, out=out[1])
-        return out
+        low = (part.cumsum(axis=2) - part).astype("<u2")
+        self.low, self.share = low.ravel(), part.astype(np.uint16).ravel()
+        self.lows = low.view("<u8").ravel()  # where outcomes 1, 2 and 3 begin, in the upper three fields of 16 bits
+
+    def contexts(self, hashed: np.ndarray, before: np.ndarray, out: np.ndarray) -> None:
+        """Places of order 1 and order 2, stacked in `out`, after two ids, the later of which times ONE is `hashed`; `before`: `_fork` of the earlier."""
+        row = hashed >> ROW_SHIFT
+        row &= ROW
+        np.add(self.base[: hashed.shape[-1]], row, out=out[0])
+        np.add(out[0], before, out=out[1])
 
     def renew(self, past: np.ndarray, outcomes: np.ndarray) -> None:
-        """Take what came true (`outcomes`, since the last renewal) into the mix, and the frequencies of all ids so far (`past`: (ids, lanes))."""
-        t, active = past.shape
-        lane = np.arange(active, dtype=np.int64)
-        seen = np.bincount((lane * (CONTEXTS * OUTCOMES) + outcomes).ravel(), minlength=active * CONTEXTS * OUTCOMES)
+        """Take what came true (`outcomes`, since the last renewal, with lane and context) into the mix, and the frequencies of all ids so far (`past`: (lanes, ids), a power of two of them)."""
+        active, t = past.shape
+        seen = np.bincount(outcomes.ravel(), minlength=active * CONTEXTS * OUTCOMES)
         self.counts = self.counts[:active] + 4 * seen.reshape(active, CONTEXTS, OUTCOMES)
         self._mix(active)
-        wide = np.uint32 if active.bit_length() + self.bits <= 32 else np.uint64
-        key = np.sort(((lane << self.bits).astype(wide)[None, :] | past.astype(wide)).ravel())
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.run_id = (key[starts] & wide((1 << self.bits) - 1)).astype(np.int64)
-        self.run_lane = (key[starts] >> wide(self.bits)).astype(np.int64)
-        self.run_start, self.run_length = starts - self.run_lane * t, np.diff(np.append(starts, len(key)))
+        ids = np.sort(past, axis=1)
+        new = np.ones((active, t), bool)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+        starts = np.flatnonzero(new)
+        self.run_id = ids.ravel()[starts].astype(np.int64)
+        self.run_lane, self.run_start = starts >> t.bit_length() - 1, starts & t - 1
+        self.run_length = np.diff(starts, append=active * t)
         self.history = t
 
     def slots(self) -> np.ndarray:
-        """For each lane and place below `history`: id << 40 | start << 16 | frequency of the run that holds the place."""
-        packed = (self.run_id << 40 | self.run_start << 16 | self.run_length).astype(U)
-        return np.repeat(packed, self.run_length)
+        """For each id, and then for each lane and place below `history`: id << 40 | start << 16 | frequency of the id alone, and of the run that holds the place."""
+        packed = (self.run_id << 40 | self.run_start << 16 | self.run_length).astype(U) if self.history else np.zeros(0, U)
+        alone = np.arange(1 << self.bits, dtype=U) * U(1 << 40 | 1 << 16) + U(1)
+        return np.concatenate([alone, np.repeat(packed, self.run_length) if self.history else packed])
+
+
+def _fork(hashed: np.ndarray) -> np.ndarray:
+    """Which of a row's three entries of order 2 (1 to 3) is for an id times ONE, from bits that its own row does not use."""
+    return np.maximum(hashed >> np.uint32(6) & np.uint32(3), np.uint32(1))
 
 
-def _update(table: np.ndarray, at: np.ndarray, entry: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
-    """Enter the ids that came: confidence grows (to 3) where they were predicted and falls to 1 elsewhere."""
-    grown = np.minimum(entry & np.uint32(3), np.uint32(2))
-    grown *= hit
-    grown += ids << np.uint32(2) | np.uint32(1)
-    table[at] = grown
+def _update(table: np.ndarray, at: np.ndarray, entry: np.ndarray, ids: np.ndarray) -> None:
+    """Enter the ids that came (32 * id): confidence grows (to 3) where they were predicted and falls to 1 elsewhere."""
+    changed = entry ^ ids  # where predicted, the confidence alone
+    np.minimum(changed, MISSED, out=changed)
+    table[at] = GROWN.take(changed, mode="clip") | ids
+
+
+def _places(starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The places of runs of places."""
+    ends = numbers.cumsum()
+    return np.repeat(starts - (ends - numbers), numbers) + np.arange(ends[-1])
 
 
 def _packed(words: np.ndarray) -> np.ndarray:
     """Seven bytes for each two words of a row: (rows, pairs, 7)."""
     words = np.pad(words, ((0, 0), (0, words.shape[1] % 2)))
     pairs = (words[:, ::2].astype(U) << WORD_BITS | words[:, 1::2]).astype(">u8")
-    return np.ascontiguousarray(pairs).view(np.uint8).reshape(*pairs.shape, 8)[:, :, 1:]
+    return np.ascontiguousarray(np.ascontiguousarray(pairs).view(np.uint8).reshape(*pairs.shape, 8)[:, :, 1:])
 
 
 def _unpacked(body: np.ndarray) -> np.ndarray:
@@ -152,61 +165,67 @@ class BlockCoder:
         lengths = np.array([len(b) for b in blocks])
         order, stretches = self._order(lengths)
         lanes, longest = len(blocks), int(lengths.max(initial=0))
-        ids = np.zeros((lanes, longest), np.uint32)
+        by_lane, sizes = np.zeros((lanes, longest), np.uint32), np.zeros(lanes, np.int64)
         for lane, k in enumerate(order):
-            ids[lane, : lengths[k]] = blocks[k]
-        ids, sizes = np.ascontiguousarray(ids.T), np.zeros(lanes, np.int64)
+            by_lane[lane, : lengths[k]] = blocks[k]
         if longest > MOST_IDS:
             raise ValueError(f"blocks have at most {MOST_IDS} ids")
+        ids = np.zeros((longest + 2, lanes), np.uint32)  # after two ids that no block has
+        ids[2:] = by_lane.T
         model = _Model(lanes, self.bits)
-        begins, lasts = np.zeros(lanes << self.bits, np.uint16), np.zeros((lanes, max(1, longest)), np.uint16)  # start + 1 by lane and id (0: not met), frequency by lane and start
-        outcomes = np.zeros((longest, lanes), np.uint8)
-        words, ptr = np.zeros((lanes, longest + 4), np.uint32), np.zeros(lanes, np.int64)
-        flat, own = words.ravel(), np.arange(lanes) * words.shape[1]
+        outcomes = np.zeros((longest, lanes), np.int32)
+        words, ptr = np.zeros((lanes, longest + 4), np.uint32), np.arange(lanes) * (longest + 4)
+        flat, own = words.ravel(), ptr.copy()
         low, span = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
-        before = np.concatenate([np.zeros((2, lanes), np.uint32), ids])  # the ids two places earlier
+        placed = np.zeros((2, longest, lanes), np.uint16)  # start + 1 (0: not met) and frequency - 1 of each id among those at the last renewal
         renewed = 0
         for a, b, active in stretches:
             if self._renews(a):
-                model.renew(ids[:a, :active], outcomes[renewed:a, :active])
-                begins[model.run_lane << self.bits | model.run_id] = model.run_start + 1
-                lasts[model.run_lane, model.run_start] = model.run_length
+                model.renew(by_lane[:active, :a], outcomes[renewed:a, :active])
+                self._place(model, by_lane[:active, a : 2 * a], placed[:, a : 2 * a, :active])
                 renewed = a
-            x, lane = ids[a:b, :active], np.arange(active)
-            at = np.ascontiguousarray(model.contexts(before[a + 1 : b + 1, :active], before[a:b, :active]).transpose(1, 0, 2))
-            entry = np.empty(at.shape, np.uint32)
+            x, lane = ids[a + 2 : b + 2, :active], np.arange(active)
+            hashed = ids[a : b + 1, :active] * ONE
+            at = np.empty((b - a, 2, active), np.int64)
+            model.contexts(hashed[1:], _fork(hashed[:-1]), at.transpose(1, 0, 2))
+            entry, shifted = np.empty(at.shape, np.uint32), x << np.uint32(5)
             for i in range(b - a):
-                e = model.last.take(at[i], out=entry[i], mode="clip")
-                _update(model.last, at[i], e, e >> np.uint32(2) == x[i], x[i])
-            k1, k2, p1, p2 = entry[:, 0] & np.uint32(3), entry[:, 1] & np.uint32(3), entry[:, 0] >> np.uint32(2), entry[:, 1] >> np.uint32(2)
-            met = begins[(lane << self.bits) | x].astype(np.int64)
-            outcome = np.where((p2 == x) & (k2 > 0), 0, np.where((p1 == x) & (k1 > 0), 1, np.where(met > 0, 2, 3))).astype(np.uint8)
-            outcomes[a:b, :active] = ((k2 << np.uint32(3) | k1 << np.uint32(1) | (p1 == p2)) << np.uint32(2) | outcome).astype(np.uint8)
-            where = lane * (CONTEXTS * OUTCOMES) + outcomes[a:b, :active]
-            start, share = model.low[where], model.share[where]
-            met -= 1
-            start0 = np.where(outcome == 2, met, np.where(outcome == 3, x, 0)).astype(U)
-            share0 = np.where(outcome == 2, lasts[lane, np.maximum(met, 0)], 1).astype(U)
-            shift0 = np.array([0, 0, max(0, model.history.bit_length() - 1), self.bits], U)[outcome]
-            low, span, ptr, to = low[:active].copy(), span[:active].copy(), ptr[:active].copy(), own[:active]
+                _update(model.last, at[i], model.last.take(at[i], out=entry[i], mode="clip"), shifted[i])
+            differ = entry[:, 0] ^ entry[:, 1]
+            met = placed[0, a:b, :active]
+            outcome = np.where(met > 0, np.uint8(2), np.uint8(3))
+            outcome[entry[:, 0] ^ shifted < 32] = 1
+            outcome[entry[:, 1] ^ shifted < 32] = 0
+            where = ((differ & np.uint32(31) | (differ < 32)) << np.uint32(2) | outcome) + lane * (CONTEXTS * OUTCOMES)
+            outcomes[a:b, :active] = where
+            start, share = model.low.take(where, mode="clip").astype(U), model.share.take(where, mode="clip").astype(U)
+            by_frequency, escaped = outcome == 2, outcome == 3
+            start0 = (met - by_frequency).astype(U) * by_frequency
+            np.copyto(start0, x, where=escaped)
+            share0 = (placed[1, a:b, :active] * by_frequency).astype(U) + U(1)
+            shift0 = np.array([0, 0, max(0, model.history.bit_length() - 1), self.bits], U).take(outcome)
+            low, span, ptr = low[:active].copy(), span[:active].copy(), ptr[:active].copy()
+            given, gives = np.empty(x.shape, np.uint32), np.empty(x.shape, bool)
             for i in range(b - a):
-                r = span >> U(SHARE_BITS)
-                low += r * start[i]
-                r *= share[i]
-                r >>= shift0[i]
-                low += r * start0[i]
-                r *= share0[i]
-                small = r < LEAST
-                flat[to + ptr] = low >> WORD_BITS
-                ptr += small
-                np.copyto(low, (low & WORD) << WORD_BITS, where=small)
-                span = r << small * WORD_BITS
+                span >>= U(SHARE_BITS)
+                low += span * start[i]
+                span *= share[i]
+                span >>= shift0[i]
+                low += span * start0[i]
+                span *= share0[i]
+                small = np.less(span, LEAST, out=gives[i]).nonzero()[0]
+                np.right_shift(low, WORD_BITS, out=given[i], casting="unsafe")
+                low[small] = (low.take(small, mode="clip") & WORD) << WORD_BITS
+                span[small] = span.take(small, mode="clip") << WORD_BITS
+            number = gives.sum(axis=0)
+            flat[_places(ptr, number)] = given.T[gives.T]
+            ptr += number
             ended = slice(int((lengths[order] > b).sum()), active)  # lanes that end here give their last words
             for _ in range(2):
-                flat[to[ended] + ptr[ended]] = low[ended] >> WORD_BITS
+                flat[ptr[ended]] = low[ended] >> WORD_BITS
                 low[ended] = (low[ended] & WORD) << WORD_BITS
                 ptr[ended] += 1
-            sizes[ended] = ptr[ended]
+            sizes[ended] = ptr[ended] - own[ended]
         words = words[:, : int(sizes.max(initial=0))]
         words[np.arange(words.shape[1])[None, :] >= sizes[:, None]] = 0
         while (carry := words >> np.uint32(28)).any():
@@ -220,6 +239,22 @@ class BlockCoder:
             out[k] = head[:-4] + struct.pack("<I", zlib.crc32(body, zlib.crc32(head[:-4]))) + body
         return out
 
+    def _place(self, model: _Model, ids: np.ndarray, out: np.ndarray) -> None:
+        """Start + 1 (0: not met) and frequency - 1 of `ids` (lanes, ids) in the model's history, to `out` (2, ids, lanes). A few lanes at a time, one after another: their tables stay in the cache."""
+        some = max(1, (1 << 20) >> self.bits)
+        runs = np.searchsorted(model.run_lane, np.arange(0, len(ids) + some, some))
+        table = np.zeros(some << self.bits, np.uint32)  # start + 1, then frequency - 1 in the upper half
+        packed = (model.run_length - 1 << 16 | model.run_start + 1).astype(np.uint32)
+        for k in range(len(runs) - 1):
+            mine, lanes = slice(runs[k], runs[k + 1]), slice(k * some, (k + 1) * some)
+            key = model.run_lane[mine] - k * some << self.bits | model.run_id[mine]
+            table[key] = packed[mine]
+            x = ids[lanes].astype(np.int64)
+            found = table.take(x + (np.arange(len(x))[:, None] << self.bits)).T
+            out[0, :, lanes] = found & np.uint32(0xFFFF)
+            out[1, :, lanes] = found >> np.uint32(16)
+            table[key] = 0
+
     def _open(self, block: bytes) -> tuple[int, int, np.ndarray]:
         """(ids, their CRC, words) of a block, after its own checks."""
         if len(block) < HEADER.size:
@@ -242,51 +277,65 @@ class BlockCoder:
         code, ptr, flat = words[:, 0].astype(U) << WORD_BITS | words[:, 1], np.arange(lanes) * words.shape[1] + 1, words.ravel()
         span = np.full(lanes, 1 << 56, U)
         model = _Model(lanes, self.bits)
-        ids, outcomes = np.zeros((longest, lanes), np.uint32), np.zeros((longest, lanes), np.uint8)
+        ids, outcomes = np.zeros((longest, lanes), np.uint32), np.zeros((longest, lanes), np.int32)
         none = np.zeros(lanes, np.uint32)
-        slots, renewed = np.zeros(lanes, U), 0
-        fields, tops, plain = U(1 | 1 << 16 | 1 << 32), U(1 << 15 | 1 << 31 | 1 << 47), U(1 << 40 | 1 << 16)
+        slots, renewed = model.slots(), 0
+        fields, tops = U(1 << 16 | 1 << 32 | 1 << 48), U(1 << 31 | 1 << 47 | 1 << 63)
         for a, b, active in stretches:
             if self._renews(a):
-                model.renew(ids[:a, :active], outcomes[renewed:a, :active])
+                model.renew(np.ascontiguousarray(ids[:a, :active].T), outcomes[renewed:a, :active])
                 slots, renewed = model.slots(), a
             lane = np.arange(active)
-            by_context, by_slot = lane * CONTEXTS, lane * max(1, model.history)
-            shifts = np.array([0, 0, max(0, model.history.bit_length() - 1), self.bits], U)
-            code, span, ptr = code[:active].copy(), span[:active], ptr[:active].copy()
-            one, two = ids[a - 1, :active] if a else none[:active], ids[a - 2, :active] if a > 1 else none[:active]
+            by_context, by_outcome = lane * CONTEXTS, lane * OUTCOMES
+            tables = np.zeros((active, OUTCOMES), np.int64)  # of the slots: outcome 2 has the lane's, others the ids alone
+            tables[:, 2] = (1 << self.bits) + lane * model.history
+            tables = tables.ravel()
+            shifts, predictor = np.array([0, 0, max(0, model.history.bit_length() - 1), self.bits], U), np.array([active, 0])
+            code, span, ptr = code[:active].copy(), span[:active].copy(), ptr[:active].copy()
+            one, fork = (ids[a - 1, :active] if a else none[:active]) * ONE, _fork((ids[a - 2, :active] if a > 1 else none[:active]) * ONE)
+            at, entry = np.empty((2, active), np.int64), np.empty((2, active), np.uint32)
             for t in range(a, b):
-                at = model.contexts(one, two)
-                entry = model.last.take(at)
-                guess = entry >> np.uint32(2)
-                context = (entry[1] & np.uint32(3)) << np.uint32(3)
-                context |= (entry[0] & np.uint32(3)) << np.uint32(1)
-                context |= guess[0] == guess[1]
+                model.contexts(one, fork, at)
+                model.last.take(at, out=entry, mode="clip")
+                context = entry[0] ^ entry[1]
+                agree = context < 32
+                context &= np.uint32(31)
+                context |= agree
                 place = by_context + context
-                r = span >> U(SHARE_BITS)
-                ends = (code // r * fields | tops) - model.ends.take(place)  # the top bit of a field is left where the code is not below that end
-                outcome = np.bitwise_count(ends & tops)
+                span >>= U(SHARE_BITS)
+                ends = code // span
+                ends *= fields
+                ends |= tops
+                ends -= model.lows.take(place, mode="clip")  # the top bit of a field is left where the code is not below that outcome
+                ends &= tops
+                outcome = np.bitwise_count(ends).astype(np.int64)
                 place *= OUTCOMES
                 place += outcome
-                np.bitwise_and(place, CONTEXTS * OUTCOMES - 1, out=outcomes[t, :active], casting="unsafe")
-                code -= r * model.low.take(place)
-                r *= model.share.take(place)
-                r >>= shifts.take(outcome)
-                v = code // r
-                slot = slots.take(by_slot + v.view(np.int64), mode="clip")  # read for all lanes, used by those of order 0
-                slot = np.where(outcome == 2, slot, v * plain + U(1))  # an escaped id is its own start; outcomes 0 and 1 have v = 0
-                code -= r * (slot >> U(16) & U(0xFFFFFF))
-                r *= slot & U(0xFFFF)
-                small = r < LEAST
-                ptr += small
-                np.copyto(code, code << WORD_BITS | flat.take(ptr), where=small)
-                span = r << small * WORD_BITS
-                now = ids[t, :active]
-                now[:] = slot >> U(40)
-                np.copyto(now, guess[1], where=outcome == 0)
-                np.copyto(now, guess[0], where=outcome == 1)
-                _update(model.last, at, entry, guess == now, now)
-                one, two = now, one
+                outcomes[t, :active] = place
+                code -= span * model.low.take(place, mode="clip")
+                span *= model.share.take(place, mode="clip")
+                span >>= shifts.take(outcome, mode="clip")
+                v = code // span
+                place = tables.take(by_outcome + outcome, mode="clip")
+                place += v.view(np.int64)
+                slot = slots.take(place, mode="clip")
+                code -= span * (slot >> U(16) & U(0xFFFFFF))
+                span *= slot & U(0xFFFF)
+                slot >>= U(40)
+                now = slot.astype(np.uint32)
+                guessed = (outcome < 2).nonzero()[0]
+                now[guessed] = entry.ravel().take(guessed + predictor.take(outcome.take(guessed)), mode="clip") >> np.uint32(5)
+                ids[t, :active] = now
+                small = (span < LEAST).nonzero()[0]
+                came, read = code.take(small, mode="clip"), ptr.take(small, mode="clip")
+                read += 1
+                came <<= WORD_BITS
+                came |= flat.take(read, mode="clip")
+                code[small], ptr[small] = came, read
+                span[small] = span.take(small, mode="clip") << WORD_BITS
+                fork, one = _fork(one), now * ONE
+                now <<= np.uint32(5)
+                _update(model.last, at, entry, now)
         by_lane = np.ascontiguousarray(ids.T)
         out: list[np.ndarray] = [by_lane[:0]] * lanes
         for lane, k in enumerate(order):

@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import id_files
-from tessera.llm.id_files import IdEncoder, document_digests, encode_texts, read_ids, round_trip, write_ids
+from tessera.llm.id_files import IdEncoder, document_digests, encode_texts, read_ids, round_trip, write_ids, write_texts
 from tessera.llm.range_coder import BadBlock, BlockCoder
 from tessera.llm.workspace import shared_dir
 
@@ -94,6 +95,22 @@ def test_encoder_like_the_library(library, monkeypatch):
         assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+def test_encoder_makes_each_piece_once(library):
+    """All texts of a batch are cut at once, and a piece's ids are made once, whatever stands beside it."""
+    with open(PATH, "rb") as f:
+        coder = IdEncoder(f.read())
+    asked = []
+    own, coder._made = coder._made, lambda pieces: asked.extend(pieces) or own(pieces)
+    texts = ["the quick fox", "the quick, fox.", None, "", "l", "'l the \n quick's fox", "it'", "s it's 'sit", "émigré×2 – 5€ the ", "l" * 30 + " " + "l" * 30, "quick中 fox", "\n", "a <|endoftext|> the"]
+    for _ in range(2):
+        got = coder.encode_all(pa.array(texts), 0).to_pylist()
+        assert got == [np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u2").tobytes() for t in texts]
+    short = [p for p in asked if len(p) <= id_files.LONGEST_KEPT]
+    assert len(short) == len(set(short)) and b" quick" in short and b" the" in short
+    assert coder.encode_all(pa.array(texts).slice(3, 4)).to_pylist() == [g[:-2] for g in got[3:7]]
+    assert coder.encode_all(pa.array([], pa.string()), 0).to_pylist() == []
+
+
 def test_odd_rows(spark, odd_docs, no_docs, library):
     check(round_trip(odd_docs, PATH, block=64, files=3).collect(), plain_rows(odd_docs, library))
     assert round_trip(no_docs, PATH).count() == 0
@@ -115,6 +132,26 @@ def test_ids_come_back(spark, sf_dir, library):
         at += len(want[i])
 
 
+def test_texts_are_written_in_one_pass(spark, sf_dir):
+    """Files of texts, encoded and coded in one pass, are those of their ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    one, two = f"{shared_dir(spark)}/from-texts", f"{shared_dir(spark)}/from-ids"
+    write_texts(docs, PATH, one, block=256, files=3)
+    write_ids(encode_texts(docs, PATH, end_id=0), two, 50257, block=256, files=3)
+    by_place = [sorted((r["file"], r["block"], r["n_ids"], bytes(r["data"])) for r in spark.read.parquet(p).collect()) for p in (one, two)]
+    assert by_place[0] == by_place[1] and len(by_place[0]) > 3
+
+
+def test_coder_of_many_lanes():
+    """Blocks of more lanes than the coder looks up at a time, some of which end early."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.zipf(1.2, n) % 50257 for n in [*range(0, 160, 4), *[300] * 20]]
+    coder = BlockCoder(50257)
+    coded = coder.encode(blocks)
+    assert all(np.array_equal(b, g) for b, g in zip(blocks, coder.decode(coded), strict=True))
+    assert coded[::7] == [b for k in range(0, 60, 7) for b in BlockCoder(50257, lanes=1).encode([blocks[k]])]
+
+
 def test_a_lost_block_is_told(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     path = f"{shared_dir(spark)}/whole-files"
